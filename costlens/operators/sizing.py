@@ -1,0 +1,24 @@
+"""Broadcast only what is proven small.
+
+A dimension side is broadcast only after a bounded count shows it holds at most
+``max_rows`` rows (the count stops reading after ``max_rows + 1`` rows).  Beyond
+that bound the join is left to the planner as a shuffle join on its equi keys,
+where AQE can still split skewed partitions.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+DEFAULT_BROADCAST_ROWS = 200_000
+
+
+def row_count_at_most(df: DataFrame, max_rows: int) -> bool:
+    """True when ``df`` has at most ``max_rows`` rows (reads at most ``max_rows + 1``)."""
+    return df.limit(max_rows + 1).count() <= max_rows
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+    """``broadcast(df)`` when its row count is within ``max_rows``, else ``df`` unchanged."""
+    return F.broadcast(df) if row_count_at_most(df, max_rows) else df

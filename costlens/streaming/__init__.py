@@ -1,0 +1,6 @@
+"""No streaming operators.
+
+The source application refreshes its cost views as periodic batch jobs; it has
+no stream source, watermark, event-time window or stateful operator.  Fresh
+results come from :func:`costlens.plans.refresh.refresh_all` run on a schedule.
+"""
