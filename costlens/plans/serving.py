@@ -14,6 +14,20 @@ ENTITY_COLS = ["endpoint_name", "endpoint_id", "created_by", "served_entity_name
                "custom_model_config", "external_model_config"]
 
 
+def join_served_entities(usage: DataFrame, served_entities: DataFrame,
+                         broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+    """Usage joined to every entity served behind its endpoint (same account).
+
+    An endpoint with N entities yields N rows per usage record.  The entity
+    table is broadcast only when a bounded count shows it is small.
+    """
+    ents = served_entities.where(F.col("endpoint_name").isNotNull()).select(
+        F.col("account_id").alias("_e_account"), *ENTITY_COLS)
+    return usage.join(broadcast_if_small(ents, broadcast_rows),
+                      (F.col("usage_metadata.endpoint_name") == F.col("endpoint_name"))
+                      & (F.col("account_id") == F.col("_e_account")), "inner").drop("_e_account")
+
+
 def model_serving_costs(usage: DataFrame, prices: DataFrame, served_entities: DataFrame, as_of=None,
                         lookback_days: int = 30, broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
     """Real-time inference cost per workspace and served entity, with 7/14/30-day sums.
@@ -26,11 +40,7 @@ def model_serving_costs(usage: DataFrame, prices: DataFrame, served_entities: Da
     u = usage.where(F.col("sku_name").like("%SERVERLESS_REAL_TIME_INFERENCE%")
                     & F.col("usage_quantity").isNotNull()
                     & (F.col("usage_date") >= days_before(as_of, lookback_days)))
-    ents = served_entities.where(F.col("endpoint_name").isNotNull()).select(
-        F.col("account_id").alias("_e_account"), *ENTITY_COLS)
-    with_entities = u.join(broadcast_if_small(ents, broadcast_rows),
-                           (F.col("usage_metadata.endpoint_name") == F.col("endpoint_name"))
-                           & (F.col("account_id") == F.col("_e_account")), "inner").drop("_e_account")
+    with_entities = join_served_entities(u, served_entities, broadcast_rows)
     priced = with_tags_key(priced_usage(with_entities, prices, POINT).where(F.col("effective_price").isNotNull()))
     date, lc, ec, zero = F.col("usage_date"), F.col("list_cost"), F.col("effective_cost"), F.lit(0)
     aggs = [F.max("usage_date").alias("last_usage_date"), pick_tags().alias("custom_tags"),

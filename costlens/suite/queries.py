@@ -13,11 +13,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pyspark.sql import functions as F
+
+from ..functions.tags import parse_tags
+from ..operators.attribution import timeline_hour_join
+from ..operators.latest import latest_jobs
+from ..operators.pricing import POINT, priced_usage
+from ..plans import dashboard as K
 from ..plans import jobs as J
 from ..plans import serverless as S
 from ..plans import serving as V
+from ..plans import tagging as L
 from ..session import use_utc
-from ..sources import fixtures
+from ..sources import catalog, fixtures
 from .portable import portable
 
 AS_OF = dt.date(2024, 1, 31)
@@ -77,5 +85,170 @@ VIEW_QUERIES: dict[str, QueryFn] = {
 }
 
 
+def _view(spark, sf_dir, name):
+    """A cost view as a DataFrame (native types, not rendered)."""
+    t = inputs(spark, sf_dir)
+    u, p, jb, tl, se = t["usage"], t["list_prices"], t["jobs"], t["job_run_timeline"], t["served_entities"]
+    return {
+        "most_expensive_jobs": lambda: J.most_expensive_jobs(u, p, jb, AS_OF),
+        "most_expensive_job_runs": lambda: J.most_expensive_job_runs(u, p, jb, AS_OF),
+        "job_spend_trend": lambda: J.job_spend_trend(u, p, jb, AS_OF),
+        "failed_jobs_analysis": lambda: J.failed_jobs_analysis(u, p, tl, jb, AS_OF),
+        "user_spend_alerts": lambda: S.user_spend_alerts(u, p, AS_OF),
+        "serverless_notebook_spend": lambda: S.serverless_notebook_spend(u, p, AS_OF),
+        "serverless_job_spend": lambda: S.serverless_job_spend(u, p, AS_OF),
+        "user_serverless_consumption": lambda: S.user_serverless_consumption(u, p, AS_OF),
+        "serverless_consumption_by_tag": lambda: S.serverless_consumption_by_tag(u, p, AS_OF),
+        "model_serving_costs": lambda: V.model_serving_costs(u, p, se, AS_OF),
+        "batch_inference_costs": lambda: V.batch_inference_costs(u, p, AS_OF),
+        "daily_job_costs": lambda: K.daily_job_costs(u, p, AS_OF),
+    }[name]()
+
+
+def _on(view: str, report, **kw) -> QueryFn:
+    def run(spark, sf_dir):
+        return portable(report(_view(spark, sf_dir, view), **kw))
+    run.__doc__ = report.__doc__
+    return run
+
+
+def _resources(spark, sf_dir):
+    t = inputs(spark, sf_dir)
+    return L.resource_inventory(t["clusters"], t["warehouses"], t["job_settings"], t["pipelines"])
+
+
+def _on_resources(report, with_requests=False, **kw) -> QueryFn:
+    def run(spark, sf_dir):
+        res = _resources(spark, sf_dir)
+        if with_requests:
+            return portable(report(res, fixtures.tag_requests(spark, res), **kw))
+        return portable(report(res, **kw))
+    run.__doc__ = report.__doc__
+    return run
+
+
+def c1_price_join_containment(spark, sf_dir):
+    """C1 over the whole usage table."""
+    t = inputs(spark, sf_dir)
+    return portable(priced_usage(t["usage"], t["list_prices"]).select(
+        "record_id", "price_start_time", "list_cost", "effective_cost"))
+
+
+def c2_price_join_point(spark, sf_dir):
+    """C2 over the whole usage table."""
+    t = inputs(spark, sf_dir)
+    return portable(priced_usage(t["usage"], t["list_prices"], POINT).select(
+        "record_id", "price_start_time", "list_cost", "effective_cost"))
+
+
+def c3_timeline_hour_join(spark, sf_dir):
+    """C3 over the whole usage and timeline tables."""
+    t = inputs(spark, sf_dir)
+    return timeline_hour_join(t["usage"], t["job_run_timeline"]).select("record_id", "slice_id", "result_state")
+
+
+def c10_served_entity_join(spark, sf_dir):
+    """C10 over the whole usage and served-entity tables."""
+    t = inputs(spark, sf_dir)
+    return V.join_served_entities(t["usage"], t["served_entities"]).select(
+        "record_id", "served_entity_name", "entity_type")
+
+
+def f1_latest_job_version(spark, sf_dir):
+    """latest definition of every job."""
+    return latest_jobs(inputs(spark, sf_dir)["jobs"]).select("workspace_id", "job_id", "name", "change_time")
+
+
+def f4_status_cost_attribution(spark, sf_dir):
+    """cost attributed to every terminal run slice (jobs usage, 30 days)."""
+    t = inputs(spark, sf_dir)
+    return portable(J.status_costs(t["usage"], t["list_prices"], t["job_run_timeline"], AS_OF).select(
+        "record_id", "slice_id", "result_state", "status_list_cost", "status_effective_cost"))
+
+
+def i7_parse_tags(spark, sf_dir):
+    """JSON property text of every event parsed to a tag map."""
+    use_utc(spark)
+    ev = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return portable(ev.select("event_id", parse_tags("props").alias("tags")))
+
+
+def a6_read_view(spark, sf_dir):
+    """Filtered, capped read of the most-expensive-jobs view."""
+    v = _view(spark, sf_dir, "most_expensive_jobs")
+    order = [F.col("effective_cost").desc_nulls_last(), F.col("workspace_id").asc_nulls_first(),
+             F.col("job_id").asc_nulls_first()]
+    return portable(catalog.query_view(v, {"workspace_id": ["1", "3"], "run_as": None}, 50, order))
+
+
+TAG_CHANGE = {"environment": "production", "reviewed": "2024"}
+
+OPERATOR_QUERIES: dict[str, QueryFn] = {
+    "c1_price_join_containment": c1_price_join_containment,
+    "c2_price_join_point": c2_price_join_point,
+    "c3_timeline_hour_join": c3_timeline_hour_join,
+    "c10_served_entity_join": c10_served_entity_join,
+    "f1_latest_job_version": f1_latest_job_version,
+    "f4_status_cost_attribution": f4_status_cost_attribution,
+    "i7_parse_tags": i7_parse_tags,
+    "a6_read_view": a6_read_view,
+}
+
+REPORT_QUERIES: dict[str, QueryFn] = {
+    "k1_filter_jobs": _on("most_expensive_jobs", K.filter_view, workspaces=["0", "1", "2"], tag_key="env",
+                          tag_values=["prod"]),
+    "k2_job_metrics": _on("most_expensive_jobs", K.job_metrics),
+    "k3_top_jobs_by_cost": _on("most_expensive_jobs", K.top_jobs_by_cost),
+    "k4_top_users_by_job_cost": _on("most_expensive_jobs", K.top_users_by_cost),
+    "k5_top_jobs_by_runs": _on("most_expensive_jobs", K.top_jobs_by_runs),
+    "k6_run_metrics": _on("most_expensive_job_runs", K.run_metrics),
+    "k7_top_runs_by_cost": _on("most_expensive_job_runs", K.top_runs_by_cost),
+    "k7_top_users_by_run_cost": _on("most_expensive_job_runs", K.top_users_by_cost),
+    "k8_top_jobs_by_run_count": _on("most_expensive_job_runs", K.top_jobs_by_run_count),
+    "k9_trend_cards": _on("daily_job_costs", K.trend_cards),
+    "k10_daily_cost": _on("daily_job_costs", K.daily_cost),
+    "k11_top_trend_jobs": _on("daily_job_costs", K.top_trend_jobs),
+    "k12_top_growth_jobs": _on("job_spend_trend", K.top_growth_jobs),
+    "k13_failure_metrics": _on("failed_jobs_analysis", K.failure_metrics),
+    "k14_most_failures": _on("failed_jobs_analysis", K.most_failures),
+    "k14_top_failure_cost": _on("failed_jobs_analysis", K.top_failure_cost),
+    "k15_serverless_job_metrics": _on("serverless_job_spend", K.serverless_job_metrics),
+    "k15_top_serverless_jobs": _on("serverless_job_spend", K.top_serverless_jobs),
+    "k16_notebook_metrics": _on("serverless_notebook_spend", K.notebook_metrics),
+    "k16_top_notebook_users": _on("serverless_notebook_spend", K.top_users_by_cost),
+    "k17_unpack_tags": _on("serverless_consumption_by_tag", K.unpack_tags),
+    "k18_top_tag_keys": _on("serverless_consumption_by_tag", lambda v: K.top_tag_keys(K.unpack_tags(v))),
+    "k18_top_tag_values": _on("serverless_consumption_by_tag", lambda v: K.top_tag_values(K.unpack_tags(v), "team")),
+    "k19_serving_metrics": _on("model_serving_costs", K.serving_metrics),
+    "k19_cost_by_entity_type": _on("model_serving_costs", K.cost_by_entity_type),
+    "k19_top_endpoints": _on("model_serving_costs", K.top_endpoints),
+    "k19_top_served_entities": _on("model_serving_costs", K.top_served_entities),
+    "k20_batch_metrics": _on("batch_inference_costs", K.batch_metrics),
+    "k20_top_batch_users": _on("batch_inference_costs", K.top_users_by_cost, cost="total_effective_cost"),
+    "k20_daily_endpoint_cost": _on("batch_inference_costs", K.daily_endpoint_cost),
+    "k21_user_metrics": _on("user_serverless_consumption", K.user_metrics),
+    "k21_top_users": _on("user_serverless_consumption", K.top_users_by_cost),
+    "k21_jobs_vs_notebooks": _on("user_serverless_consumption", K.jobs_vs_notebooks),
+    "k21_top_users_t7d": _on("user_spend_alerts", K.top_users_by_cost, cost="t7d_effective_cost"),
+    "k23_tag_key_options": _on("most_expensive_jobs", K.tag_keys),
+    "k23_user_options": _on("most_expensive_jobs", K.filter_options, col="run_as"),
+    "k24_detail_table": _on("most_expensive_jobs", K.detail_table, sort_col="effective_cost",
+                            keys=["workspace_id", "job_id"]),
+}
+
+TAG_QUERIES: dict[str, QueryFn] = {
+    "l1_resource_inventory": _on_resources(lambda r: r),
+    "l2_list_tags": _on_resources(L.list_tags, with_requests=True),
+    "l4_bulk_update_tags": _on_resources(L.bulk_update_tags, with_requests=True, tags=TAG_CHANGE),
+    "l5_find_by_tag_key": _on_resources(L.find_resources_by_tag, key="team"),
+    "l5_find_by_tag_value": _on_resources(L.find_resources_by_tag, key="environment", value="production"),
+    "l6_compliance_details": _on_resources(L.compliance_details),
+    "l7_compliance_by_type": _on_resources(L.compliance_by_type),
+    "l8_compliance_summary": _on_resources(L.compliance_summary),
+    "l9_untagged": _on_resources(L.untagged),
+    "l10_resource_counts": _on_resources(L.resource_counts),
+}
+
+
 def all_queries() -> dict[str, QueryFn]:
-    return dict(VIEW_QUERIES)
+    return {**VIEW_QUERIES, **OPERATOR_QUERIES, **REPORT_QUERIES, **TAG_QUERIES}
