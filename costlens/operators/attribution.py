@@ -21,6 +21,7 @@ F4 — status cost attribution
     if tasks are re-run); each slice computes local running sums; a summary of
     one row per slice (bounded by the number of slices) yields the cost carried
     into each slice; the first terminal row of a slice adds that carry.
+    Only the per-slice summary ever meets in a single partition.
 """
 
 from __future__ import annotations
@@ -83,10 +84,14 @@ def attribute_status_cost(rows: DataFrame, order: Sequence[str], costs: Sequence
     asc = [F.col(c).asc_nulls_first() for c in order]
     is_term = F.col("result_state").isNotNull()
 
-    sliced = rows.repartitionByRange(n, *asc).checkpoint(eager=True).withColumn("_slice", F.spark_partition_id())
-
+    # Range slices and local running sums are computed in one action and checkpointed, so the
+    # slice of every row is fixed before anything else reads it (a re-sampled range partitioner
+    # could assign different bounds) and later steps restart from the checkpoint, not the joins.
     running = Window.partitionBy("_slice").orderBy(*asc).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    local = sliced.withColumns({f"_cum_{c}": F.sum(c).over(running) for c in costs})
+    local = (rows.repartitionByRange(n, *asc)
+             .withColumn("_slice", F.spark_partition_id())
+             .withColumns({f"_cum_{c}": F.sum(c).over(running) for c in costs})
+             .checkpoint(eager=True))
 
     # One row per slice: does it hold a terminal row, and the cost after its last one.
     last_key = F.when(is_term, F.struct(*[F.col(c) for c in order]))

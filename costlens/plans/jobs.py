@@ -127,14 +127,17 @@ def _is_failure(state: Column) -> Column:
 
 
 def failed_jobs_analysis(usage: DataFrame, prices: DataFrame, timeline: DataFrame, jobs: DataFrame,
-                         as_of=None, lookback_days: int = 30, num_slices: int | None = None) -> DataFrame:
+                         as_of=None, lookback_days: int = 30, num_slices: int | None = None,
+                         attributed: DataFrame | None = None) -> DataFrame:
     """Terminal runs, failures, success ratio and failure cost per job.
 
     Runs are the terminal timeline slices ending in the window; failure cost is
     the status cost (F4) of slices in ERROR / FAILED / TIMED_OUT.  Jobs without
-    failures are kept (NULL cost).
+    failures are kept (NULL cost).  ``attributed`` may pass a precomputed
+    :func:`status_costs` result (shared with J5 during a refresh).
     """
-    attributed = status_costs(usage, prices, timeline, as_of, lookback_days, num_slices)
+    if attributed is None:
+        attributed = status_costs(usage, prices, timeline, as_of, lookback_days, num_slices)
     failure_costs = with_tags_key(attributed.where(F.col("result_state").isin(*FAILURE_STATES))) \
         .groupBy(*JOB_KEYS).agg(
             F.min("run_as").alias("run_as"),
@@ -156,13 +159,15 @@ def failed_jobs_analysis(usage: DataFrame, prices: DataFrame, timeline: DataFram
 
 
 def job_retry_patterns(usage: DataFrame, prices: DataFrame, timeline: DataFrame, jobs: DataFrame,
-                       as_of=None, lookback_days: int = 30, num_slices: int | None = None) -> DataFrame:
+                       as_of=None, lookback_days: int = 30, num_slices: int | None = None,
+                       attributed: DataFrame | None = None) -> DataFrame:
     """Runs with more than one terminal slice (whole history), their repair count,
     unsuccessful cost (window) and time from first terminal slice to last success.
 
     The unsuccessful cost is summed over all non-SUCCEEDED states of the run.
     """
-    attributed = status_costs(usage, prices, timeline, as_of, lookback_days, num_slices)
+    if attributed is None:
+        attributed = status_costs(usage, prices, timeline, as_of, lookback_days, num_slices)
     unsuccessful = with_tags_key(attributed.where(F.col("result_state") != SUCCEEDED)) \
         .groupBy(*RUN_KEYS).agg(
             F.min("run_as").alias("run_as"),

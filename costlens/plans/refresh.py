@@ -21,9 +21,9 @@ VIEWS: dict[str, ViewFn] = {
     "most_expensive_job_runs": lambda t, d: J.most_expensive_job_runs(t["usage"], t["list_prices"], t["jobs"], d),
     "job_spend_trend": lambda t, d: J.job_spend_trend(t["usage"], t["list_prices"], t["jobs"], d),
     "failed_jobs_analysis": lambda t, d: J.failed_jobs_analysis(t["usage"], t["list_prices"], t["job_run_timeline"],
-                                                                t["jobs"], d),
+                                                                t["jobs"], d, attributed=t.get("_status_costs")),
     "job_retry_patterns": lambda t, d: J.job_retry_patterns(t["usage"], t["list_prices"], t["job_run_timeline"],
-                                                            t["jobs"], d),
+                                                            t["jobs"], d, attributed=t.get("_status_costs")),
     "workspace_spend_alerts": lambda t, d: S.workspace_spend_alerts(t["usage"], t["list_prices"], d),
     "user_spend_alerts": lambda t, d: S.user_spend_alerts(t["usage"], t["list_prices"], d),
     "job_spend_alerts": lambda t, d: S.job_spend_alerts(t["usage"], t["list_prices"], d),
@@ -52,20 +52,26 @@ def refresh_all(spark: SparkSession, tables: dict[str, DataFrame], as_of=None, d
 
     All views read usage of the last ``max_lookback_days`` days at most; with
     ``share_usage_window`` that slice is read once and persisted (memory, then
-    disk) for the whole refresh instead of being scanned once per view.
+    disk) for the whole refresh instead of being scanned once per view.  The
+    status cost attribution feeding J4 and J5 is computed once and shared.
     """
     t = dict(tables)
-    cached = None
+    names = list(views or VIEWS)
+    shared = []
     if share_usage_window:
-        cached = t["usage"].where(F.col("usage_date") >= days_before(as_of, max_lookback_days)) \
+        t["usage"] = t["usage"].where(F.col("usage_date") >= days_before(as_of, max_lookback_days)) \
             .persist(StorageLevel.MEMORY_AND_DISK)
-        t["usage"] = cached
+        shared.append(t["usage"])
+    if {"failed_jobs_analysis", "job_retry_patterns"} <= set(names):
+        t["_status_costs"] = J.status_costs(t["usage"], t["list_prices"], t["job_run_timeline"], as_of) \
+            .persist(StorageLevel.MEMORY_AND_DISK)
+        shared.append(t["_status_costs"])
     written = []
     try:
-        for name in (views or list(VIEWS)):
+        for name in names:
             target = f"{database}.{name}" if database else name
             written.append(materialize(VIEWS[name](t, as_of), target))
     finally:
-        if cached is not None:
-            cached.unpersist()
+        for df in shared:
+            df.unpersist()
     return written

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dates import as_date, days_before
-from ..operators.picks import pick_tags, with_tags_key
+from ..operators.picks import TAGS_KEY, pick_tags, with_tags_key
 from ..operators.pricing import POINT, priced_usage
 from ..operators.sizing import DEFAULT_BROADCAST_ROWS, broadcast_if_small
 
@@ -35,21 +35,34 @@ def model_serving_costs(usage: DataFrame, prices: DataFrame, served_entities: Da
     Usage joins every entity served behind its endpoint (C10), so an endpoint
     with N entities contributes its cost to each of them.  Here ``t14d`` is
     cumulative (``date >= D-14``).
+
+    Sums, maxima and the tag pick all commute with that fan-out, so priced
+    usage is first reduced to one row per (workspace, account, endpoint) and
+    only those rows are joined to the entities and re-aggregated: the
+    multiplication applies to a handful of partial rows instead of every
+    usage record.
     """
     d = as_date(as_of)
     u = usage.where(F.col("sku_name").like("%SERVERLESS_REAL_TIME_INFERENCE%")
                     & F.col("usage_quantity").isNotNull()
+                    & F.col("usage_metadata.endpoint_name").isNotNull()
                     & (F.col("usage_date") >= days_before(as_of, lookback_days)))
-    with_entities = join_served_entities(u, served_entities, broadcast_rows)
-    priced = with_tags_key(priced_usage(with_entities, prices, POINT).where(F.col("effective_price").isNotNull()))
+    priced = with_tags_key(priced_usage(u, prices, POINT).where(F.col("effective_price").isNotNull()))
     date, lc, ec, zero = F.col("usage_date"), F.col("list_cost"), F.col("effective_cost"), F.lit(0)
-    aggs = [F.max("usage_date").alias("last_usage_date"), pick_tags().alias("custom_tags"),
-            F.sum(lc).alias("total_list_cost"), F.sum(ec).alias("total_effective_cost")]
+    sums = {"total_list_cost": lc, "total_effective_cost": ec}
     for days in (7, 14, 30):
         recent = date >= F.date_sub(d, days)
-        aggs += [F.sum(F.when(recent, lc).otherwise(zero)).alias(f"t{days}d_list_cost"),
-                 F.sum(F.when(recent, ec).otherwise(zero)).alias(f"t{days}d_effective_cost")]
-    return priced.groupBy("workspace_id", *ENTITY_COLS).agg(*aggs)
+        sums[f"t{days}d_list_cost"] = F.when(recent, lc).otherwise(zero)
+        sums[f"t{days}d_effective_cost"] = F.when(recent, ec).otherwise(zero)
+    partial = priced.groupBy("workspace_id", "account_id",
+                             F.col("usage_metadata.endpoint_name").alias("_endpoint")).agg(
+        F.max("usage_date").alias("last_usage_date"), pick_tags().alias("custom_tags"),
+        F.min(TAGS_KEY).alias(TAGS_KEY), *[F.sum(v).alias(k) for k, v in sums.items()])
+    partial = partial.withColumn("usage_metadata", F.struct(F.col("_endpoint").alias("endpoint_name"))).drop("_endpoint")
+    fanned = join_served_entities(partial, served_entities, broadcast_rows)
+    return fanned.groupBy("workspace_id", *ENTITY_COLS).agg(
+        F.max("last_usage_date").alias("last_usage_date"), pick_tags().alias("custom_tags"),
+        *[F.sum(k).alias(k) for k in sums])
 
 
 def batch_inference_costs(usage: DataFrame, prices: DataFrame, as_of=None, lookback_days: int = 30) -> DataFrame:
