@@ -87,10 +87,16 @@ def attribute_status_cost(rows: DataFrame, order: Sequence[str], costs: Sequence
     # Range slices and local running sums are computed in one action and checkpointed, so the
     # slice of every row is fixed before anything else reads it (a re-sampled range partitioner
     # could assign different bounds) and later steps restart from the checkpoint, not the joins.
-    running = Window.partitionBy("_slice").orderBy(*asc).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ordered = Window.partitionBy("_slice").orderBy(*asc)
+    running = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = ordered.rowsBetween(Window.unboundedPreceding, -1)
     local = (rows.repartitionByRange(n, *asc)
              .withColumn("_slice", F.spark_partition_id())
              .withColumns({f"_cum_{c}": F.sum(c).over(running) for c in costs})
+             # same partitioning and order: evaluated in the same pass, no further shuffle or sort
+             .withColumns({"_seen": F.max(is_term.cast("int")).over(before),
+                           **{f"_prev_{c}": F.last(F.when(is_term, F.struct(F.col(f"_cum_{c}").alias("v"))),
+                                                   ignorenulls=True).over(before)["v"] for c in costs}})
              .checkpoint(eager=True))
 
     # One row per slice: does it hold a terminal row, and the cost after its last one.
@@ -108,10 +114,7 @@ def attribute_status_cost(rows: DataFrame, order: Sequence[str], costs: Sequence
     summary = summary.select("_slice", *[F.coalesce(F.lag(f"_seg_{c}").over(by_slice), F.lit(0)).alias(f"_in_{c}")
                                          for c in costs])
 
-    terminal_order = Window.partitionBy("_slice").orderBy(*asc)
-    term = local.where(is_term).withColumns(
-        {"_first": F.row_number().over(terminal_order) == 1,
-         **{f"_prev_{c}": F.lag(f"_cum_{c}").over(terminal_order) for c in costs}})
+    term = local.where(is_term).withColumn("_first", F.coalesce(F.col("_seen"), F.lit(0)) == 0)
     # The summary has one row per slice, so its size is bounded by ``n``.
     term = term.join(F.broadcast(summary), "_slice", "left")
     out = term.withColumns({
