@@ -36,6 +36,31 @@ VIEWS: dict[str, ViewFn] = {
 }
 
 
+# G1: the order each view is presented in (metric descending), with its key columns as tie-breaks.
+VIEW_ORDER: dict[str, tuple[str, list[str]]] = {
+    "most_expensive_jobs": ("list_cost", ["workspace_id", "job_id"]),
+    "most_expensive_job_runs": ("list_cost", ["workspace_id", "job_id", "run_id"]),
+    "job_spend_trend": ("Last7DayGrowth", ["workspace_id", "job_id", "run_as", "sku_name"]),
+    "failed_jobs_analysis": ("failures", ["workspace_id", "job_id"]),
+    "job_retry_patterns": ("repairs", ["workspace_id", "job_id", "run_id"]),
+    "workspace_spend_alerts": ("effective_cost", ["workspace_id"]),
+    "user_spend_alerts": ("effective_cost", ["run_as"]),
+    "job_spend_alerts": ("effective_cost", ["workspace_id", "job_id"]),
+    "serverless_notebook_spend": ("effective_cost", ["notebook_id", "notebook_path", "run_as"]),
+    "serverless_job_spend": ("effective_cost", ["job_id", "job_name"]),
+    "user_serverless_consumption": ("effective_cost", ["job_id", "job_name", "notebook_id", "notebook_path", "run_as"]),
+    "serverless_consumption_by_tag": ("effective_cost", ["job_id", "job_name", "notebook_id", "notebook_path"]),
+    "model_serving_costs": ("total_effective_cost", ["workspace_id", "endpoint_name", "served_entity_name"]),
+    "batch_inference_costs": ("total_effective_cost", ["workspace_id", "usage_date", "run_as", "endpoint_name"]),
+}
+
+
+def sorted_view(name: str, df: DataFrame) -> DataFrame:
+    """G1: a view in its presentation order (a stored table keeps none, so this is applied on read)."""
+    metric, keys = VIEW_ORDER[name]
+    return df.orderBy(F.col(metric).desc_nulls_last(), *[F.col(k).asc_nulls_first() for k in keys])
+
+
 def materialize(df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> str:
     """B1: ``CREATE OR REPLACE`` as an overwrite of a catalog table."""
     writer = df.write.mode("overwrite")
