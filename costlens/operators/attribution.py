@@ -77,10 +77,11 @@ def attribute_status_cost(rows: DataFrame, order: Sequence[str], costs: Sequence
     ``status_<cost>`` = sum of ``<cost>`` over all rows after the previous
     terminal row (in the global ``order``) up to and including this one.
     ``order`` must be a total order for the result to be deterministic.
+    ``num_slices`` fixes the number of range slices; by default it follows
+    ``spark.sql.shuffle.partitions`` and AQE's coalescing to the advisory size.
     """
     spark = rows.sparkSession
     ensure_checkpoint_dir(spark)
-    n = num_slices or int(spark.conf.get("spark.sql.shuffle.partitions"))
     asc = [F.col(c).asc_nulls_first() for c in order]
     is_term = F.col("result_state").isNotNull()
 
@@ -90,7 +91,10 @@ def attribute_status_cost(rows: DataFrame, order: Sequence[str], costs: Sequence
     ordered = Window.partitionBy("_slice").orderBy(*asc)
     running = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = ordered.rowsBetween(Window.unboundedPreceding, -1)
-    local = (rows.repartitionByRange(n, *asc)
+    # Without an explicit count AQE sizes the slices from the data (coalescing merges adjacent
+    # range partitions, so slices stay contiguous and in order).
+    ranged = rows.repartitionByRange(num_slices, *asc) if num_slices else rows.repartitionByRange(*asc)
+    local = (ranged
              .withColumn("_slice", F.spark_partition_id())
              .withColumns({f"_cum_{c}": F.sum(c).over(running) for c in costs})
              # same partitioning and order: evaluated in the same pass, no further shuffle or sort
@@ -115,7 +119,7 @@ def attribute_status_cost(rows: DataFrame, order: Sequence[str], costs: Sequence
                                          for c in costs])
 
     term = local.where(is_term).withColumn("_first", F.coalesce(F.col("_seen"), F.lit(0)) == 0)
-    # The summary has one row per slice, so its size is bounded by ``n``.
+    # The summary has one row per slice, so its size is bounded by the slice count.
     term = term.join(F.broadcast(summary), "_slice", "left")
     out = term.withColumns({
         f"status_{c}": F.col(f"_cum_{c}") - F.coalesce(F.col(f"_prev_{c}"), F.lit(0))

@@ -82,3 +82,17 @@ def test_hour_join_matches_range_condition_and_keeps_fanout(spark):
     pairs = sorted((r.record_id, r.slice_id) for r in timeline_hour_join(usage, timeline).collect())
     # record 1 (10h) meets both slices touching hour 10; record 2 (12h) only slice 11; 13h none
     assert pairs == [(1, 10), (1, 11), (2, 11)]
+
+
+@pytest.mark.parametrize("seed", [11, 12])
+def test_default_slices_follow_aqe_coalescing(spark, seed):
+    rows = random_rows(seed, 400)
+    df = spark.createDataFrame(rows, SCHEMA)
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        got = {r["record_id"]: (r["status_list_cost"], r["status_effective_cost"])
+               for r in attribute_status_cost(df, ORDER).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert got == brute_force(rows)
