@@ -62,11 +62,20 @@ def sorted_view(name: str, df: DataFrame) -> DataFrame:
 
 
 def materialize(df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> str:
-    """B1: ``CREATE OR REPLACE`` as an overwrite of a catalog table."""
+    """B1: ``CREATE OR REPLACE`` as a catalog table.
+
+    The result is written to a staging table first and swapped in only after
+    the write succeeded, so a failed refresh leaves the previous version in
+    place instead of a half-written table.
+    """
+    spark = df.sparkSession
+    staging = f"{name}__staging"
     writer = df.write.mode("overwrite")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    writer.saveAsTable(name)
+    writer.saveAsTable(staging)
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    spark.sql(f"ALTER TABLE {staging} RENAME TO {name}")
     return name
 
 

@@ -96,3 +96,13 @@ def test_default_slices_follow_aqe_coalescing(spark, seed):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
     assert got == brute_force(rows)
+
+
+def test_hot_run_with_a_third_of_all_rows(spark):
+    rows = random_rows(21, 300)
+    hot = [("a", "1", "1") + r[3:] for r in rows[:100]]       # one run holds a third of the rows
+    rows = hot + rows[100:]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = {r["record_id"]: (r["status_list_cost"], r["status_effective_cost"])
+           for r in attribute_status_cost(df, ORDER, num_slices=8).collect()}
+    assert got == brute_force(rows)
