@@ -45,11 +45,21 @@ def timeline_hour_join(usage: DataFrame, timeline: DataFrame) -> DataFrame:
     Output: the usage columns plus ``job_id, run_id, result_state,
     period_start_time, period_end_time`` (and ``slice_id`` when present) of the
     timeline.
+
+    Before expanding and shuffling the timeline, slices that cannot reach any
+    usage start are dropped: a slice matches only if ``hour(period_start) <=
+    max(usage_start)`` and ``period_end + 1 hour > min(usage_start)``.  The
+    bounds come from one scalar subquery over the (already filtered) usage, so a
+    30-day usage window does not shuffle years of run history.
     """
+    start = F.col("usage_start_time")
+    span = usage.select(F.struct(F.min(start).alias("lo"), F.max(start).alias("hi"))).scalar()
     ps, pe = hour_floor("period_start_time"), hour_floor("period_end_time")
+    reachable = (ps <= span.getField("hi")) & \
+        (F.col("period_end_time") + F.expr("INTERVAL 1 HOUR") > span.getField("lo"))
     hours = F.when(pe >= ps, F.sequence(ps, pe, F.expr("INTERVAL 1 HOUR")))
     extra = [c for c in ("slice_id",) if c in timeline.columns]
-    t = timeline.select(
+    t = timeline.where(reachable).select(
         F.col("workspace_id").alias("_t_ws"), "job_id", "run_id", "result_state",
         "period_start_time", "period_end_time", *extra,
         F.explode(hours).alias("_t_hour"),

@@ -113,8 +113,9 @@ def status_costs(usage: DataFrame, prices: DataFrame, timeline: DataFrame, as_of
     Columns: run keys, ``result_state``, ``run_as``, ``custom_tags``, the
     ordering columns, and ``status_list_cost`` / ``status_effective_cost``.
     """
-    priced = priced_usage(jobs_usage(usage, as_of, lookback_days), prices)
-    joined = timeline_hour_join(priced, timeline)
+    # inner joins commute: the timeline join sees the plain usage window (cheap slice bounds),
+    # the broadcast price join then prices the joined rows
+    joined = priced_usage(timeline_hour_join(jobs_usage(usage, as_of, lookback_days), timeline), prices)
     keep = ["workspace_id", "job_id", "run_id", "usage_end_time", "period_end_time", "period_start_time",
             "slice_id", "record_id", "price_start_time", "result_state", "custom_tags", "list_cost", "effective_cost"]
     rows = joined.select(*[c for c in keep if c in joined.columns],
