@@ -24,7 +24,3 @@ def with_tags_key(df, tags_col: str = "custom_tags"):
 def pick_tags(tags_col: str = "custom_tags", key_col: str = TAGS_KEY) -> Column:
     """The tag map with the smallest canonical text in the group (NULL maps skipped)."""
     return F.min_by(tags_col, key_col)
-
-
-def pick_min(col: str) -> Column:
-    return F.min(col)

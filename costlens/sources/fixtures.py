@@ -175,12 +175,8 @@ def job_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey")
     tags = F.concat(F.lit('{"team":"'), F.col("p_brand"), F.lit('","owner":"o'), _s(F.col("p_size") % 6), F.lit('"}'))
     settings = F.struct(F.col("p_name").alias("name"), _tags(tags).alias("tags"))
-    return p.select(_s(k).alias("job_id"),
-                    F.when(k % 10 == 0, F.lit(None).cast(settings_type())).otherwise(settings).alias("settings"))
-
-
-def settings_type():
-    return schemas.JOB_SETTINGS["settings"].dataType
+    no_settings = F.lit(None).cast(schemas.JOB_SETTINGS["settings"].dataType)
+    return p.select(_s(k).alias("job_id"), F.when(k % 10 == 0, no_settings).otherwise(settings).alias("settings"))
 
 
 def pipelines(spark: SparkSession, sf_dir: str) -> DataFrame:

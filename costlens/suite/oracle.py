@@ -469,6 +469,14 @@ SELECT 'Notebooks', CAST(SUM(CASE WHEN notebook_id IS NOT NULL THEN effective_co
 FROM v_user_serverless_consumption""",
     "k21_top_users_t7d": _cast_money(_top("SUM(t7d_effective_cost)", "t7d_effective_cost", "v_user_spend_alerts",
                                           ["run_as"], 25), ["t7d_effective_cost"]),
+    "k21_top_users_t14d": _cast_money(_top("SUM(t14d_effective_cost)", "t14d_effective_cost", "v_user_spend_alerts",
+                                           ["run_as"], 25), ["t14d_effective_cost"]),
+    "k21_top_users_total": _cast_money(_top("SUM(effective_cost)", "effective_cost", "v_user_spend_alerts",
+                                            ["run_as"], 25), ["effective_cost"]),
+    "k23_job_name_options": """
+SELECT DISTINCT name FROM v_most_expensive_jobs WHERE name IS NOT NULL""",
+    "k23_tag_value_options": """
+SELECT DISTINCT tags_map['team'] AS tag_value FROM v_most_expensive_jobs WHERE tags_map['team'] IS NOT NULL""",
     "k23_tag_key_options": """
 SELECT DISTINCT unnest(map_keys(tags_map)) AS tag_key FROM v_most_expensive_jobs""",
     "k23_user_options": """
@@ -517,6 +525,9 @@ FROM (SELECT COUNT(*) AS total,
           AS compliant FROM resources) s""",
     "l9_untagged": """
 SELECT resource_type, resource_id, resource_name, state, tags_txt AS tags, tag_count FROM resources WHERE tag_count = 0""",
+    "l9_untagged_clusters": """
+SELECT resource_type, resource_id, resource_name, state, tags_txt AS tags, tag_count FROM resources
+WHERE tag_count = 0 AND resource_type = 'cluster'""",
     "l10_resource_counts": """
 SELECT resource_type, COUNT(*) AS resource_count FROM resources GROUP BY resource_type""",
 }

@@ -230,8 +230,12 @@ REPORT_QUERIES: dict[str, QueryFn] = {
     "k21_top_users": _on("user_serverless_consumption", K.top_users_by_cost),
     "k21_jobs_vs_notebooks": _on("user_serverless_consumption", K.jobs_vs_notebooks),
     "k21_top_users_t7d": _on("user_spend_alerts", K.top_users_by_cost, cost="t7d_effective_cost"),
+    "k21_top_users_t14d": _on("user_spend_alerts", K.top_users_by_cost, cost="t14d_effective_cost"),
+    "k21_top_users_total": _on("user_spend_alerts", K.top_users_by_cost, cost="effective_cost"),
     "k23_tag_key_options": _on("most_expensive_jobs", K.tag_keys),
     "k23_user_options": _on("most_expensive_jobs", K.filter_options, col="run_as"),
+    "k23_job_name_options": _on("most_expensive_jobs", K.filter_options, col="name"),
+    "k23_tag_value_options": _on("most_expensive_jobs", K.tag_values, key="team"),
     "k24_detail_table": _on("most_expensive_jobs", K.detail_table, sort_col="effective_cost",
                             keys=["workspace_id", "job_id"]),
 }
@@ -246,6 +250,7 @@ TAG_QUERIES: dict[str, QueryFn] = {
     "l7_compliance_by_type": _on_resources(L.compliance_by_type),
     "l8_compliance_summary": _on_resources(L.compliance_summary),
     "l9_untagged": _on_resources(L.untagged),
+    "l9_untagged_clusters": _on_resources(L.untagged, resource_type="cluster"),
     "l10_resource_counts": _on_resources(L.resource_counts),
 }
 
