@@ -47,3 +47,23 @@ def job_run_timeline(spark: SparkSession, location: str) -> DataFrame:
 def served_entities(spark: SparkSession, location: str) -> DataFrame:
     """A5: entities served behind model-serving endpoints."""
     return read_table(spark, location, schemas.SERVED_ENTITIES)
+
+
+def clusters(spark: SparkSession, location: str) -> DataFrame:
+    """Cluster listing snapshot (id, name, state, custom tags)."""
+    return read_table(spark, location, schemas.CLUSTERS)
+
+
+def warehouses(spark: SparkSession, location: str) -> DataFrame:
+    """SQL warehouse listing snapshot."""
+    return read_table(spark, location, schemas.WAREHOUSES)
+
+
+def job_settings(spark: SparkSession, location: str) -> DataFrame:
+    """Job listing snapshot (settings hold the name and tags)."""
+    return read_table(spark, location, schemas.JOB_SETTINGS)
+
+
+def pipelines(spark: SparkSession, location: str) -> DataFrame:
+    """Pipeline listing snapshot (spec holds the name and configuration)."""
+    return read_table(spark, location, schemas.PIPELINES)
