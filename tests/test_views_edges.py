@@ -114,3 +114,27 @@ def test_j1_and_j2_totals_agree(spark):
     j1 = J.most_expensive_jobs(t["usage"], t["list_prices"], t["jobs"], AS_OF).agg(F.sum("list_cost")).first()[0]
     j2 = J.most_expensive_job_runs(t["usage"], t["list_prices"], t["jobs"], AS_OF).agg(F.sum("list_cost")).first()[0]
     assert j1 == j2 and j1 > 0
+
+
+def test_large_price_list_path_equals_broadcast_path(spark):
+    from conftest import SF_MID
+    from costlens.sources import fixtures
+    t = fixtures.load_all(spark, SF_MID)
+    for mode in (CONTAINMENT, POINT):
+        cols = ["record_id", "price_start_time", "list_cost", "effective_cost"]
+        small = priced_usage(t["usage"], t["list_prices"], mode).select(*cols)
+        large = priced_usage(t["usage"], t["list_prices"], mode, broadcast_rows=0).select(*cols)
+        assert sorted(small.collect()) == sorted(large.collect())
+
+
+def test_large_price_list_path_handles_malformed_and_open_rows(spark):
+    rows = [usage_row(1, "2024-01-15 12:00:00"),                      # straddles the change: no match
+            usage_row(2, "2024-01-15 13:00:00", hours=-3),            # ends before it starts
+            usage_row(3, "2024-01-20 05:00:00", hours=0),
+            usage_row(4, "2024-01-10 23:00:00", hours=2)]             # crosses midnight
+    u = usage_df(spark, rows)
+    p = _prices(spark)
+    for mode in (CONTAINMENT, POINT):
+        small = sorted((r.record_id, r.list_cost) for r in priced_usage(u, p, mode).collect())
+        large = sorted((r.record_id, r.list_cost) for r in priced_usage(u, p, mode, broadcast_rows=0).collect())
+        assert small == large
