@@ -2,8 +2,8 @@
 
 The source views take ``first(run_as, true)`` / ``first(custom_tags, true)``,
 whose result depends on row order.  Here the pick is the smallest non-NULL
-value (by canonical text for tag maps): always one of the values the original
-could return, but the same on every run and in every engine.
+value (for tag maps: by their sorted entry list): always one of the values the
+original could return, but the same on every run and in every engine.
 """
 
 from __future__ import annotations
@@ -11,16 +11,23 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.tags import tags_text
-
 TAGS_KEY = "_tags_key"
 
 
+def tags_order_key(tags) -> Column:
+    """Key-order independent ordering key of a tag map: its entries sorted by (key, value).
+
+    Built from code-generated expressions only (no lambda functions), as it is
+    evaluated on every usage row.  NULL map -> NULL, empty map -> [].
+    """
+    return F.sort_array(F.map_entries(F.col(tags) if isinstance(tags, str) else tags))
+
+
 def with_tags_key(df, tags_col: str = "custom_tags"):
-    """Attach the canonical text of the tag map used to pick among maps."""
-    return df.withColumn(TAGS_KEY, tags_text(tags_col))
+    """Attach the ordering key used to pick among tag maps."""
+    return df.withColumn(TAGS_KEY, tags_order_key(tags_col))
 
 
 def pick_tags(tags_col: str = "custom_tags", key_col: str = TAGS_KEY) -> Column:
-    """The tag map with the smallest canonical text in the group (NULL maps skipped)."""
+    """The tag map with the smallest sorted entry list in the group (NULL maps skipped)."""
     return F.min_by(tags_col, key_col)

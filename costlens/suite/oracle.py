@@ -26,7 +26,8 @@ def json_map(json_expr: str) -> str:
 
 FIXTURES = {
     "usage": f"""
-SELECT *, {json_map('tags_json')} AS tags_map, {tags_txt(json_map('tags_json'))} AS tags_txt FROM (
+SELECT *, {json_map('tags_json')} AS tags_map, {tags_txt(json_map('tags_json'))} AS tags_txt,
+  list_sort(map_entries({json_map('tags_json')})) AS tags_key FROM (
 SELECT event_id AS record_id, 'acct-1' AS account_id, CAST(user_id % 4 AS VARCHAR) AS workspace_id,
   CASE WHEN user_id % 3 = 0 THEN 'AWS' ELSE 'AZURE' END AS cloud,
   CASE event_type WHEN 'click' THEN 'PREMIUM_JOBS_SERVERLESS_COMPUTE_US' WHEN 'view' THEN 'PREMIUM_ALL_PURPOSE_SERVERLESS_COMPUTE_US'
@@ -93,7 +94,7 @@ FROM usage u JOIN list_prices p ON u.sku_name = p.sku_name AND u.cloud = p.cloud
     # C3 + C1 + F4 literal: global running sum and lag over terminal rows.
     "status_rows": f"""
 SELECT u.workspace_id, t.job_id, t.run_id, u.usage_end_time, t.period_end_time, t.period_start_time, t.slice_id, u.record_id,
-  p.price_start_time, t.result_state, u.run_as, u.tags_txt,
+  p.price_start_time, t.result_state, u.run_as, u.tags_txt, u.tags_key,
   u.usage_quantity * p.list_default AS list_cost, u.usage_quantity * p.effective_default AS effective_cost
 FROM usage u
 JOIN job_run_timeline t ON u.workspace_id = t.workspace_id AND u.job_id = t.job_id AND u.job_run_id = t.run_id
@@ -128,7 +129,7 @@ def _spend_alert_cols(_dbl) -> str:
 
 
 def _views(_dbl, raw: bool) -> dict[str, str]:
-    tm1 = ', arg_min(tags_map, tags_txt) AS tags_map' if raw else ''
+    tm1 = ', arg_min(tags_map, tags_key) AS tags_map' if raw else ''
     tm2 = ', first(tags_map) AS tags_map' if raw else ''
     tmsel = ', c.tags_map' if raw else ''
     SERVERLESS_ALERT_FILTER = (f"sku_name LIKE '%SERVERLESS%' AND billing_origin_product IN ('JOBS', 'INTERACTIVE') "
@@ -144,7 +145,7 @@ def _views(_dbl, raw: bool) -> dict[str, str]:
     SELECT lj.name, c.job_id, c.workspace_id, c.runs, c.run_as, {_dbl('c.list_cost')} AS list_cost,
       {_dbl('c.effective_cost')} AS effective_cost, c.custom_tags, c.last_seen_date{tmsel}
     FROM (SELECT workspace_id, job_id, COUNT(DISTINCT job_run_id) AS runs, SUM(list_cost) AS list_cost,
-            SUM(effective_cost) AS effective_cost, MIN(run_as) AS run_as, MIN(tags_txt) AS custom_tags,
+            SUM(effective_cost) AS effective_cost, MIN(run_as) AS run_as, arg_min(tags_txt, tags_key) AS custom_tags,
             MAX(usage_end_time) AS last_seen_date{tm1}
           FROM priced_c WHERE {JOBS_30} GROUP BY workspace_id, job_id) c
     LEFT JOIN latest_jobs lj USING (workspace_id, job_id)""",
@@ -152,7 +153,7 @@ def _views(_dbl, raw: bool) -> dict[str, str]:
     SELECT c.workspace_id, lj.name, c.job_id, c.run_id, c.run_as, {_dbl('c.list_cost')} AS list_cost,
       {_dbl('c.effective_cost')} AS effective_cost, c.custom_tags, c.last_seen_date
     FROM (SELECT workspace_id, job_id, job_run_id AS run_id, SUM(list_cost) AS list_cost, SUM(effective_cost) AS effective_cost,
-            MIN(run_as) AS run_as, MIN(tags_txt) AS custom_tags, MAX(usage_end_time) AS last_seen_date
+            MIN(run_as) AS run_as, arg_min(tags_txt, tags_key) AS custom_tags, MAX(usage_end_time) AS last_seen_date
           FROM priced_c WHERE {JOBS_30} GROUP BY workspace_id, job_id, job_run_id) c
     LEFT JOIN latest_jobs lj USING (workspace_id, job_id)""",
         "job_spend_trend": f"""
@@ -175,7 +176,7 @@ def _views(_dbl, raw: bool) -> dict[str, str]:
             period_end_time AS last_seen_date
           FROM job_run_timeline WHERE result_state IS NOT NULL AND period_end_time >= {D} - INTERVAL 30 DAY) rs
     LEFT JOIN latest_jobs lj USING (workspace_id, job_id)
-    LEFT JOIN (SELECT workspace_id, job_id, MIN(run_as) AS run_as, MIN(tags_txt) AS custom_tags,
+    LEFT JOIN (SELECT workspace_id, job_id, MIN(run_as) AS run_as, arg_min(tags_txt, tags_key) AS custom_tags,
                  SUM(status_list_cost) AS failure_list_cost, SUM(status_effective_cost) AS failure_effective_cost
                FROM status_cost WHERE result_state IN ('ERROR','FAILED','TIMED_OUT') GROUP BY workspace_id, job_id) fc
       USING (workspace_id, job_id)
@@ -191,7 +192,7 @@ def _views(_dbl, raw: bool) -> dict[str, str]:
                FROM job_run_timeline WHERE result_state = 'SUCCEEDED' GROUP BY workspace_id, job_id, run_id) s
       USING (workspace_id, job_id, run_id)
     LEFT JOIN latest_jobs lj USING (workspace_id, job_id)
-    LEFT JOIN (SELECT workspace_id, job_id, run_id, MIN(run_as) AS run_as, MIN(tags_txt) AS custom_tags,
+    LEFT JOIN (SELECT workspace_id, job_id, run_id, MIN(run_as) AS run_as, arg_min(tags_txt, tags_key) AS custom_tags,
                  SUM(status_list_cost) AS list_cost, SUM(status_effective_cost) AS effective_cost
                FROM status_cost WHERE result_state <> 'SUCCEEDED' GROUP BY workspace_id, job_id, run_id) fc
       USING (workspace_id, job_id, run_id)""",
@@ -220,7 +221,7 @@ def _views(_dbl, raw: bool) -> dict[str, str]:
     WHERE {SERVERLESS_DBU_FILTER} GROUP BY job_id, job_name, notebook_id, notebook_path, tags_txt""",
         "model_serving_costs": f"""
     SELECT u.workspace_id, se.endpoint_name, se.endpoint_id, se.created_by, se.served_entity_name, se.entity_type,
-      se.custom_model_config, se.external_model_config, MAX(u.usage_date) AS last_usage_date, MIN(u.tags_txt) AS custom_tags,
+      se.custom_model_config, se.external_model_config, MAX(u.usage_date) AS last_usage_date, arg_min(u.tags_txt, u.tags_key) AS custom_tags,
       {_dbl('SUM(u.list_cost)')} AS total_list_cost, {_dbl('SUM(u.effective_cost)')} AS total_effective_cost,
       {_dbl(f'SUM(CASE WHEN u.usage_date >= {D} - INTERVAL 7 DAY THEN u.list_cost ELSE 0 END)')} AS t7d_list_cost,
       {_dbl(f'SUM(CASE WHEN u.usage_date >= {D} - INTERVAL 7 DAY THEN u.effective_cost ELSE 0 END)')} AS t7d_effective_cost,

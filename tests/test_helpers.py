@@ -42,3 +42,16 @@ def test_every_view_has_a_presentation_order(spark):
     df = spark.createDataFrame([("w", "1", 1.0), ("w", "2", 3.0), ("w", "3", None)],
                                "workspace_id string, job_id string, list_cost double")
     assert [r.job_id for r in sorted_view("most_expensive_jobs", df).collect()] == ["2", "1", "3"]
+
+
+def test_tag_key_totals_equal_unpacked_totals(spark):
+    import datetime as dt
+    from conftest import SF_SMALL
+    from costlens.plans import dashboard as K
+    from costlens.plans import serverless as S
+    from costlens.sources import fixtures
+    t = fixtures.load_all(spark, SF_SMALL)
+    view = S.serverless_consumption_by_tag(t["usage"], t["list_prices"], dt.date(2024, 1, 31))
+    unpacked = K.unpack_tags(view)
+    keys = K.top_tag_keys(unpacked, k=1000)
+    assert keys.agg(F.sum("effective_cost")).first()[0] == unpacked.agg(F.sum("effective_cost")).first()[0]
