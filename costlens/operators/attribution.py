@@ -50,14 +50,17 @@ def timeline_hour_join(usage: DataFrame, timeline: DataFrame) -> DataFrame:
     usage start are dropped: a slice matches only if ``hour(period_start) <=
     max(usage_start)`` and ``period_end + 1 hour > min(usage_start)``.  The
     bounds come from one scalar subquery over the (already filtered) usage, so a
-    30-day usage window does not shuffle years of run history.
+    30-day usage window does not shuffle years of run history, and a long slice
+    is expanded only over the hours inside that span.
     """
     start = F.col("usage_start_time")
     span = usage.select(F.struct(F.min(start).alias("lo"), F.max(start).alias("hi"))).scalar()
+    lo, hi = span.getField("lo"), span.getField("hi")
     ps, pe = hour_floor("period_start_time"), hour_floor("period_end_time")
-    reachable = (ps <= span.getField("hi")) & \
-        (F.col("period_end_time") + F.expr("INTERVAL 1 HOUR") > span.getField("lo"))
-    hours = F.when(pe >= ps, F.sequence(ps, pe, F.expr("INTERVAL 1 HOUR")))
+    reachable = (ps <= hi) & (F.col("period_end_time") + F.expr("INTERVAL 1 HOUR") > lo)
+    # only the hours inside the usage span can match, however long the slice lasts
+    first, last = F.greatest(ps, hour_floor(lo)), F.least(pe, hour_floor(hi))
+    hours = F.when(last >= first, F.sequence(first, last, F.expr("INTERVAL 1 HOUR")))
     extra = [c for c in ("slice_id",) if c in timeline.columns]
     t = timeline.where(reachable).select(
         F.col("workspace_id").alias("_t_ws"), "job_id", "run_id", "result_state",

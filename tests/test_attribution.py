@@ -106,3 +106,16 @@ def test_hot_run_with_a_third_of_all_rows(spark):
     got = {r["record_id"]: (r["status_list_cost"], r["status_effective_cost"])
            for r in attribute_status_cost(df, ORDER, num_slices=8).collect()}
     assert got == brute_force(rows)
+
+
+def test_long_slice_expands_only_inside_usage_span(spark):
+    from conftest import ts
+    usage = usage_df(spark, [usage_row(1, "2024-01-20 10:00:00", run_id="r1"),
+                             usage_row(2, "2024-01-20 11:00:00", run_id="r1")])
+    timeline = spark.createDataFrame(
+        [(1, "w1", "j1", "r1", ts("2023-01-01 00:00:00"), ts("2024-06-01 00:00:00"), "FAILED"),   # 17 months
+         (2, "w1", "j1", "r1", ts("2020-01-01 00:00:00"), ts("2020-01-02 00:00:00"), "FAILED")],  # long before
+        "slice_id long, workspace_id string, job_id string, run_id string, period_start_time timestamp, "
+        "period_end_time timestamp, result_state string")
+    pairs = sorted((r.record_id, r.slice_id) for r in timeline_hour_join(usage, timeline).collect())
+    assert pairs == [(1, 1), (2, 1)]
