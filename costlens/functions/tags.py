@@ -1,7 +1,10 @@
 """Tag-map column functions.
 
 Tags are ``map<string,string>`` columns.  Every function here is a built-in
-Spark expression, so it stays inside whole-stage code generation.
+Spark expression (no Python UDF).  Those applied per usage or resource row
+(ordering key, missing tags, tag count, parsing) avoid lambda functions and are
+code-generated; the lambda-based ones (canonical text, merge, editor pairs) are
+used on results, tag-change requests and inventories.
 """
 
 from __future__ import annotations
@@ -42,8 +45,8 @@ def tags_or_empty(tags) -> Column:
 def tags_text(tags) -> Column:
     """Canonical text of a tag map: ``k=v`` pairs sorted and joined by ``;``.
 
-    Independent of key order, so it serves as a deterministic ordering key and
-    as a portable rendering of the map.  NULL map -> NULL, empty map -> ''.
+    Independent of key order: a portable rendering of the map for output and
+    cross-engine comparison.  NULL map -> NULL, empty map -> ''.
     """
     pairs = F.transform(F.map_entries(_col(tags)),
                         lambda e: F.concat(e["key"], F.lit("="), F.coalesce(e["value"], F.lit(""))))
@@ -80,10 +83,14 @@ def merge_tags(old, new, operation: str = MERGE) -> Column:
 
 
 def missing_tags(tags, required: Sequence[str]) -> Column:
-    """Required keys absent from the map, in the order given (repeats kept)."""
-    req = F.array(*[F.lit(t) for t in required]).cast("array<string>")
+    """Required keys absent from the map, in the order given (repeats kept).
+
+    Built per key from code-generated expressions (no lambda function).
+    """
+    if not required:
+        return F.array().cast("array<string>")
     present = tags_or_empty(tags)
-    return F.filter(req, lambda k: ~F.map_contains_key(present, k))
+    return F.array_compact(F.array(*[F.when(~F.map_contains_key(present, F.lit(t)), F.lit(t)) for t in required]))
 
 
 def tag_count(tags) -> Column:

@@ -159,6 +159,16 @@ def compliance_summary(resources: DataFrame, required: Sequence[str] = DEFAULT_R
                     (total - comp).alias("non_compliant_resources"), _pct(comp, total).alias("compliance_percentage"))
 
 
+def compliance_rollup(resources: DataFrame, required: Sequence[str] = DEFAULT_REQUIRED_TAGS) -> DataFrame:
+    """Per-type and overall compliance counts in one aggregation (``rollup``);
+    the overall row has ``resource_type`` NULL."""
+    per = resources.rollup("resource_type").agg(F.count(F.lit(1)).alias("total"),
+                                                F.sum(_compliant(required)).cast("long").alias("compliant"))
+    total, comp = F.col("total"), F.coalesce("compliant", F.lit(0)).cast("long")
+    return per.select("resource_type", total.alias("total"), comp.alias("compliant"),
+                      (total - comp).alias("non_compliant"), _pct(comp, total).alias("compliance_percentage"))
+
+
 def untagged(resources: DataFrame, resource_type: str | None = None) -> DataFrame:
     """Resources without any tag (optionally of one type)."""
     df = resources.where(F.col("tag_count") == 0)

@@ -524,6 +524,15 @@ SELECT total AS total_resources, compliant AS compliant_resources, total - compl
 FROM (SELECT COUNT(*) AS total,
         CAST(COALESCE(SUM(CASE WHEN len(list_filter({_REQ_LIST}, lambda k: NOT map_contains(tags_map, k))) = 0 THEN 1 ELSE 0 END), 0) AS BIGINT)
           AS compliant FROM resources) s""",
+    "e16_compliance_rollup": f"""
+SELECT resource_type, COUNT(*) AS total,
+  CAST(SUM(CASE WHEN len(list_filter({_REQ_LIST}, lambda k: NOT map_contains(tags_map, k))) = 0 THEN 1 ELSE 0 END) AS BIGINT)
+    AS compliant,
+  COUNT(*) - CAST(SUM(CASE WHEN len(list_filter({_REQ_LIST}, lambda k: NOT map_contains(tags_map, k))) = 0 THEN 1 ELSE 0 END) AS BIGINT)
+    AS non_compliant,
+  CASE WHEN COUNT(*) > 0 THEN CAST(SUM(CASE WHEN len(list_filter({_REQ_LIST}, lambda k: NOT map_contains(tags_map, k))) = 0
+    THEN 1 ELSE 0 END) AS DOUBLE) / CAST(COUNT(*) AS DOUBLE) * 100 ELSE 0.0 END AS compliance_percentage
+FROM resources GROUP BY ROLLUP (resource_type)""",
     "l9_untagged": """
 SELECT resource_type, resource_id, resource_name, state, tags_txt AS tags, tag_count FROM resources WHERE tag_count = 0""",
     "l9_untagged_clusters": """

@@ -249,6 +249,7 @@ TAG_QUERIES: dict[str, QueryFn] = {
     "l6_compliance_details": _on_resources(L.compliance_details),
     "l7_compliance_by_type": _on_resources(L.compliance_by_type),
     "l8_compliance_summary": _on_resources(L.compliance_summary),
+    "e16_compliance_rollup": _on_resources(L.compliance_rollup),
     "l9_untagged": _on_resources(L.untagged),
     "l9_untagged_clusters": _on_resources(L.untagged, resource_type="cluster"),
     "l10_resource_counts": _on_resources(L.resource_counts),
