@@ -14,9 +14,9 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..fixed import MERGE, REMOVE, REPLACE
 from ..sources.schemas import TAGS
 
-MERGE, REPLACE, REMOVE = "merge", "replace", "remove"
 
 
 def _col(c) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..fixed import ELLIPSIS, JOB_ID_LABEL, NO_AMOUNT, NO_NUMBER, RUN_LABEL, RUN_NAME_CHARS
+
 
 def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -14,21 +16,21 @@ def display_name(name, job_id) -> Column:
     """The name when it has non-blank text, else ``Job ID: <id>``."""
     n = _col(name)
     blank = n.isNull() | (F.length(F.trim(n)) == 0)
-    return F.when(blank, F.concat(F.lit("Job ID: "), _col(job_id).cast("string"))).otherwise(n)
+    return F.when(blank, F.concat(F.lit(JOB_ID_LABEL), _col(job_id).cast("string"))).otherwise(n)
 
 
 def run_label(name, run_id) -> Column:
     """First 20 characters of the name plus ``...``, else ``Run <id>``."""
     n = _col(name)
     blank = n.isNull() | (F.length(F.trim(n)) == 0)
-    return F.when(blank, F.concat(F.lit("Run "), _col(run_id).cast("string"))) \
-        .otherwise(F.concat(F.substring(n, 1, 20), F.lit("...")))
+    return F.when(blank, F.concat(F.lit(RUN_LABEL), _col(run_id).cast("string"))) \
+        .otherwise(F.concat(F.substring(n, 1, RUN_NAME_CHARS), F.lit(ELLIPSIS)))
 
 
 def format_currency(x) -> Column:
     """``$1,234.57``; NULL -> ``$0.00``."""
     v = _col(x).cast("double")
-    return F.when(v.isNull(), F.lit("$0.00")).otherwise(
+    return F.when(v.isNull(), F.lit(NO_AMOUNT)).otherwise(
         F.when(v < 0, F.concat(F.lit("-$"), F.format_number(-v, 2)))
          .otherwise(F.concat(F.lit("$"), F.format_number(v, 2))))
 
@@ -40,7 +42,7 @@ def format_large_number(x) -> Column:
     def one_decimal(c):
         return F.format_string("%.1f", c)
 
-    return (F.when(v.isNull(), F.lit("0"))
+    return (F.when(v.isNull(), F.lit(NO_NUMBER))
             .when(v >= 1_000_000, F.concat(one_decimal(v / 1_000_000), F.lit("M")))
             .when(v >= 1_000, F.concat(one_decimal(v / 1_000), F.lit("K")))
             .otherwise(one_decimal(v)))

@@ -14,6 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..fixed import CAPTION, DETAIL_ROWS, LOOKBACK_DAYS, TOP_ENDPOINTS, TOP_K
 from ..functions.text import display_name, format_money_columns, run_label
 from ..operators.filters import filter_in, filter_tag, since_latest
 from ..operators.metrics import mean, mean_of_group_sums, summary
@@ -21,7 +22,7 @@ from ..operators.pricing import priced_usage
 from ..operators.topk import capped, top_groups, top_k
 from .jobs import jobs_usage
 
-TOP = 25
+TOP = TOP_K
 
 
 # ---- K1 / K6 / K19: filters -------------------------------------------------------------
@@ -87,7 +88,7 @@ def top_jobs_by_run_count(runs_view: DataFrame, k: int = TOP) -> DataFrame:
 
 # ---- trend page --------------------------------------------------------------------------
 
-def daily_job_costs(usage: DataFrame, prices: DataFrame, as_of=None, lookback_days: int = 30) -> DataFrame:
+def daily_job_costs(usage: DataFrame, prices: DataFrame, as_of=None, lookback_days: int = LOOKBACK_DAYS) -> DataFrame:
     """Daily effective cost per job (the dated series the trend page needs)."""
     priced = priced_usage(jobs_usage(usage, as_of, lookback_days), prices)
     return priced.groupBy("usage_date", "workspace_id", F.col("usage_metadata.job_id").alias("job_id")).agg(
@@ -193,7 +194,7 @@ def cost_by_entity_type(serving_view: DataFrame) -> DataFrame:
         F.sum("total_effective_cost").alias("total_effective_cost"))
 
 
-def top_endpoints(serving_view: DataFrame, k: int = 10) -> DataFrame:
+def top_endpoints(serving_view: DataFrame, k: int = TOP_ENDPOINTS) -> DataFrame:
     """Endpoints by summed cost."""
     return top_groups(serving_view, k, "endpoint_name", "total_effective_cost")
 
@@ -211,7 +212,7 @@ def batch_metrics(batch_view: DataFrame) -> DataFrame:
                                 mean("total_effective_cost").alias("avg_cost")])
 
 
-def daily_endpoint_cost(batch_view: DataFrame, days: int = 30) -> DataFrame:
+def daily_endpoint_cost(batch_view: DataFrame, days: int = LOOKBACK_DAYS) -> DataFrame:
     """Cost per day and endpoint over the last ``days`` days before the latest date."""
     recent = since_latest(batch_view, "usage_date", days)
     return recent.where(F.col("usage_date").isNotNull() & F.col("endpoint_name").isNotNull()) \
@@ -260,11 +261,11 @@ def coerce_numeric(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df.withColumns({c: F.col(c).try_cast("double") for c in cols if c in df.columns})
 
 
-def detail_table(df: DataFrame, sort_col: str, keys: Sequence[str], max_rows: int = 100) -> DataFrame:
+def detail_table(df: DataFrame, sort_col: str, keys: Sequence[str], max_rows: int = DETAIL_ROWS) -> DataFrame:
     """First ``max_rows`` rows by ``sort_col`` descending with money columns as currency
     text, and the ``showing n of N`` caption (N from a scalar subquery)."""
     total = df.select(F.count(F.lit(1))).scalar()
     order = [F.col(sort_col).desc_nulls_last()] + [F.col(c).asc_nulls_first() for c in keys]
     shown = format_money_columns(capped(df, max_rows, order))
-    caption = F.format_string("Showing %d of %d rows", F.least(total, F.lit(max_rows)), total)
+    caption = F.format_string(CAPTION, F.least(total, F.lit(max_rows)), total)
     return shown.withColumn("caption", caption)

@@ -10,21 +10,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..fixed import FAILURE_STATES, LOOKBACK_DAYS, PRODUCT_JOBS, SUCCEEDED, TREND_LOOKBACK_DAYS
 from ..functions.dates import as_date, days_before, growth_pct, midnight, seconds_between
 from ..operators.attribution import attribute_status_cost, attribution_order, timeline_hour_join
 from ..operators.latest import latest_jobs
 from ..operators.picks import TAGS_KEY, pick_tags, with_tags_key
 from ..operators.pricing import priced_usage
 
-FAILURE_STATES = ["ERROR", "FAILED", "TIMED_OUT"]
-SUCCEEDED = "SUCCEEDED"
 JOB_KEYS = ["workspace_id", "job_id"]
 RUN_KEYS = ["workspace_id", "job_id", "run_id"]
 
 
 def jobs_usage(usage: DataFrame, as_of, lookback_days: int) -> DataFrame:
     """Usage billed to jobs in the lookback window."""
-    return usage.where((F.col("billing_origin_product") == "JOBS")
+    return usage.where((F.col("billing_origin_product") == PRODUCT_JOBS)
                        & (F.col("usage_date") >= days_before(as_of, lookback_days)))
 
 
@@ -54,7 +53,7 @@ def _run_level(cols: DataFrame) -> DataFrame:
 
 
 def most_expensive_jobs(usage: DataFrame, prices: DataFrame, jobs: DataFrame, as_of=None,
-                        lookback_days: int = 30) -> DataFrame:
+                        lookback_days: int = LOOKBACK_DAYS) -> DataFrame:
     """Cost, distinct runs, user, tags and last usage per job over the window.
 
     Aggregated in two levels (per run, then per job) so a job with very many
@@ -75,7 +74,7 @@ def most_expensive_jobs(usage: DataFrame, prices: DataFrame, jobs: DataFrame, as
 
 
 def most_expensive_job_runs(usage: DataFrame, prices: DataFrame, jobs: DataFrame, as_of=None,
-                            lookback_days: int = 30) -> DataFrame:
+                            lookback_days: int = LOOKBACK_DAYS) -> DataFrame:
     """Cost, user, tags and last usage per job run over the window."""
     runs = _run_level(_job_columns(priced_usage(jobs_usage(usage, as_of, lookback_days), prices)))
     return runs.join(_job_names(jobs), JOB_KEYS, "left").select(
@@ -84,7 +83,7 @@ def most_expensive_job_runs(usage: DataFrame, prices: DataFrame, jobs: DataFrame
 
 
 def job_spend_trend(usage: DataFrame, prices: DataFrame, jobs: DataFrame, as_of=None,
-                    lookback_days: int = 14) -> DataFrame:
+                    lookback_days: int = TREND_LOOKBACK_DAYS) -> DataFrame:
     """Effective spend of the last week vs the week before, per job, user, SKU and tag set.
 
     Windows on ``usage_end_time``, both ends inclusive: last week
@@ -107,7 +106,7 @@ def job_spend_trend(usage: DataFrame, prices: DataFrame, jobs: DataFrame, as_of=
 
 
 def status_costs(usage: DataFrame, prices: DataFrame, timeline: DataFrame, as_of=None,
-                 lookback_days: int = 30, num_slices: int | None = None) -> DataFrame:
+                 lookback_days: int = LOOKBACK_DAYS, num_slices: int | None = None) -> DataFrame:
     """C3 + C1 + F4: terminal run slices with the cost attributed to them.
 
     Columns: run keys, ``result_state``, ``run_as``, ``custom_tags``, the
@@ -128,7 +127,7 @@ def _is_failure(state: Column) -> Column:
 
 
 def failed_jobs_analysis(usage: DataFrame, prices: DataFrame, timeline: DataFrame, jobs: DataFrame,
-                         as_of=None, lookback_days: int = 30, num_slices: int | None = None,
+                         as_of=None, lookback_days: int = LOOKBACK_DAYS, num_slices: int | None = None,
                          attributed: DataFrame | None = None) -> DataFrame:
     """Terminal runs, failures, success ratio and failure cost per job.
 
@@ -160,7 +159,7 @@ def failed_jobs_analysis(usage: DataFrame, prices: DataFrame, timeline: DataFram
 
 
 def job_retry_patterns(usage: DataFrame, prices: DataFrame, timeline: DataFrame, jobs: DataFrame,
-                       as_of=None, lookback_days: int = 30, num_slices: int | None = None,
+                       as_of=None, lookback_days: int = LOOKBACK_DAYS, num_slices: int | None = None,
                        attributed: DataFrame | None = None) -> DataFrame:
     """Runs with more than one terminal slice (whole history), their repair count,
     unsuccessful cost (window) and time from first terminal slice to last success.

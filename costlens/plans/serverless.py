@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..fixed import (LOOKBACK_DAYS, PRODUCT_INTERACTIVE, PRODUCT_JOBS, SKU_JOBS_SERVERLESS_COMPUTE, SKU_SERVERLESS,
+                     UNIT_DBU)
 from ..functions.dates import as_date, days_before
 from ..operators.pricing import priced_usage
 
@@ -45,26 +47,26 @@ def _spend_alert_aggs(as_of) -> list[Column]:
 
 
 def _serverless_usage(usage: DataFrame, products: list[str], as_of, lookback_days: int) -> DataFrame:
-    return usage.where(F.col("sku_name").like("%SERVERLESS%")
+    return usage.where(F.col("sku_name").like(SKU_SERVERLESS)
                        & F.col("billing_origin_product").isin(*products)
                        & _in_window(as_of, lookback_days))
 
 
-def workspace_spend_alerts(usage: DataFrame, prices: DataFrame, as_of=None, lookback_days: int = 30) -> DataFrame:
+def workspace_spend_alerts(usage: DataFrame, prices: DataFrame, as_of=None, lookback_days: int = LOOKBACK_DAYS) -> DataFrame:
     """Serverless job + interactive spend per workspace with weekly split."""
-    priced = priced_usage(_serverless_usage(usage, ["JOBS", "INTERACTIVE"], as_of, lookback_days), prices)
+    priced = priced_usage(_serverless_usage(usage, [PRODUCT_JOBS, PRODUCT_INTERACTIVE], as_of, lookback_days), prices)
     return priced.groupBy("workspace_id").agg(*_spend_alert_aggs(as_of))
 
 
-def user_spend_alerts(usage: DataFrame, prices: DataFrame, as_of=None, lookback_days: int = 30) -> DataFrame:
+def user_spend_alerts(usage: DataFrame, prices: DataFrame, as_of=None, lookback_days: int = LOOKBACK_DAYS) -> DataFrame:
     """As J6 per user (``run_as``; a NULL user is its own group)."""
-    priced = priced_usage(_serverless_usage(usage, ["JOBS", "INTERACTIVE"], as_of, lookback_days), prices)
+    priced = priced_usage(_serverless_usage(usage, [PRODUCT_JOBS, PRODUCT_INTERACTIVE], as_of, lookback_days), prices)
     return priced.groupBy(_run_as()).agg(*_spend_alert_aggs(as_of))
 
 
-def job_spend_alerts(usage: DataFrame, prices: DataFrame, as_of=None, lookback_days: int = 30) -> DataFrame:
+def job_spend_alerts(usage: DataFrame, prices: DataFrame, as_of=None, lookback_days: int = LOOKBACK_DAYS) -> DataFrame:
     """Serverless job spend per workspace and job."""
-    priced = priced_usage(_serverless_usage(usage, ["JOBS"], as_of, lookback_days), prices)
+    priced = priced_usage(_serverless_usage(usage, [PRODUCT_JOBS], as_of, lookback_days), prices)
     return priced.groupBy("workspace_id", F.col("usage_metadata.job_id").alias("job_id")).agg(
         F.sum("list_cost").alias("list_cost"), F.sum("effective_cost").alias("effective_cost"))
 
@@ -75,41 +77,41 @@ def _dbu_aggs() -> list[Column]:
             F.sum("effective_cost").alias("effective_cost")]
 
 
-def serverless_notebook_spend(usage: DataFrame, prices: DataFrame, as_of=None, lookback_days: int = 30) -> DataFrame:
+def serverless_notebook_spend(usage: DataFrame, prices: DataFrame, as_of=None, lookback_days: int = LOOKBACK_DAYS) -> DataFrame:
     """Serverless interactive DBUs and cost per notebook and user."""
     u = usage.where(F.col("usage_metadata.notebook_id").isNotNull()
-                    & (F.col("billing_origin_product") == "INTERACTIVE")
+                    & (F.col("billing_origin_product") == PRODUCT_INTERACTIVE)
                     & F.col("product_features.is_serverless")
-                    & (F.col("usage_unit") == "DBU")
+                    & (F.col("usage_unit") == UNIT_DBU)
                     & _in_window(as_of, lookback_days))
     return priced_usage(u, prices).groupBy(*_notebook_cols(), _run_as()).agg(*_dbu_aggs())
 
 
-def serverless_job_spend(usage: DataFrame, prices: DataFrame, as_of=None, lookback_days: int = 30) -> DataFrame:
+def serverless_job_spend(usage: DataFrame, prices: DataFrame, as_of=None, lookback_days: int = LOOKBACK_DAYS) -> DataFrame:
     """Serverless jobs-compute DBUs and cost per job."""
     u = usage.where(F.col("usage_metadata.job_id").isNotNull()
-                    & (F.col("usage_unit") == "DBU")
+                    & (F.col("usage_unit") == UNIT_DBU)
                     & _in_window(as_of, lookback_days)
-                    & F.col("sku_name").like("%JOBS_SERVERLESS_COMPUTE%"))
+                    & F.col("sku_name").like(SKU_JOBS_SERVERLESS_COMPUTE))
     return priced_usage(u, prices).groupBy(*_job_cols()).agg(*_dbu_aggs())
 
 
 def _serverless_dbu_usage(usage: DataFrame, as_of, lookback_days: int) -> DataFrame:
-    return usage.where(F.col("billing_origin_product").isin("JOBS", "INTERACTIVE")
+    return usage.where(F.col("billing_origin_product").isin(PRODUCT_JOBS, PRODUCT_INTERACTIVE)
                        & F.col("product_features.is_serverless")
-                       & (F.col("usage_unit") == "DBU")
+                       & (F.col("usage_unit") == UNIT_DBU)
                        & _in_window(as_of, lookback_days))
 
 
 def user_serverless_consumption(usage: DataFrame, prices: DataFrame, as_of=None,
-                                lookback_days: int = 30) -> DataFrame:
+                                lookback_days: int = LOOKBACK_DAYS) -> DataFrame:
     """Serverless DBUs and cost per job, notebook and user."""
     priced = priced_usage(_serverless_dbu_usage(usage, as_of, lookback_days), prices)
     return priced.groupBy(*_job_cols(), *_notebook_cols(), _run_as()).agg(*_dbu_aggs())
 
 
 def serverless_consumption_by_tag(usage: DataFrame, prices: DataFrame, as_of=None,
-                                  lookback_days: int = 30) -> DataFrame:
+                                  lookback_days: int = LOOKBACK_DAYS) -> DataFrame:
     """Serverless DBUs and cost per job, notebook and tag set (map key)."""
     priced = priced_usage(_serverless_dbu_usage(usage, as_of, lookback_days), prices)
     return priced.groupBy(*_job_cols(), *_notebook_cols(), "custom_tags").agg(*_dbu_aggs())

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..fixed import LOOKBACK_DAYS, OFFERING_BATCH_INFERENCE, PRODUCT_MODEL_SERVING, SKU_SERVERLESS_REAL_TIME_INFERENCE
 from ..functions.dates import as_date, days_before
 from ..operators.picks import TAGS_KEY, pick_tags, with_tags_key
 from ..operators.pricing import POINT, priced_usage
@@ -29,7 +30,7 @@ def join_served_entities(usage: DataFrame, served_entities: DataFrame,
 
 
 def model_serving_costs(usage: DataFrame, prices: DataFrame, served_entities: DataFrame, as_of=None,
-                        lookback_days: int = 30, broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+                        lookback_days: int = LOOKBACK_DAYS, broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
     """Real-time inference cost per workspace and served entity, with 7/14/30-day sums.
 
     Usage joins every entity served behind its endpoint (C10), so an endpoint
@@ -43,7 +44,7 @@ def model_serving_costs(usage: DataFrame, prices: DataFrame, served_entities: Da
     usage record.
     """
     d = as_date(as_of)
-    u = usage.where(F.col("sku_name").like("%SERVERLESS_REAL_TIME_INFERENCE%")
+    u = usage.where(F.col("sku_name").like(SKU_SERVERLESS_REAL_TIME_INFERENCE)
                     & F.col("usage_quantity").isNotNull()
                     & F.col("usage_metadata.endpoint_name").isNotNull()
                     & (F.col("usage_date") >= days_before(as_of, lookback_days)))
@@ -65,10 +66,10 @@ def model_serving_costs(usage: DataFrame, prices: DataFrame, served_entities: Da
         *[F.sum(k).alias(k) for k in sums])
 
 
-def batch_inference_costs(usage: DataFrame, prices: DataFrame, as_of=None, lookback_days: int = 30) -> DataFrame:
+def batch_inference_costs(usage: DataFrame, prices: DataFrame, as_of=None, lookback_days: int = LOOKBACK_DAYS) -> DataFrame:
     """Batch-inference cost per workspace, day, user, tag set and endpoint."""
-    u = usage.where((F.col("billing_origin_product") == "MODEL_SERVING")
-                    & (F.col("product_features.model_serving.offering_type") == "BATCH_INFERENCE")
+    u = usage.where((F.col("billing_origin_product") == PRODUCT_MODEL_SERVING)
+                    & (F.col("product_features.model_serving.offering_type") == OFFERING_BATCH_INFERENCE)
                     & (F.col("usage_date") >= days_before(as_of, lookback_days)))
     priced = priced_usage(u, prices, POINT)
     return priced.groupBy(

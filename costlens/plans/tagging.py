@@ -12,15 +12,11 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..fixed import (DEFAULT_REQUIRED_TAGS, NOT_FOUND, RESOURCE_TYPES, UNKNOWN_NAME, UNKNOWN_STATE,
+                     UNKNOWN_TYPE)
 from ..functions.tags import MERGE, merge_tags, missing_tags, tag_count, tags_literal, tags_or_empty
 from ..sources import schemas
 
-# Resource kinds and the messages of the tag tool.
-RESOURCE_TYPES = ["cluster", "warehouse", "job", "pipeline"]
-NOT_FOUND = {"cluster": "Cluster {} not found", "warehouse": "Warehouse {} not found",
-             "job": "Job {} not found or has no settings", "pipeline": "Pipeline {} not found or has no spec"}
-UNKNOWN_TYPE = "Unknown resource type: {}"
-DEFAULT_REQUIRED_TAGS = ["environment", "team", "owner"]
 
 
 def resource_inventory(clusters: DataFrame, warehouses: DataFrame, job_settings: DataFrame,
@@ -31,7 +27,7 @@ def resource_inventory(clusters: DataFrame, warehouses: DataFrame, job_settings:
     default to ``Unknown`` without settings/spec; missing tags -> ``{}``;
     pipeline tags are the spec configuration.
     """
-    unknown = F.lit("unknown")
+    unknown = F.lit(UNKNOWN_STATE)
     parts = [
         clusters.select(F.lit("cluster").alias("resource_type"), F.col("cluster_id").alias("resource_id"),
                         F.col("cluster_name").alias("resource_name"), F.coalesce("state", unknown).alias("state"),
@@ -40,12 +36,12 @@ def resource_inventory(clusters: DataFrame, warehouses: DataFrame, job_settings:
                           F.col("name").alias("resource_name"), F.coalesce("state", unknown).alias("state"),
                           tags_or_empty("tags").alias("tags")),
         job_settings.select(F.lit("job").alias("resource_type"), F.col("job_id").alias("resource_id"),
-                            F.when(F.col("settings").isNull(), F.lit("Unknown"))
+                            F.when(F.col("settings").isNull(), F.lit(UNKNOWN_NAME))
                              .otherwise(F.col("settings.name")).alias("resource_name"),
                             F.lit(None).cast("string").alias("state"),
                             tags_or_empty("settings.tags").alias("tags")),
         pipelines.select(F.lit("pipeline").alias("resource_type"), F.col("pipeline_id").alias("resource_id"),
-                         F.when(F.col("spec").isNull(), F.lit("Unknown"))
+                         F.when(F.col("spec").isNull(), F.lit(UNKNOWN_NAME))
                           .otherwise(F.col("spec.name")).alias("resource_name"),
                          F.coalesce("state", unknown).alias("state"),
                          tags_or_empty("spec.configuration").alias("tags")),
@@ -127,7 +123,7 @@ def compliance_details(resources: DataFrame, required: Sequence[str] = DEFAULT_R
     """Non-compliant resources with their missing required tags (in the order required)."""
     m = missing_tags("tags", list(required))
     return resources.withColumn("missing_tags", m).where(F.size("missing_tags") > 0).select(
-        "resource_type", "resource_id", F.coalesce("resource_name", F.lit("Unknown")).alias("resource_name"),
+        "resource_type", "resource_id", F.coalesce("resource_name", F.lit(UNKNOWN_NAME)).alias("resource_name"),
         "missing_tags", F.col("tags").alias("current_tags"))
 
 

@@ -6,10 +6,11 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..fixed import READ_LIMIT
 from ..operators.filters import filter_in
 from ..operators.topk import capped
 
-DEFAULT_LIMIT = 1000
+DEFAULT_LIMIT = READ_LIMIT
 
 
 def query_view(df: DataFrame, filters: Mapping[str, object] | None = None, limit: int | None = DEFAULT_LIMIT,
