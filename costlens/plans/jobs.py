@@ -52,14 +52,21 @@ def _run_level(cols: DataFrame) -> DataFrame:
     )
 
 
+def run_costs(usage: DataFrame, prices: DataFrame, as_of=None, lookback_days: int = LOOKBACK_DAYS) -> DataFrame:
+    """Per-run cost, user, tag pick and last usage over the window (shared by J1 and J2)."""
+    return _run_level(_job_columns(priced_usage(jobs_usage(usage, as_of, lookback_days), prices)))
+
+
 def most_expensive_jobs(usage: DataFrame, prices: DataFrame, jobs: DataFrame, as_of=None,
-                        lookback_days: int = LOOKBACK_DAYS) -> DataFrame:
+                        lookback_days: int = LOOKBACK_DAYS, runs: DataFrame | None = None) -> DataFrame:
     """Cost, distinct runs, user, tags and last usage per job over the window.
 
     Aggregated in two levels (per run, then per job) so a job with very many
-    runs is combined across tasks instead of in one.
+    runs is combined across tasks instead of in one.  ``runs`` may pass a
+    precomputed :func:`run_costs` (shared with J2 during a refresh).
     """
-    runs = _run_level(_job_columns(priced_usage(jobs_usage(usage, as_of, lookback_days), prices)))
+    if runs is None:
+        runs = run_costs(usage, prices, as_of, lookback_days)
     per_job = runs.groupBy(*JOB_KEYS).agg(
         F.count("run_id").alias("runs"),
         F.sum("list_cost").alias("list_cost"),
@@ -74,9 +81,10 @@ def most_expensive_jobs(usage: DataFrame, prices: DataFrame, jobs: DataFrame, as
 
 
 def most_expensive_job_runs(usage: DataFrame, prices: DataFrame, jobs: DataFrame, as_of=None,
-                            lookback_days: int = LOOKBACK_DAYS) -> DataFrame:
+                            lookback_days: int = LOOKBACK_DAYS, runs: DataFrame | None = None) -> DataFrame:
     """Cost, user, tags and last usage per job run over the window."""
-    runs = _run_level(_job_columns(priced_usage(jobs_usage(usage, as_of, lookback_days), prices)))
+    if runs is None:
+        runs = run_costs(usage, prices, as_of, lookback_days)
     return runs.join(_job_names(jobs), JOB_KEYS, "left").select(
         "workspace_id", "name", "job_id", "run_id", "run_as", "list_cost", "effective_cost",
         "custom_tags", "last_seen_date")

@@ -17,8 +17,10 @@ ViewFn = Callable[[dict, object], DataFrame]
 
 # name -> builder(tables, as_of); tables holds usage, list_prices, jobs, job_run_timeline, served_entities
 VIEWS: dict[str, ViewFn] = {
-    "most_expensive_jobs": lambda t, d: J.most_expensive_jobs(t["usage"], t["list_prices"], t["jobs"], d),
-    "most_expensive_job_runs": lambda t, d: J.most_expensive_job_runs(t["usage"], t["list_prices"], t["jobs"], d),
+    "most_expensive_jobs": lambda t, d: J.most_expensive_jobs(t["usage"], t["list_prices"], t["jobs"], d,
+                                                              runs=t.get("_run_costs")),
+    "most_expensive_job_runs": lambda t, d: J.most_expensive_job_runs(t["usage"], t["list_prices"], t["jobs"], d,
+                                                                      runs=t.get("_run_costs")),
     "job_spend_trend": lambda t, d: J.job_spend_trend(t["usage"], t["list_prices"], t["jobs"], d),
     "failed_jobs_analysis": lambda t, d: J.failed_jobs_analysis(t["usage"], t["list_prices"], t["job_run_timeline"],
                                                                 t["jobs"], d, attributed=t.get("_status_costs")),
@@ -89,8 +91,9 @@ def refresh_all(spark: SparkSession, tables: dict[str, DataFrame], as_of=None, d
     keep each scan to the days and columns that view needs, which beats caching
     a month of usage at large scale.  ``share_usage_window=True`` reads the slice
     once and persists it (memory, then disk) instead, worthwhile when the slice
-    fits comfortably in executor memory.  The status cost attribution feeding
-    J4 and J5 (terminal run slices only) is computed once and shared.
+    fits comfortably in executor memory.  Two intermediate results are computed
+    once and shared: the per-run costs behind J1 and J2 (one row per run), and
+    the status cost attribution behind J4 and J5 (terminal run slices only).
     """
     t = dict(tables)
     names = list(views or VIEWS)
@@ -99,6 +102,9 @@ def refresh_all(spark: SparkSession, tables: dict[str, DataFrame], as_of=None, d
         t["usage"] = t["usage"].where(F.col("usage_date") >= days_before(as_of, max_lookback_days)) \
             .persist(StorageLevel.MEMORY_AND_DISK)
         shared.append(t["usage"])
+    if {"most_expensive_jobs", "most_expensive_job_runs"} <= set(names):
+        t["_run_costs"] = J.run_costs(t["usage"], t["list_prices"], as_of).persist(StorageLevel.MEMORY_AND_DISK)
+        shared.append(t["_run_costs"])
     if {"failed_jobs_analysis", "job_retry_patterns"} <= set(names):
         t["_status_costs"] = J.status_costs(t["usage"], t["list_prices"], t["job_run_timeline"], as_of) \
             .persist(StorageLevel.MEMORY_AND_DISK)
