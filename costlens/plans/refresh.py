@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.dates import days_before
+from ..operators.latest import latest_jobs
 from . import jobs as J
 from . import serverless as S
 from . import serving as V
@@ -63,6 +64,10 @@ def sorted_view(name: str, df: DataFrame) -> DataFrame:
     return df.orderBy(F.col(metric).desc_nulls_last(), *[F.col(k).asc_nulls_first() for k in keys])
 
 
+JOB_NAME_VIEWS = ["most_expensive_jobs", "most_expensive_job_runs", "job_spend_trend", "failed_jobs_analysis",
+                  "job_retry_patterns"]
+
+
 def materialize(df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> str:
     """B1: ``CREATE OR REPLACE`` as a catalog table.
 
@@ -92,8 +97,9 @@ def refresh_all(spark: SparkSession, tables: dict[str, DataFrame], as_of=None, d
     a month of usage at large scale.  ``share_usage_window=True`` reads the slice
     once and persists it (memory, then disk) instead, worthwhile when the slice
     fits comfortably in executor memory.  Two intermediate results are computed
-    once and shared: the per-run costs behind J1 and J2 (one row per run), and
-    the status cost attribution behind J4 and J5 (terminal run slices only).
+    once and shared: the latest version of each job (J1-J5), the per-run costs
+    behind J1 and J2 (one row per run), and the status cost attribution behind
+    J4 and J5 (terminal run slices only).
     """
     t = dict(tables)
     names = list(views or VIEWS)
@@ -102,6 +108,11 @@ def refresh_all(spark: SparkSession, tables: dict[str, DataFrame], as_of=None, d
         t["usage"] = t["usage"].where(F.col("usage_date") >= days_before(as_of, max_lookback_days)) \
             .persist(StorageLevel.MEMORY_AND_DISK)
         shared.append(t["usage"])
+    if sum(n in names for n in JOB_NAME_VIEWS) > 1:
+        # J1-J5 each need the latest version per job; reduce the history once (taking the
+        # latest version again is a no-op on the result)
+        t["jobs"] = latest_jobs(t["jobs"]).persist(StorageLevel.MEMORY_AND_DISK)
+        shared.append(t["jobs"])
     if {"most_expensive_jobs", "most_expensive_job_runs"} <= set(names):
         t["_run_costs"] = J.run_costs(t["usage"], t["list_prices"], as_of).persist(StorageLevel.MEMORY_AND_DISK)
         shared.append(t["_run_costs"])
