@@ -92,6 +92,10 @@ def attribute_status_cost(rows: DataFrame, order: Sequence[str], costs: Sequence
     ``order`` must be a total order for the result to be deterministic.
     ``num_slices`` fixes the number of range slices; by default it follows
     ``spark.sql.shuffle.partitions`` and AQE's coalescing to the advisory size.
+
+    Building the result runs one Spark job: the slices are checkpointed eagerly
+    (to ``spark.checkpoint.dir``) so that everything downstream reads the same
+    slice assignment.
     """
     spark = rows.sparkSession
     ensure_checkpoint_dir(spark)

@@ -119,6 +119,7 @@ def status_costs(usage: DataFrame, prices: DataFrame, timeline: DataFrame, as_of
 
     Columns: run keys, ``result_state``, ``run_as``, ``custom_tags``, the
     ordering columns, and ``status_list_cost`` / ``status_effective_cost``.
+    Building it runs the checkpoint job of :func:`attribute_status_cost`.
     """
     # inner joins commute: the timeline join sees the plain usage window (cheap slice bounds),
     # the broadcast price join then prices the joined rows
