@@ -3,10 +3,11 @@
 C3 — hour-range join
     A usage record belongs to a run slice when workspace, job and run match and
     ``hour(usage_start) ∈ [hour(period_start), hour(period_end)]``.  Each slice
-    is expanded to the hours it covers, which turns the range into an equi key
-    ``(workspace, job, run, hour)``: no residual range test, and a long run is
-    spread over many join keys instead of one.  Several slices in one hour all
-    match the same usage record (the fan-out of the original is kept).
+    is expanded to the hours it covers within the usage time span, which turns
+    the range into an equi key ``(workspace, job, run, hour)``: no residual
+    range test, and a long run is spread over many join keys instead of one.
+    Several slices in one hour all match the same usage record (the fan-out of
+    the original is kept).
 
 F4 — status cost attribution
     Over all joined rows in the global order ``(workspace, job, run,
