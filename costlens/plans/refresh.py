@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -88,7 +89,7 @@ def materialize(df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> s
 
 def refresh_all(spark: SparkSession, tables: dict[str, DataFrame], as_of=None, database: str | None = None,
                 views: Sequence[str] | None = None, share_usage_window: bool = False,
-                max_lookback_days: int = 30) -> list[str]:
+                max_lookback_days: int = 30, concurrent_views: int = 4) -> list[str]:
     """B2: rebuild every view (or ``views``) as tables in ``database``.
 
     All views read usage of the last ``max_lookback_days`` days at most.  By
@@ -99,7 +100,8 @@ def refresh_all(spark: SparkSession, tables: dict[str, DataFrame], as_of=None, d
     fits comfortably in executor memory.  Two intermediate results are computed
     once and shared: the latest version of each job (J1-J5), the per-run costs
     behind J1 and J2 (one row per run), and the status cost attribution behind
-    J4 and J5 (terminal run slices only).
+    J4 and J5 (terminal run slices only).  Up to ``concurrent_views`` views are
+    written at the same time as concurrent Spark jobs of this session.
     """
     t = dict(tables)
     names = list(views or VIEWS)
@@ -120,12 +122,15 @@ def refresh_all(spark: SparkSession, tables: dict[str, DataFrame], as_of=None, d
         t["_status_costs"] = J.status_costs(t["usage"], t["list_prices"], t["job_run_timeline"], as_of) \
             .persist(StorageLevel.MEMORY_AND_DISK)
         shared.append(t["_status_costs"])
-    written = []
+    def build(name: str) -> str:
+        return materialize(VIEWS[name](t, as_of), f"{database}.{name}" if database else name)
+
     try:
-        for name in names:
-            target = f"{database}.{name}" if database else name
-            written.append(materialize(VIEWS[name](t, as_of), target))
+        if concurrent_views > 1:
+            # independent views are submitted as concurrent Spark jobs; the scheduler interleaves their stages
+            with ThreadPoolExecutor(max_workers=concurrent_views) as pool:
+                return list(pool.map(build, names))
+        return [build(n) for n in names]
     finally:
         for df in shared:
             df.unpersist()
-    return written
