@@ -86,3 +86,16 @@ def test_refresh_writes_every_view_and_catalog_reads(spark, stored):
         stored_rows = sorted(map(tuple, portable(spark.table(f"costlens_test.{name}")).collect()), key=repr)
         direct_rows = sorted(map(tuple, portable(VIEWS[name](stored, AS_OF)).collect()), key=repr)
         assert stored_rows == direct_rows, name
+
+
+def test_refresh_with_shared_usage_window_sequentially(spark, stored):
+    from costlens.plans.refresh import VIEWS
+    from costlens.suite.portable import portable
+    spark.sql("CREATE DATABASE IF NOT EXISTS costlens_test2")
+    names = ["workspace_spend_alerts", "serverless_consumption_by_tag", "failed_jobs_analysis"]
+    refresh_all(spark, stored, AS_OF, database="costlens_test2", views=names, share_usage_window=True,
+                concurrent_views=1)
+    for name in names:
+        got = sorted(map(tuple, portable(spark.table(f"costlens_test2.{name}")).collect()), key=repr)
+        want = sorted(map(tuple, portable(VIEWS[name](stored, AS_OF)).collect()), key=repr)
+        assert got == want, name
