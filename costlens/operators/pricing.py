@@ -49,7 +49,7 @@ def price_join(usage: DataFrame, prices: DataFrame, mode: str = CONTAINMENT,
         F.col("pricing.effective_list.default").alias("effective_price"),
     )
     cond = _condition(keys, mode)
-    if row_count_at_most(p, broadcast_rows):
+    if row_count_at_most(prices, broadcast_rows):      # same row count as ``p``; checked once per input
         joined = usage.join(F.broadcast(p), cond, "inner")
     else:
         joined = _day_bucketed_join(usage, p, cond, mode)

@@ -9,7 +9,7 @@ from ..fixed import LOOKBACK_DAYS, OFFERING_BATCH_INFERENCE, PRODUCT_MODEL_SERVI
 from ..functions.dates import as_date, days_before
 from ..operators.picks import TAGS_KEY, pick_tags, with_tags_key
 from ..operators.pricing import POINT, priced_usage
-from ..operators.sizing import DEFAULT_BROADCAST_ROWS, broadcast_if_small
+from ..operators.sizing import DEFAULT_BROADCAST_ROWS, row_count_at_most
 
 ENTITY_COLS = ["endpoint_name", "endpoint_id", "created_by", "served_entity_name", "entity_type",
                "custom_model_config", "external_model_config"]
@@ -24,7 +24,9 @@ def join_served_entities(usage: DataFrame, served_entities: DataFrame,
     """
     ents = served_entities.where(F.col("endpoint_name").isNotNull()).select(
         F.col("account_id").alias("_e_account"), *ENTITY_COLS)
-    return usage.join(broadcast_if_small(ents, broadcast_rows),
+    # the unfiltered entity count bounds the filtered one (checked once per input DataFrame)
+    small = row_count_at_most(served_entities, broadcast_rows)
+    return usage.join(F.broadcast(ents) if small else ents,
                       (F.col("usage_metadata.endpoint_name") == F.col("endpoint_name"))
                       & (F.col("account_id") == F.col("_e_account")), "inner").drop("_e_account")
 

@@ -138,3 +138,12 @@ def test_large_price_list_path_handles_malformed_and_open_rows(spark):
         small = sorted((r.record_id, r.list_cost) for r in priced_usage(u, p, mode).collect())
         large = sorted((r.record_id, r.list_cost) for r in priced_usage(u, p, mode, broadcast_rows=0).collect())
         assert small == large
+
+
+def test_broadcast_decision_is_counted_once_per_price_list(spark):
+    from costlens.operators import sizing
+    p = _prices(spark)
+    u = usage_df(spark, [usage_row(1, "2024-01-10 05:00:00")])
+    priced_usage(u, p)
+    priced_usage(u, p, POINT)
+    assert sizing._checked[p] == {sizing.DEFAULT_BROADCAST_ROWS: True}
