@@ -99,3 +99,19 @@ def test_refresh_with_shared_usage_window_sequentially(spark, stored):
         got = sorted(map(tuple, portable(spark.table(f"costlens_test2.{name}")).collect()), key=repr)
         want = sorted(map(tuple, portable(VIEWS[name](stored, AS_OF)).collect()), key=repr)
         assert got == want, name
+
+
+def test_command_line_refresh(spark, tmp_path, capsys):
+    from costlens.__main__ import main
+    paths = {}
+    for name, df in fixtures.load_all(spark, SF_SMALL).items():
+        if name in ("usage", "list_prices", "jobs", "job_run_timeline", "served_entities"):
+            paths[name] = str(tmp_path / name)
+            df.write.mode("overwrite").parquet(paths[name])
+    assert main(["refresh", "--database", "costlens_cli", "--as-of", "2024-01-31",
+                 "--views", "most_expensive_jobs", "job_retry_patterns",
+                 "--usage", paths["usage"], "--list-prices", paths["list_prices"], "--jobs", paths["jobs"],
+                 "--job-run-timeline", paths["job_run_timeline"],
+                 "--served-entities", paths["served_entities"]]) == 0
+    assert "costlens_cli.most_expensive_jobs" in capsys.readouterr().out
+    assert spark.table("costlens_cli.job_retry_patterns").count() > 0
