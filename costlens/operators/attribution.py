@@ -34,13 +34,15 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import hour_floor
 from ..session import ensure_checkpoint_dir
+from .sizing import DEFAULT_BROADCAST_ROWS, row_count_at_most
 
 RUN_KEYS = ["workspace_id", "job_id", "run_id"]
 DEFAULT_TIEBREAK = ["period_end_time", "period_start_time", "slice_id", "record_id", "price_start_time"]
 COSTS = ("list_cost", "effective_cost")
 
 
-def timeline_hour_join(usage: DataFrame, timeline: DataFrame) -> DataFrame:
+def timeline_hour_join(usage: DataFrame, timeline: DataFrame,
+                       broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
     """Usage rows joined to the run slices whose hour range covers their start.
 
     Output: the usage columns plus ``job_id, run_id, result_state,
@@ -68,6 +70,9 @@ def timeline_hour_join(usage: DataFrame, timeline: DataFrame) -> DataFrame:
         "period_start_time", "period_end_time", *extra,
         F.explode(hours).alias("_t_hour"),
     )
+    # The expansion multiplies rows, so size estimates of ``t`` are no bound: broadcast it only
+    # after a bounded count, otherwise force a sort-merge join on the four keys.
+    t = F.broadcast(t) if row_count_at_most(t, broadcast_rows) else t.hint("merge")
     u = usage.withColumn("_u_hour", hour_floor("usage_start_time"))
     cond = [
         F.col("workspace_id") == F.col("_t_ws"),

@@ -119,3 +119,17 @@ def test_long_slice_expands_only_inside_usage_span(spark):
         "period_end_time timestamp, result_state string")
     pairs = sorted((r.record_id, r.slice_id) for r in timeline_hour_join(usage, timeline).collect())
     assert pairs == [(1, 1), (2, 1)]
+
+
+def test_hour_join_strategy_follows_the_bounded_count(spark):
+    from conftest import ts
+    usage = usage_df(spark, [usage_row(1, "2024-01-01 10:00:00", run_id="r1")])
+    timeline = spark.createDataFrame(
+        [(10, "w1", "j1", "r1", ts("2024-01-01 10:15:00"), ts("2024-01-01 10:35:00"), None)],
+        "slice_id long, workspace_id string, job_id string, run_id string, period_start_time timestamp, "
+        "period_end_time timestamp, result_state string")
+    small = timeline_hour_join(usage, timeline)
+    large = timeline_hour_join(usage, timeline, broadcast_rows=0)
+    assert "BroadcastHashJoin" in small._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in large._jdf.queryExecution().executedPlan().toString()
+    assert [r.slice_id for r in small.collect()] == [r.slice_id for r in large.collect()] == [10]
