@@ -132,6 +132,7 @@ def _views(_dbl, raw: bool) -> dict[str, str]:
     tm1 = ', arg_min(tags_map, tags_key) AS tags_map' if raw else ''
     tm2 = ', first(tags_map) AS tags_map' if raw else ''
     tmsel = ', c.tags_map' if raw else ''
+    tm3 = ', arg_min(u.tags_map, u.tags_key) AS tags_map' if raw else ''
     SERVERLESS_ALERT_FILTER = (f"sku_name LIKE '%SERVERLESS%' AND billing_origin_product IN ('JOBS', 'INTERACTIVE') "
                                f"AND usage_date >= {D} - INTERVAL 30 DAY")
     DBU_COLS = (f"{_dbl('SUM(usage_quantity)')} AS total_dbu, {_dbl('SUM(list_cost)')} AS list_cost, "
@@ -221,7 +222,7 @@ def _views(_dbl, raw: bool) -> dict[str, str]:
     WHERE {SERVERLESS_DBU_FILTER} GROUP BY job_id, job_name, notebook_id, notebook_path, tags_txt""",
         "model_serving_costs": f"""
     SELECT u.workspace_id, se.endpoint_name, se.endpoint_id, se.created_by, se.served_entity_name, se.entity_type,
-      se.custom_model_config, se.external_model_config, MAX(u.usage_date) AS last_usage_date, arg_min(u.tags_txt, u.tags_key) AS custom_tags,
+      se.custom_model_config, se.external_model_config, MAX(u.usage_date) AS last_usage_date, arg_min(u.tags_txt, u.tags_key) AS custom_tags{tm3},
       {_dbl('SUM(u.list_cost)')} AS total_list_cost, {_dbl('SUM(u.effective_cost)')} AS total_effective_cost,
       {_dbl(f'SUM(CASE WHEN u.usage_date >= {D} - INTERVAL 7 DAY THEN u.list_cost ELSE 0 END)')} AS t7d_list_cost,
       {_dbl(f'SUM(CASE WHEN u.usage_date >= {D} - INTERVAL 7 DAY THEN u.effective_cost ELSE 0 END)')} AS t7d_effective_cost,
@@ -432,6 +433,14 @@ SELECT job_id, job_name, notebook_id, notebook_path, tag_key, tag_value, CAST(ef
     "k19_serving_metrics": f"""
 SELECT COUNT(DISTINCT endpoint_name) AS total_endpoints, CAST(SUM(total_effective_cost) AS DOUBLE) AS total_cost,
   {_mean('total_effective_cost')} AS avg_cost, CAST(SUM(t7d_effective_cost) AS DOUBLE) AS t7d_cost FROM v_model_serving_costs""",
+    "k19_filter_serving": _cast_money("""
+SELECT workspace_id, endpoint_name, endpoint_id, created_by, served_entity_name, entity_type, custom_model_config,
+  external_model_config, last_usage_date, custom_tags, total_list_cost, total_effective_cost, t7d_list_cost,
+  t7d_effective_cost, t14d_list_cost, t14d_effective_cost, t30d_list_cost, t30d_effective_cost
+FROM v_model_serving_costs
+WHERE endpoint_name IN ('ep-1', 'ep-2') AND created_by IN ('owner0@x.io', 'owner1@x.io') AND tags_map['env'] IN ('prod')""",
+                                      ["total_list_cost", "total_effective_cost", "t7d_list_cost", "t7d_effective_cost",
+                                       "t14d_list_cost", "t14d_effective_cost", "t30d_list_cost", "t30d_effective_cost"]),
     "k19_cost_by_entity_type": """
 SELECT entity_type, CAST(SUM(total_effective_cost) AS DOUBLE) AS total_effective_cost FROM v_model_serving_costs
 WHERE entity_type IS NOT NULL GROUP BY entity_type""",

@@ -220,6 +220,8 @@ REPORT_QUERIES: dict[str, QueryFn] = {
     "k18_top_tag_keys": _on("serverless_consumption_by_tag", lambda v: K.top_tag_keys(K.unpack_tags(v))),
     "k18_top_tag_values": _on("serverless_consumption_by_tag", lambda v: K.top_tag_values(K.unpack_tags(v), "team")),
     "k19_serving_metrics": _on("model_serving_costs", K.serving_metrics),
+    "k19_filter_serving": _on("model_serving_costs", K.filter_view, endpoints=["ep-1", "ep-2"],
+                              created_by=["owner0@x.io", "owner1@x.io"], tag_key="env", tag_values=["prod"]),
     "k19_cost_by_entity_type": _on("model_serving_costs", K.cost_by_entity_type),
     "k19_top_endpoints": _on("model_serving_costs", K.top_endpoints),
     "k19_top_served_entities": _on("model_serving_costs", K.top_served_entities),
