@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .mixing import REST, SEED
+from .quality import RULES, STOP_WORDS, STOP_WORDS_FROM
 from .queries import MIX_TARGETS
 
 
@@ -31,5 +32,40 @@ SELECT doc_id, text, lang, source, n_chars, CAST(copy AS INTEGER) AS copy, {orde
 """
 
 
+def _quality() -> str:
+    stops = ", ".join(f"'{w}'" for w in sorted(set(STOP_WORDS)))
+    ratio = {"mean_word_chars": "word_chars / n_words", "symbols_per_word": "n_symbols / n_words",
+             "stop_word_ratio": "n_stop_words / n_words", "dup_line_ratio": "n_dup_lines / n_lines",
+             "mean_line_words": "n_words / n_lines"}
+    broken = []
+    for name, least, greatest in RULES:
+        bounds = [f"{ratio[name]} {op} {x!r}" for op, x in (("<", least), (">", greatest)) if x is not None]
+        below = ratio[name].split(" / ")[1]
+        least_words = STOP_WORDS_FROM if name == "stop_word_ratio" else 1
+        broken.append(f"CASE WHEN {below} >= {least_words} AND ({' OR '.join(bounds)}) THEN '{name}' END")
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+     w AS (SELECT r, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS words,
+                  list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines
+           FROM d),
+     t AS (SELECT r, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM w),
+     g AS (SELECT r, i, len(words) AS n, [words[i], words[i + 1], words[i + 2], words[i + 3], words[i + 4]] AS five
+           FROM w JOIN t USING (r)),
+     f AS (SELECT r, i, count(*) OVER (PARTITION BY r, five) AS times FROM g WHERE i + 4 <= n),
+     c AS (SELECT DISTINCT r, i + k AS i FROM f, (SELECT unnest(range(0, 5)) AS k) WHERE times >= 2),
+     m AS (SELECT d.doc_id, len(words) AS n_words, coalesce(list_sum(list_transform(words, lambda x: length(x))), 0) AS word_chars,
+                  len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols,
+                  len(lines) - len(list_distinct(lines)) AS n_dup_lines,
+                  (SELECT count(*) FROM c WHERE c.r = d.r) AS n_repeat_words, len(lines) AS n_lines,
+                  len(list_filter(words, lambda x: x IN ({stops}))) AS n_stop_words
+           FROM d JOIN w USING (r)),
+     b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+                  concat_ws(',', {", ".join(broken)}) AS broken FROM m)
+SELECT doc_id, n_words, CAST(word_chars AS BIGINT) AS word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND broken = '' AS kept, n_lines, n_stop_words, broken
+FROM b
+"""
+
+
 def llm_oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": _mixing()}
+    return {"op1_mixing": _mixing(), "op10_quality": _quality()}

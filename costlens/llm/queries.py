@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, mixing, pii, simhash
+from . import bpe, langid, licences, mixing, pii, quality, secrets, sharding, simhash, weighted
 from .common import documents, ship
 
 #: Shares of the mix; the other sources share the rest.
@@ -22,6 +22,16 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir), MIX_TARGETS)
 
 
+def op2_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence paragraphs of every document."""
+    return licences.scan(documents(spark, sf_dir))
+
+
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 16 shards of near equal bytes, tokens and rows."""
+    return sharding.shard(documents(spark, sf_dir), shards=16)
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every document: fixed patterns and what the conditional random field adds."""
     return pii.digest(documents(spark, sf_dir))
@@ -44,6 +54,12 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
 
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates for secrets in every document, each with the forest's verdict."""
+    model = secrets.train(secrets.labelled_findings(spark))
+    return secrets.scan(documents(spark, sf_dir), model)
+
+
 def token_digests(docs: DataFrame, *more: Column) -> DataFrame:
     """``doc_id``, number of tokens and digests of ids and decoded bytes."""
     ship(docs.sparkSession)
@@ -59,10 +75,25 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(documents(spark, sf_dir))
 
 
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weighted fingerprints of every document and its edited text."""
+    return weighted.neighbours(documents(spark, sf_dir))
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality counts and verdict of every document."""
+    return quality.judge(documents(spark, sf_dir))
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
+    "op2_licences": op2_licences,
+    "op3_sharding": op3_sharding,
     "op4_pii": op4_pii,
     "op5_language_id": op5_language_id,
     "op6_simhash": op6_simhash,
+    "op7_secrets": op7_secrets,
     "op8_byte_bpe": op8_byte_bpe,
+    "op9_fingerprints": op9_fingerprints,
+    "op10_quality": op10_quality,
 }
