@@ -34,11 +34,11 @@ from .common import ship
 
 UNDETERMINED = "und"
 
-#: Letters of any script, in a row.
+#: Letters of any script, in a row (signs such as superscript digits also count here, and score nothing).
 WORDS = re.compile(r"[^\W\d_]+").findall
 
 #: Words remembered by one Python worker before its memory is emptied.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 400_000
 
 #: Words that count towards the confidence at most: a long text is not surer than this many words make it.
 SURE_WORDS = 20
@@ -63,7 +63,7 @@ class LanguageModel:
             source = marked if n > 1 else word
             hits = [self.grams[g] for i in range(len(source) - n + 1) if (g := source[i : i + n]) in self.grams]
             if hits:
-                return self.gram_scores[hits].mean(axis=0)
+                return np.add.reduce(self.gram_scores[hits], axis=0) / len(hits)
         return np.zeros(len(self.langs))
 
     def score(self, word: str) -> np.ndarray:
@@ -89,17 +89,16 @@ class Predictor:
                 self.rows.clear()
                 new = set(part)
             for word in new:
-                self.memory[len(self.rows)] = self.model.score(word)
-                self.rows[word] = len(self.rows)
+                at = len(self.rows)
+                self.memory[at] = self.model.score(word)
+                self.rows[word] = at
             total += self.memory[np.fromiter(map(self.rows.__getitem__, part), dtype=np.int64, count=len(part))].sum(axis=0)
         return total
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        words = WORDS(text.lower()) if text else []
-        # some numbers are written with signs that are no letters but belong to words above
-        words = [w for w in words if w.isalpha() or any(map(str.isalpha, w))]
-        if not words or not self.model.langs:
+        if not text or not self.model.langs or not any(map(str.isalpha, text)):
             return UNDETERMINED, 0.0
+        words = WORDS(text.lower())
         total = self.total(words)
         if not total.any():
             return self.model.langs[self.model.usual], 0.0
