@@ -25,12 +25,13 @@ TREND_LOOKBACK_DAYS = 14
 TOP_K = 25
 TOP_ENDPOINTS = 10
 DETAIL_ROWS = 100
-READ_LIMIT = 1000
 
 # ---- fixed values: resource tagging -------------------------------------------------------
 RESOURCE_TYPES = ["cluster", "warehouse", "job", "pipeline"]
-NOT_FOUND = {"cluster": "Cluster {} not found", "warehouse": "Warehouse {} not found",
-             "job": "Job {} not found or has no settings", "pipeline": "Pipeline {} not found or has no spec"}
+NOT_FOUND = {"cluster": "Cluster {} not found", "warehouse": "Warehouse {} not found", "job": "Job {} not found",
+             "pipeline": "Pipeline {} not found"}
+NOT_TAGGABLE = {**NOT_FOUND, "job": "Job {} not found or has no settings",
+                "pipeline": "Pipeline {} not found or has no spec"}
 UNKNOWN_TYPE = "Unknown resource type: {}"
 UNKNOWN_STATE = "unknown"
 UNKNOWN_NAME = "Unknown"

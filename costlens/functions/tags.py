@@ -63,7 +63,10 @@ def parse_tags(text) -> Column:
     s = _col(text)
     wrapped = s.startswith('"{') & s.endswith('}"')
     body = F.when(wrapped, F.regexp_replace(F.regexp_extract(s, r'(?s)^"(.*)"$', 1), '""', '"')).otherwise(s)
-    return F.coalesce(F.from_json(body, TAGS), empty_tags())
+    # read as the one element of an array, so that text after the object makes it malformed
+    one = F.from_json(F.concat(F.lit("["), body, F.lit("]")), f"array<{TAGS.simpleString()}>",
+                      {"allowSingleQuotes": "false", "mode": "PERMISSIVE"})
+    return F.coalesce(F.when(F.size(one) == 1, F.get(one, F.lit(0))), empty_tags())
 
 
 def merge_tags(old, new, operation: str = MERGE) -> Column:
@@ -98,9 +101,14 @@ def tag_count(tags) -> Column:
     return F.size(tags_or_empty(tags))
 
 
+def strip(text: Column) -> Column:
+    """Text without white space (tabs and line ends included) at either end."""
+    return F.regexp_replace(text, r"^[\s\u00a0\ufeff]+|[\s\u00a0\ufeff]+$", "")
+
+
 def required_tag_list(text) -> Column:
     """Comma-separated text -> trimmed, non-blank list of tag keys."""
-    return F.filter(F.transform(F.split(_col(text), ","), lambda t: F.trim(t)), lambda t: t != "")
+    return F.filter(F.transform(F.split(_col(text), ","), strip), lambda t: t != "")
 
 
 def clean_tag_pairs(pairs) -> Column:
@@ -109,8 +117,7 @@ def clean_tag_pairs(pairs) -> Column:
     Keys and values are trimmed, pairs with a blank key or value are dropped and
     a later pair overrides an earlier one with the same key.
     """
-    trimmed = F.transform(_col(pairs), lambda e: F.struct(F.trim(e["key"]).alias("key"),
-                                                          F.trim(e["value"]).alias("value")))
+    trimmed = F.transform(_col(pairs), lambda e: F.struct(strip(e["key"]).alias("key"), strip(e["value"]).alias("value")))
     nonblank = F.filter(trimmed, lambda e: (F.coalesce(e["key"], F.lit("")) != "")
                         & (F.coalesce(e["value"], F.lit("")) != ""))
     last_wins = F.filter(nonblank, lambda e, i: ~F.exists(
@@ -118,7 +125,3 @@ def clean_tag_pairs(pairs) -> Column:
         lambda x: x["key"] == e["key"]))
     return F.coalesce(F.map_from_entries(last_wins), empty_tags())
 
-
-def tag_value(tags, key: str) -> Column:
-    """Value of one key; NULL when the key (or the map) is absent."""
-    return F.element_at(_col(tags), F.lit(key))

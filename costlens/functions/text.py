@@ -12,27 +12,50 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+#: Any character that is no white space (tabs and line ends included).
+NOT_BLANK = r"[^\s\u00a0\u2000-\u200a\u3000\u0085\u2028\u2029\x1c-\x1f]"
+
+
 def display_name(name, job_id) -> Column:
     """The name when it has non-blank text, else ``Job ID: <id>``."""
     n = _col(name)
-    blank = n.isNull() | (F.length(F.trim(n)) == 0)
+    blank = ~F.coalesce(n.rlike(NOT_BLANK), F.lit(False))
     return F.when(blank, F.concat(F.lit(JOB_ID_LABEL), _col(job_id).cast("string"))).otherwise(n)
 
 
 def run_label(name, run_id) -> Column:
     """First 20 characters of the name plus ``...``, else ``Run <id>``."""
     n = _col(name)
-    blank = n.isNull() | (F.length(F.trim(n)) == 0)
+    blank = ~F.coalesce(n.rlike(NOT_BLANK), F.lit(False))
     return F.when(blank, F.concat(F.lit(RUN_LABEL), _col(run_id).cast("string"))) \
         .otherwise(F.concat(F.substring(n, 1, RUN_NAME_CHARS), F.lit(ELLIPSIS)))
 
 
+def fixed_point(v: Column, places: int) -> Column:
+    """Size of a double, rounded to up to two places as a fixed-point format does: its exact value, half to even.
+
+    The fraction is a whole number of 2**-62 (all bits that can decide a half),
+    so quotient and remainder of that number decide, and no decimal text of the double.
+    """
+    size, unit = F.abs(v), F.lit(1 << 62).cast("decimal(38,0)")
+    whole = F.floor(size)
+    scaled = ((size - whole) * float(1 << 62)).cast("long").cast("decimal(38,0)") * F.lit(10**places).cast("decimal(3,0)")
+    quotient = F.floor(scaled / unit).cast("decimal(10,0)")
+    rest = (scaled - quotient * unit) * 2
+    up = (rest > unit) | ((rest == unit) & (quotient % 2 == 1))
+    steps = (quotient + up.cast("int")).cast("decimal(10,0)") / F.lit(10**places).cast("decimal(3,0)")
+    return (whole.cast("decimal(20,0)") + steps).cast(f"decimal(30,{places})")
+
+
+def _sign(v: Column) -> Column:
+    return F.when(v < 0, F.lit("-")).otherwise(F.lit(""))
+
+
 def format_currency(x) -> Column:
-    """``$1,234.57``; NULL -> ``$0.00``."""
+    """``$1,234.57``, a negative amount as ``$-12.34``; NULL -> ``$0.00``."""
     v = _col(x).cast("double")
-    return F.when(v.isNull(), F.lit(NO_AMOUNT)).otherwise(
-        F.when(v < 0, F.concat(F.lit("-$"), F.format_number(-v, 2)))
-         .otherwise(F.concat(F.lit("$"), F.format_number(v, 2))))
+    text = F.concat(F.lit("$"), _sign(v), F.format_number(fixed_point(v, 2), 2))
+    return F.when(v.isNull(), F.lit(NO_AMOUNT)).otherwise(text)
 
 
 def format_large_number(x) -> Column:
@@ -40,7 +63,7 @@ def format_large_number(x) -> Column:
     v = _col(x).cast("double")
 
     def one_decimal(c):
-        return F.format_string("%.1f", c)
+        return F.concat(_sign(c), fixed_point(c, 1).cast("string"))
 
     return (F.when(v.isNull(), F.lit(NO_NUMBER))
             .when(v >= 1_000_000, F.concat(one_decimal(v / 1_000_000), F.lit("M")))

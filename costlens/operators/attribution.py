@@ -17,32 +17,80 @@ F4 — status cost attribution
     terminal row *anywhere* before it, including the unterminated tail of the
     previous run.  Written literally that is one window over a single partition.
 
-    Here it is a parallel prefix scan: rows are range-partitioned on the global
-    order into contiguous slices and checkpointed (so slice membership is stable
-    if tasks are re-run); each slice computes local running sums; a summary of
-    one row per slice (bounded by the number of slices) yields the cost carried
-    into each slice; the first terminal row of a slice adds that carry.
-    Only the per-slice summary ever meets in a single partition.
+    Here it is a parallel prefix scan.  The global order is cut into slices at
+    run keys and usage ends that a bounded key sample gives (:func:`attribution_bounds`),
+    so a row's slice is a pure function of its keys, whatever is recomputed.
+    One shuffle brings a slice together, one window pass computes its running
+    sums, and only its terminal rows and its last row are kept and
+    checkpointed.  One row per slice yields the cost carried into each slice;
+    the first terminal row of a slice adds that carry.  Only those summary rows
+    ever meet in a single partition.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import NamedTuple
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import hour_floor
 from ..session import ensure_checkpoint_dir
-from .sizing import DEFAULT_BROADCAST_ROWS, row_count_at_most
 
 RUN_KEYS = ["workspace_id", "job_id", "run_id"]
 DEFAULT_TIEBREAK = ["period_end_time", "period_start_time", "slice_id", "record_id", "price_start_time"]
 COSTS = ("list_cost", "effective_cost")
 
+#: Usage rows of a slice, slices at most, and keys sampled for their bounds.
+SLICE_ROWS = 250_000
+MAX_SLICES = 2000
+SAMPLE_KEYS = 10_000
 
-def timeline_hour_join(usage: DataFrame, timeline: DataFrame,
-                       broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+
+class Bounds(NamedTuple):
+    """First and last usage start, and the last (run keys, usage end) of every slice but the last."""
+
+    span: tuple
+    cuts: list[tuple]
+
+
+def attribution_bounds(usage: DataFrame, num_slices: int | None = None) -> Bounds:
+    """Slice bounds and time span of a usage window, from one pass over its keys.
+
+    The driver gets the ``SAMPLE_KEYS`` keys of the smallest hashes, whatever the
+    size of the window; the number of slices follows the number of rows.
+    """
+    seen = Observation()
+    start = F.col("usage_start_time")
+    watched = usage.select(
+        "workspace_id", F.col("usage_metadata.job_id").alias("job_id"), F.col("usage_metadata.job_run_id").alias("run_id"),
+        "usage_end_time", start, F.xxhash64("record_id", "usage_start_time").alias("draw"),
+    ).observe(seen, F.count(F.lit(1)).alias("rows"), F.min(start).alias("lo"), F.max(start).alias("hi"))
+    sample = watched.orderBy("draw").limit(SAMPLE_KEYS).collect()
+    found = seen.get
+    slices = num_slices or min(MAX_SLICES, found["rows"] // SLICE_ROWS + 1)
+    keys = sorted({tuple(r[:4]) for r in sample}, key=lambda k: [(x is not None, x) for x in k])
+    cuts = sorted({len(keys) * i // slices for i in range(1, slices)} - {0})
+    return Bounds((found["lo"], found["hi"]), [keys[i - 1] for i in cuts])
+
+
+def slice_of(order: Sequence[str], cuts: Sequence[tuple]) -> Column:
+    """Index of the slice of a row: how many cuts its first keys are above, by a balanced CASE tree."""
+    key = F.struct(*[F.col(c) for c in order[:len(cuts[0])]]) if cuts else None
+    types = ["string"] * len(RUN_KEYS) + ["timestamp"]
+
+    def tree(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        bound = F.struct(*[F.lit(v).cast(t).alias(c) for v, t, c in zip(cuts[mid], types, order)])
+        return F.when(key <= bound, tree(lo, mid)).otherwise(tree(mid + 1, hi))
+
+    return tree(0, len(cuts))
+
+
+def timeline_hour_join(usage: DataFrame, timeline: DataFrame, span: tuple | None = None) -> DataFrame:
     """Usage rows joined to the run slices whose hour range covers their start.
 
     Output: the usage columns plus ``job_id, run_id, result_state,
@@ -52,13 +100,17 @@ def timeline_hour_join(usage: DataFrame, timeline: DataFrame,
     Before expanding and shuffling the timeline, slices that cannot reach any
     usage start are dropped: a slice matches only if ``hour(period_start) <=
     max(usage_start)`` and ``period_end + 1 hour > min(usage_start)``.  The
-    bounds come from one scalar subquery over the (already filtered) usage, so a
-    30-day usage window does not shuffle years of run history, and a long slice
-    is expanded only over the hours inside that span.
+    bounds are ``span`` (first and last usage start) or else come from one scalar
+    subquery over the (already filtered) usage, so a 30-day usage window does not
+    shuffle years of run history, and a long slice is expanded only over the
+    hours inside that span.
     """
     start = F.col("usage_start_time")
-    span = usage.select(F.struct(F.min(start).alias("lo"), F.max(start).alias("hi"))).scalar()
-    lo, hi = span.getField("lo"), span.getField("hi")
+    if span is None:
+        found = usage.select(F.struct(F.min(start).alias("lo"), F.max(start).alias("hi"))).scalar()
+        lo, hi = found.getField("lo"), found.getField("hi")
+    else:
+        lo, hi = (F.lit(x).cast("timestamp") for x in span)
     ps, pe = hour_floor("period_start_time"), hour_floor("period_end_time")
     reachable = (ps <= hi) & (F.col("period_end_time") + F.expr("INTERVAL 1 HOUR") > lo)
     # only the hours inside the usage span can match, however long the slice lasts
@@ -70,9 +122,9 @@ def timeline_hour_join(usage: DataFrame, timeline: DataFrame,
         "period_start_time", "period_end_time", *extra,
         F.explode(hours).alias("_t_hour"),
     )
-    # The expansion multiplies rows, so size estimates of ``t`` are no bound: broadcast it only
-    # after a bounded count, otherwise force a sort-merge join on the four keys.
-    t = F.broadcast(t) if row_count_at_most(t, broadcast_rows) else t.hint("merge")
+    # The expansion multiplies rows, so size estimates of ``t`` are no bound for a broadcast:
+    # always a sort-merge join on the four keys.
+    t = t.hint("merge")
     u = usage.withColumn("_u_hour", hour_floor("usage_start_time"))
     cond = [
         F.col("workspace_id") == F.col("_t_ws"),
@@ -89,48 +141,42 @@ def attribution_order(df: DataFrame, tiebreak: Sequence[str] | None = None) -> l
     return RUN_KEYS + ["usage_end_time"] + tb
 
 
-def attribute_status_cost(rows: DataFrame, order: Sequence[str], costs: Sequence[str] = COSTS,
-                          num_slices: int | None = None) -> DataFrame:
+def attribute_status_cost(rows: DataFrame, order: Sequence[str], cuts: Sequence[tuple] = (),
+                          costs: Sequence[str] = COSTS) -> DataFrame:
     """terminal rows (``result_state`` not NULL) with ``status_<cost>`` columns.
 
     ``status_<cost>`` = sum of ``<cost>`` over all rows after the previous
     terminal row (in the global ``order``) up to and including this one.
     ``order`` must be a total order for the result to be deterministic.
-    ``num_slices`` fixes the number of range slices; by default it follows
-    ``spark.sql.shuffle.partitions`` and AQE's coalescing to the advisory size.
+    ``cuts`` are ascending values of the first columns of ``order`` that bound the
+    slices; without any there is one slice.
 
-    Building the result runs one Spark job: the slices are checkpointed eagerly
-    (to ``spark.checkpoint.dir``) so that everything downstream reads the same
-    slice assignment.
+    Building the result runs one Spark job: the terminal rows and the last row
+    of every slice are checkpointed eagerly (to ``spark.checkpoint.dir``), as
+    both the summary and the result read them.
     """
-    spark = rows.sparkSession
-    ensure_checkpoint_dir(spark)
+    ensure_checkpoint_dir(rows.sparkSession)
     asc = [F.col(c).asc_nulls_first() for c in order]
     is_term = F.col("result_state").isNotNull()
-
-    # Range slices and local running sums are computed in one action and checkpointed, so the
-    # slice of every row is fixed before anything else reads it (a re-sampled range partitioner
-    # could assign different bounds) and later steps restart from the checkpoint, not the joins.
     ordered = Window.partitionBy("_slice").orderBy(*asc)
     running = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = ordered.rowsBetween(Window.unboundedPreceding, -1)
-    # Without an explicit count AQE sizes the slices from the data (coalescing merges adjacent
-    # range partitions, so slices stay contiguous and in order).
-    ranged = rows.repartitionByRange(num_slices, *asc) if num_slices else rows.repartitionByRange(*asc)
-    local = (ranged
-             .withColumn("_slice", F.spark_partition_id())
+    local = (rows.withColumn("_slice", slice_of(order, cuts)).repartition(len(cuts) + 1, "_slice")
              .withColumns({f"_cum_{c}": F.sum(c).over(running) for c in costs})
              # same partitioning and order: evaluated in the same pass, no further shuffle or sort
-             .withColumns({"_seen": F.max(is_term.cast("int")).over(before),
+             .withColumns({"_place": F.row_number().over(ordered),
+                           "_end": F.lead(F.lit(False), 1, True).over(ordered),
+                           "_seen": F.max(is_term.cast("int")).over(before),
                            **{f"_prev_{c}": F.last(F.when(is_term, F.struct(F.col(f"_cum_{c}").alias("v"))),
                                                    ignorenulls=True).over(before)["v"] for c in costs}})
+             .where(is_term | F.col("_end"))
              .checkpoint(eager=True))
 
     # One row per slice: does it hold a terminal row, and the cost after its last one.
-    last_key = F.when(is_term, F.struct(*[F.col(c) for c in order]))
+    last_key = F.when(is_term, F.col("_place"))
     summary = local.groupBy("_slice").agg(
         F.max(is_term.cast("int")).alias("_has"),
-        *[F.sum(c).alias(f"_tot_{c}") for c in costs],
+        *[F.max_by(f"_cum_{c}", "_place").alias(f"_tot_{c}") for c in costs],
         *[F.max_by(F.when(is_term, F.col(f"_cum_{c}")), last_key).alias(f"_last_{c}") for c in costs],
     ).withColumns({f"_tail_{c}": F.col(f"_tot_{c}") - F.coalesce(F.col(f"_last_{c}"), F.lit(0)) for c in costs})
     # Carry into slice k: tails of the slices since the last slice before k holding a terminal row.

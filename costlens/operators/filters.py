@@ -14,18 +14,17 @@ from pyspark.sql import functions as F
 
 
 def _predicate(col: str, selection) -> Column | None:
-    if selection is None:
+    if not selection:  # None, '', 0 and an empty list select everything
         return None
     if isinstance(selection, (list, tuple, set, frozenset)):
-        values = list(selection)
-        return F.col(col).isin(*values) if values else None
+        return F.col(col).isin(*selection)
     return F.col(col) == F.lit(selection)
 
 
 def filter_in(df: DataFrame, selections: Mapping[str, object]) -> DataFrame:
     """AND of ``col IN values`` (list) / ``col = value`` (scalar).
 
-    Empty lists and ``None`` select everything; columns missing from ``df`` are ignored.
+    Empty and falsy selections select everything; columns missing from ``df`` are ignored.
     """
     preds = [p for c, s in selections.items() if c in df.columns for p in [_predicate(c, s)] if p is not None]
     return df.where(reduce(lambda a, b: a & b, preds)) if preds else df

@@ -8,7 +8,9 @@ original could return, but the same on every run and in every engine.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Mapping, Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 TAGS_KEY = "_tags_key"
@@ -28,6 +30,25 @@ def with_tags_key(df, tags_col: str = "custom_tags"):
     return df.withColumn(TAGS_KEY, tags_order_key(tags_col))
 
 
-def pick_tags(tags_col: str = "custom_tags", key_col: str = TAGS_KEY) -> Column:
+def pick_tags() -> Column:
     """The tag map with the smallest sorted entry list in the group (NULL maps skipped)."""
-    return F.min_by(tags_col, key_col)
+    return F.map_from_entries(F.min(TAGS_KEY)).alias("custom_tags")
+
+
+def sum_then_pick(df: DataFrame, keys: Sequence[str], sums: Sequence[str], latest: Mapping[str, str] | None = None,
+                  user: str | None = "run_as") -> DataFrame:
+    """Sums, maxima, smallest user and tag pick per ``keys``, without sorting the rows of ``df``.
+
+    Aggregates with text or array buffers cannot be hashed.  So the rows are first
+    summed by keys, user and tags, which are grouping values there and leave only
+    fixed-width buffers (a hash aggregate), and the picks run over those few rows.
+    Returns the keys, ``sums``, ``custom_tags`` and its ordering key, the ``latest`` maxima under
+    their new names, and ``user``.
+    """
+    users = [user] if user else []
+    latest = dict(latest or {})
+    combined = df.groupBy(*keys, *users, TAGS_KEY).agg(
+        *[F.sum(c).alias(c) for c in sums], *[F.max(c).alias(name) for c, name in latest.items()])
+    return combined.groupBy(*keys).agg(
+        *[F.sum(c).alias(c) for c in sums], *[F.max(name).alias(name) for name in latest.values()],
+        *[F.min(u).alias(u) for u in users], pick_tags(), F.min(TAGS_KEY).alias(TAGS_KEY))

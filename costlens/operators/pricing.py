@@ -11,9 +11,9 @@ exist in the source views and both are kept:
 * ``point`` (C2): equi keys ``sku_name, cloud, usage_unit, account_id``; the
   usage start must fall in ``[price_start, price_end)``.
 
-A price list is small in practice and is broadcast after a bounded size check
-(:mod:`.sizing`); the range is then a residual condition on the broadcast hash
-join.  Beyond the bound a day-bucketed shuffle join takes over.
+The join carries no hint: Spark broadcasts a price list whose measured bytes are
+below its threshold, and otherwise shuffles on the equi keys, where AQE splits
+the partitions of a hot SKU.  The range is a residual condition either way.
 """
 
 from __future__ import annotations
@@ -21,22 +21,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .sizing import DEFAULT_BROADCAST_ROWS, row_count_at_most
-
 CONTAINMENT, POINT = "containment", "point"
 _KEYS = {CONTAINMENT: ["cloud", "sku_name"], POINT: ["sku_name", "cloud", "usage_unit", "account_id"]}
 
 
-def price_join(usage: DataFrame, prices: DataFrame, mode: str = CONTAINMENT,
-               broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+def price_join(usage: DataFrame, prices: DataFrame, mode: str = CONTAINMENT) -> DataFrame:
     """Inner join of usage to the valid price version.
 
     Adds ``price_start_time``, ``list_price`` (``pricing.default``) and
     ``effective_price`` (``pricing.effective_list.default``) to the usage columns.
-
-    A price list within ``broadcast_rows`` rows is broadcast.  A larger one is
-    joined by shuffle on the equi keys plus the usage start's day (see
-    :func:`_day_bucketed_join`), so a hot SKU is spread over its days.
     """
     if mode not in _KEYS:
         raise ValueError(f"unknown price join mode: {mode}")
@@ -48,11 +41,7 @@ def price_join(usage: DataFrame, prices: DataFrame, mode: str = CONTAINMENT,
         F.col("pricing.default").alias("list_price"),
         F.col("pricing.effective_list.default").alias("effective_price"),
     )
-    cond = _condition(keys, mode)
-    if row_count_at_most(prices, broadcast_rows):      # same row count as ``p``; checked once per input
-        joined = usage.join(F.broadcast(p), cond, "inner")
-    else:
-        joined = _day_bucketed_join(usage, p, cond, mode)
+    joined = usage.join(p, _condition(keys, mode), "inner")
     return joined.drop(*[f"_p_{k}" for k in keys], "_p_end")
 
 
@@ -67,32 +56,6 @@ def _condition(keys, mode) -> list[Column]:
     return cond
 
 
-def _day_bucketed_join(usage: DataFrame, p: DataFrame, cond: list[Column], mode: str) -> DataFrame:
-    """Shuffle join for a large price list, exact for any input.
-
-    A matching usage row has ``price_start <= usage_start`` and, when it is
-    well formed (``usage_start <= usage_end``, or always in the point form),
-    ``usage_start <= price_end``.  So its start day lies in the price version's
-    day range; each version is expanded to those days, clipped to the days the
-    usage actually covers (one scalar subquery), and the day joins the equi
-    keys.  Rows that are not well formed keep the plain equi join; they cannot
-    be bucketed and are rare.
-    """
-    start, end = F.col("usage_start_time"), F.col("usage_end_time")
-    span = usage.select(F.struct(F.min(start).alias("lo"), F.max(start).alias("hi"))).scalar()
-    lo, hi = F.to_date(span.getField("lo")), F.to_date(span.getField("hi"))
-    first_day = F.greatest(F.to_date("price_start_time"), lo)
-    last_day = F.least(F.to_date(F.coalesce(F.col("_p_end"), span.getField("hi"))), hi)
-    p_days = p.withColumn("_p_day", F.explode(F.when(last_day >= first_day, F.sequence(first_day, last_day))))
-    bucketable = start.isNotNull() if mode == POINT else (start.isNotNull() & end.isNotNull() & (start <= end))
-    by_day = usage.where(bucketable).withColumn("_u_day", F.to_date(start)) \
-        .join(p_days, cond + [F.col("_u_day") == F.col("_p_day")], "inner").drop("_u_day", "_p_day")
-    if mode == POINT:
-        return by_day
-    rest = usage.where(start.isNotNull() & ~F.coalesce(end.isNotNull() & (start <= end), F.lit(False)))
-    return by_day.unionByName(rest.join(p, cond, "inner"))
-
-
 def with_costs(priced: DataFrame) -> DataFrame:
     """D3: ``list_cost = quantity * list price``, ``effective_cost = quantity * effective price`` (decimal)."""
     q = F.col("usage_quantity")
@@ -100,7 +63,6 @@ def with_costs(priced: DataFrame) -> DataFrame:
                                "effective_cost": q * F.col("effective_price")})
 
 
-def priced_usage(usage: DataFrame, prices: DataFrame, mode: str = CONTAINMENT,
-                 broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+def priced_usage(usage: DataFrame, prices: DataFrame, mode: str = CONTAINMENT) -> DataFrame:
     """Usage joined to its price with list and effective cost per record."""
-    return with_costs(price_join(usage, prices, mode, broadcast_rows))
+    return with_costs(price_join(usage, prices, mode))

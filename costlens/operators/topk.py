@@ -26,11 +26,14 @@ def top_k(df: DataFrame, k: int, metric: str, keys: Sequence[str] = ()) -> DataF
 
 def top_groups(df: DataFrame, k: int, group: str | Sequence[str], metric: str, agg: str = "sum",
                alias: str | None = None) -> DataFrame:
-    """E9 + G3: aggregate ``metric`` per group (NULL group keys dropped), keep the top ``k`` groups."""
+    """E9 + G3: aggregate ``metric`` per group (NULL group keys dropped), keep the top ``k`` groups.
+
+    The sum of a group without any value is 0, so the group stays.
+    """
     groups = [group] if isinstance(group, str) else list(group)
     out = alias or metric
     kept = df.where(reduce(lambda a, b: a & b, [F.col(g).isNotNull() for g in groups]))
-    fn = {"sum": F.sum, "max": F.max, "count": F.count}[agg]
+    fn = {"sum": lambda m: F.coalesce(F.sum(m), F.lit(0)), "max": F.max, "count": F.count}[agg]
     return top_k(kept.groupBy(*groups).agg(fn(metric).alias(out)), k, out, groups)
 
 

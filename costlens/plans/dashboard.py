@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..fixed import CAPTION, DETAIL_ROWS, LOOKBACK_DAYS, TOP_ENDPOINTS, TOP_K
@@ -20,6 +20,7 @@ from ..operators.filters import filter_in, filter_tag, since_latest
 from ..operators.metrics import mean, mean_of_group_sums, summary
 from ..operators.pricing import priced_usage
 from ..operators.topk import capped, top_groups, top_k
+from ..session import ensure_checkpoint_dir
 from .jobs import jobs_usage
 
 TOP = TOP_K
@@ -97,9 +98,11 @@ def daily_job_costs(usage: DataFrame, prices: DataFrame, as_of=None, lookback_da
 
 def trend_cards(daily: DataFrame, date_col: str = "usage_date", cost: str = "effective_cost") -> DataFrame:
     """K9: cost of the last 7 / 14 / 30 days counted back from the latest date present."""
-    latest = daily.select(F.max(date_col)).scalar()
-    d, c = F.col(date_col), F.col(cost)
-    return daily.agg(*[F.sum(F.when(d >= F.date_sub(latest, n), c)).alias(f"t{n}d_cost") for n in (7, 14, 30)])
+    per_day = daily.groupBy(F.col(date_col).alias("day")).agg(F.sum(cost).alias("cost"))
+    # one row per day meets in one partition, and the series is read once
+    per_day = per_day.withColumn("latest", F.max("day").over(Window.partitionBy()))
+    return per_day.agg(*[F.sum(F.when(F.col("day") >= F.date_sub("latest", n), F.col("cost"))).alias(f"t{n}d_cost")
+                         for n in (7, 14, 30)])
 
 
 def daily_cost(daily: DataFrame, date_col: str = "usage_date", cost: str = "effective_cost") -> DataFrame:
@@ -214,9 +217,9 @@ def batch_metrics(batch_view: DataFrame) -> DataFrame:
 
 def daily_endpoint_cost(batch_view: DataFrame, days: int = LOOKBACK_DAYS) -> DataFrame:
     """Cost per day and endpoint over the last ``days`` days before the latest date."""
-    recent = since_latest(batch_view, "usage_date", days)
-    return recent.where(F.col("usage_date").isNotNull() & F.col("endpoint_name").isNotNull()) \
-        .groupBy("usage_date", "endpoint_name").agg(F.sum("total_effective_cost").alias("total_effective_cost"))
+    per_day = stored(batch_view.where(F.col("usage_date").isNotNull()).groupBy("usage_date", "endpoint_name").agg(
+        F.sum("total_effective_cost").alias("total_effective_cost")))
+    return since_latest(per_day, "usage_date", days).where(F.col("endpoint_name").isNotNull())
 
 
 # ---- user pages (J7, J11) ------------------------------------------------------------------
@@ -241,19 +244,19 @@ def jobs_vs_notebooks(consumption_view: DataFrame) -> DataFrame:
 # ---- generic -------------------------------------------------------------------------------
 
 def filter_options(df: DataFrame, col: str) -> DataFrame:
-    """Distinct non-NULL values of a column."""
-    return df.where(F.col(col).isNotNull()).select(col).distinct()
+    """Distinct non-NULL values of a column, sorted."""
+    return df.where(F.col(col).isNotNull()).select(col).distinct().orderBy(col)
 
 
 def tag_keys(df: DataFrame, tags_col: str = "custom_tags") -> DataFrame:
-    """Distinct tag keys."""
-    return df.select(F.explode(F.map_keys(F.col(tags_col))).alias("tag_key")).distinct()
+    """Distinct tag keys, sorted."""
+    return df.select(F.explode(F.map_keys(F.col(tags_col))).alias("tag_key")).distinct().orderBy("tag_key")
 
 
 def tag_values(df: DataFrame, key: str, tags_col: str = "custom_tags") -> DataFrame:
-    """Distinct values of one tag key."""
+    """Distinct values of one tag key, sorted."""
     v = F.element_at(F.col(tags_col), F.lit(key))
-    return df.where(v.isNotNull()).select(v.alias("tag_value")).distinct()
+    return df.where(v.isNotNull()).select(v.alias("tag_value")).distinct().orderBy("tag_value")
 
 
 def coerce_numeric(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -261,9 +264,16 @@ def coerce_numeric(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df.withColumns({c: F.col(c).try_cast("double") for c in cols if c in df.columns})
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written once to the shared checkpoint folder, for reports that read it twice."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def detail_table(df: DataFrame, sort_col: str, keys: Sequence[str], max_rows: int = DETAIL_ROWS) -> DataFrame:
     """First ``max_rows`` rows by ``sort_col`` descending with money columns as currency
-    text, and the ``showing n of N`` caption (N from a scalar subquery)."""
+    text, and the ``showing n of N`` caption; count and rows come from one stored ``df``."""
+    df = stored(df)
     total = df.select(F.count(F.lit(1))).scalar()
     order = [F.col(sort_col).desc_nulls_last()] + [F.col(c).asc_nulls_first() for c in keys]
     shown = format_money_columns(capped(df, max_rows, order))

@@ -12,13 +12,15 @@ from pyspark.sql import functions as F
 
 from ..fixed import FAILURE_STATES, LOOKBACK_DAYS, PRODUCT_JOBS, SUCCEEDED, TREND_LOOKBACK_DAYS
 from ..functions.dates import as_date, days_before, growth_pct, midnight, seconds_between
-from ..operators.attribution import attribute_status_cost, attribution_order, timeline_hour_join
+from ..operators.attribution import (attribute_status_cost, attribution_bounds, attribution_order,
+                                      timeline_hour_join)
 from ..operators.latest import latest_jobs
-from ..operators.picks import TAGS_KEY, pick_tags, with_tags_key
+from ..operators.picks import TAGS_KEY, sum_then_pick, with_tags_key
 from ..operators.pricing import priced_usage
 
 JOB_KEYS = ["workspace_id", "job_id"]
 RUN_KEYS = ["workspace_id", "job_id", "run_id"]
+STATUS_COSTS = ["status_list_cost", "status_effective_cost"]
 
 
 def jobs_usage(usage: DataFrame, as_of, lookback_days: int) -> DataFrame:
@@ -42,14 +44,7 @@ def _job_names(jobs: DataFrame) -> DataFrame:
 
 
 def _run_level(cols: DataFrame) -> DataFrame:
-    return cols.groupBy(*RUN_KEYS).agg(
-        F.sum("list_cost").alias("list_cost"),
-        F.sum("effective_cost").alias("effective_cost"),
-        F.min("run_as").alias("run_as"),
-        pick_tags().alias("custom_tags"),
-        F.min(TAGS_KEY).alias(TAGS_KEY),
-        F.max("usage_end_time").alias("last_seen_date"),
-    )
+    return sum_then_pick(cols, RUN_KEYS, ["list_cost", "effective_cost"], latest={"usage_end_time": "last_seen_date"})
 
 
 def run_costs(usage: DataFrame, prices: DataFrame, as_of=None, lookback_days: int = LOOKBACK_DAYS) -> DataFrame:
@@ -67,14 +62,8 @@ def most_expensive_jobs(usage: DataFrame, prices: DataFrame, jobs: DataFrame, as
     """
     if runs is None:
         runs = run_costs(usage, prices, as_of, lookback_days)
-    per_job = runs.groupBy(*JOB_KEYS).agg(
-        F.count("run_id").alias("runs"),
-        F.sum("list_cost").alias("list_cost"),
-        F.sum("effective_cost").alias("effective_cost"),
-        F.min("run_as").alias("run_as"),
-        pick_tags().alias("custom_tags"),
-        F.max("last_seen_date").alias("last_seen_date"),
-    )
+    per_job = sum_then_pick(runs.withColumn("runs", F.col("run_id").isNotNull().cast("long")), JOB_KEYS,
+                            ["runs", "list_cost", "effective_cost"], latest={"last_seen_date": "last_seen_date"})
     return per_job.join(_job_names(jobs), JOB_KEYS, "left").select(
         "name", "job_id", "workspace_id", "runs", "run_as", "list_cost", "effective_cost",
         "custom_tags", "last_seen_date")
@@ -119,16 +108,22 @@ def status_costs(usage: DataFrame, prices: DataFrame, timeline: DataFrame, as_of
 
     Columns: run keys, ``result_state``, ``run_as``, ``custom_tags``, the
     ordering columns, and ``status_list_cost`` / ``status_effective_cost``.
-    Building it runs the checkpoint job of :func:`attribute_status_cost`.
+    Building it reads the keys of the usage window once (slice bounds, time span)
+    and runs the checkpoint job of :func:`attribute_status_cost`.
     """
-    # inner joins commute: the timeline join sees the plain usage window (cheap slice bounds),
-    # the broadcast price join then prices the joined rows
-    joined = priced_usage(timeline_hour_join(jobs_usage(usage, as_of, lookback_days), timeline), prices)
+    window = jobs_usage(usage, as_of, lookback_days)
+    bounds = attribution_bounds(window, num_slices)
+    # inner joins commute: the timeline join sees the plain usage window, the price join then
+    # prices the joined rows
+    joined = priced_usage(timeline_hour_join(window, timeline, bounds.span), prices)
     keep = ["workspace_id", "job_id", "run_id", "usage_end_time", "period_end_time", "period_start_time",
             "slice_id", "record_id", "price_start_time", "result_state", "custom_tags", "list_cost", "effective_cost"]
     rows = joined.select(*[c for c in keep if c in joined.columns],
                          F.col("identity_metadata.run_as").alias("run_as"))
-    return attribute_status_cost(rows, attribution_order(rows), num_slices=num_slices)
+    # only terminal rows are in the result, so only they carry tags and user through the shuffle
+    ends = F.col("result_state").isNotNull()
+    rows = rows.withColumns({c: F.when(ends, F.col(c)) for c in ("custom_tags", "run_as")})
+    return attribute_status_cost(rows, attribution_order(rows), bounds.cuts)
 
 
 def _is_failure(state: Column) -> Column:
@@ -147,12 +142,10 @@ def failed_jobs_analysis(usage: DataFrame, prices: DataFrame, timeline: DataFram
     """
     if attributed is None:
         attributed = status_costs(usage, prices, timeline, as_of, lookback_days, num_slices)
-    failure_costs = with_tags_key(attributed.where(F.col("result_state").isin(*FAILURE_STATES))) \
-        .groupBy(*JOB_KEYS).agg(
-            F.min("run_as").alias("run_as"),
-            pick_tags().alias("custom_tags"),
-            F.sum("status_list_cost").alias("failure_list_cost"),
-            F.sum("status_effective_cost").alias("failure_effective_cost"))
+    failure_costs = sum_then_pick(with_tags_key(attributed.where(F.col("result_state").isin(*FAILURE_STATES))),
+                                  JOB_KEYS, STATUS_COSTS).select(
+        *JOB_KEYS, "run_as", "custom_tags", F.col("status_list_cost").alias("failure_list_cost"),
+        F.col("status_effective_cost").alias("failure_effective_cost"))
     since = midnight(days_before(as_of, lookback_days))
     terminal = timeline.where(F.col("result_state").isNotNull() & (F.col("period_end_time") >= since))
     per_job = terminal.groupBy(*JOB_KEYS).agg(
@@ -177,14 +170,15 @@ def job_retry_patterns(usage: DataFrame, prices: DataFrame, timeline: DataFrame,
     """
     if attributed is None:
         attributed = status_costs(usage, prices, timeline, as_of, lookback_days, num_slices)
-    unsuccessful = with_tags_key(attributed.where(F.col("result_state") != SUCCEEDED)) \
-        .groupBy(*RUN_KEYS).agg(
-            F.min("run_as").alias("run_as"),
-            pick_tags().alias("custom_tags"),
-            F.sum("status_list_cost").alias("repair_list_cost"),
-            F.sum("status_effective_cost").alias("repair_effective_cost"))
+    unsuccessful = sum_then_pick(with_tags_key(attributed.where(F.col("result_state") != SUCCEEDED)),
+                                 RUN_KEYS, STATUS_COSTS).select(
+        *RUN_KEYS, "run_as", "custom_tags", F.col("status_list_cost").alias("repair_list_cost"),
+        F.col("status_effective_cost").alias("repair_effective_cost"))
     state, end = F.col("result_state"), F.col("period_end_time")
-    repaired = timeline.where(state.isNotNull()).groupBy(*RUN_KEYS).agg(
+    # a run without one of its keys cannot be matched to its repairs
+    keyed = timeline.where(state.isNotNull() & F.col("workspace_id").isNotNull() & F.col("job_id").isNotNull()
+                           & F.col("run_id").isNotNull())
+    repaired = keyed.groupBy(*RUN_KEYS).agg(
         F.count(F.lit(1)).alias("_cnt"),
         F.min(end).alias("_first_end"),
         F.max(F.when(state == SUCCEEDED, end)).alias("_success_end"),

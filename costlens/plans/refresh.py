@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..fixed import LOOKBACK_DAYS, TREND_LOOKBACK_DAYS
 from ..functions.dates import days_before
 from ..operators.latest import latest_jobs
+from ..operators.picks import tags_order_key
+from ..session import ensure_checkpoint_dir
 from . import jobs as J
 from . import serverless as S
 from . import serving as V
@@ -40,11 +43,14 @@ VIEWS: dict[str, ViewFn] = {
 }
 
 
+#: Days of usage a view looks back, where it is not the common window.
+VIEW_LOOKBACK = {"job_spend_trend": TREND_LOOKBACK_DAYS}
+
 # G1: the order each view is presented in (metric descending), with its key columns as tie-breaks.
 VIEW_ORDER: dict[str, tuple[str, list[str]]] = {
     "most_expensive_jobs": ("list_cost", ["workspace_id", "job_id"]),
     "most_expensive_job_runs": ("list_cost", ["workspace_id", "job_id", "run_id"]),
-    "job_spend_trend": ("Last7DayGrowth", ["workspace_id", "job_id", "run_as", "sku_name"]),
+    "job_spend_trend": ("Last7DayGrowth", ["workspace_id", "job_id", "run_as", "sku_name", "custom_tags"]),
     "failed_jobs_analysis": ("failures", ["workspace_id", "job_id"]),
     "job_retry_patterns": ("repairs", ["workspace_id", "job_id", "run_id"]),
     "workspace_spend_alerts": ("effective_cost", ["workspace_id"]),
@@ -53,16 +59,18 @@ VIEW_ORDER: dict[str, tuple[str, list[str]]] = {
     "serverless_notebook_spend": ("effective_cost", ["notebook_id", "notebook_path", "run_as"]),
     "serverless_job_spend": ("effective_cost", ["job_id", "job_name"]),
     "user_serverless_consumption": ("effective_cost", ["job_id", "job_name", "notebook_id", "notebook_path", "run_as"]),
-    "serverless_consumption_by_tag": ("effective_cost", ["job_id", "job_name", "notebook_id", "notebook_path"]),
-    "model_serving_costs": ("total_effective_cost", ["workspace_id", "endpoint_name", "served_entity_name"]),
-    "batch_inference_costs": ("total_effective_cost", ["workspace_id", "usage_date", "run_as", "endpoint_name"]),
+    "serverless_consumption_by_tag": ("effective_cost", ["job_id", "job_name", "notebook_id", "notebook_path", "custom_tags"]),
+    "model_serving_costs": ("total_effective_cost", ["workspace_id", *V.ENTITY_COLS]),
+    "batch_inference_costs": ("total_effective_cost", ["workspace_id", "usage_date", "run_as", "endpoint_name", "custom_tags"]),
 }
 
 
 def sorted_view(name: str, df: DataFrame) -> DataFrame:
     """G1: a view in its presentation order (a stored table keeps none, so this is applied on read)."""
     metric, keys = VIEW_ORDER[name]
-    return df.orderBy(F.col(metric).desc_nulls_last(), *[F.col(k).asc_nulls_first() for k in keys])
+    types = dict(df.dtypes)
+    by = [tags_order_key(k) if types[k].startswith("map") else F.col(k) for k in keys]
+    return df.orderBy(F.col(metric).desc_nulls_last(), *[c.asc_nulls_first() for c in by])
 
 
 JOB_NAME_VIEWS = ["most_expensive_jobs", "most_expensive_job_runs", "job_spend_trend", "failed_jobs_analysis",
@@ -70,67 +78,70 @@ JOB_NAME_VIEWS = ["most_expensive_jobs", "most_expensive_job_runs", "job_spend_t
 
 
 def materialize(df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> str:
-    """B1: ``CREATE OR REPLACE`` as a catalog table.
+    """B1: ``CREATE OR REPLACE`` as a catalog view over a versioned table.
 
-    The result is written to a staging table first and swapped in only after
-    the write succeeded, so a failed refresh leaves the previous version in
-    place instead of a half-written table.
+    The result is written to a table of its own, and the view ``name`` is switched
+    to it in one catalog change after the write succeeded.  Until then, and if
+    the write fails, readers see the previous version; that version's table is
+    only dropped by the refresh after the next, so a reader that began before the
+    switch can finish.
     """
     spark = df.sparkSession
-    staging = f"{name}__staging"
+    database, _, view = name.rpartition(".")
+    version = f"{view}__v{uuid.uuid4().hex}"
+    prefix = f"{database}." if database else ""
     writer = df.write.mode("overwrite")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    writer.saveAsTable(staging)
-    spark.sql(f"DROP TABLE IF EXISTS {name}")
-    spark.sql(f"ALTER TABLE {staging} RENAME TO {name}")
+    writer.saveAsTable(f"{prefix}{version}")
+    current = None
+    if spark.catalog.tableExists(name):
+        current = spark.sql(f"SHOW TBLPROPERTIES {name}").where("key = 'costlens.version'").collect()
+        current = current[0]["value"] if current else None
+    spark.sql(f"CREATE OR REPLACE VIEW {name} TBLPROPERTIES ('costlens.version' = '{version}') "
+              f"AS SELECT * FROM {prefix}{version}")
+    pattern = f"{view}__v*"
+    listed = spark.sql(f"SHOW TABLES {'IN ' + database if database else ''} LIKE '{pattern}'").collect()
+    for table in sorted(r["tableName"] for r in listed):
+        if table not in (version, current):
+            spark.sql(f"DROP TABLE IF EXISTS {prefix}{table}")
     return name
 
 
 def refresh_all(spark: SparkSession, tables: dict[str, DataFrame], as_of=None, database: str | None = None,
                 views: Sequence[str] | None = None, share_usage_window: bool = False,
-                max_lookback_days: int = 30, concurrent_views: int = 4) -> list[str]:
+                concurrent_views: int = 4) -> list[str]:
     """B2: rebuild every view (or ``views``) as tables in ``database``.
 
-    All views read usage of the last ``max_lookback_days`` days at most.  By
-    default every view scans it itself: partition pruning and column pruning
-    keep each scan to the days and columns that view needs, which beats caching
-    a month of usage at large scale.  ``share_usage_window=True`` reads the slice
-    once and persists it (memory, then disk) instead, worthwhile when the slice
-    fits comfortably in executor memory.  Two intermediate results are computed
-    once and shared: the latest version of each job (J1-J5), the per-run costs
+    By default every view scans usage itself: partition pruning and column pruning
+    keep each scan to the days and columns that view needs, which beats storing
+    a month of usage at large scale.  ``share_usage_window=True`` writes the days of
+    the longest look-back among the views once instead.  Intermediate results are
+    computed once, written to the shared checkpoint folder and shared: the latest version of each job (J1-J5), the per-run costs
     behind J1 and J2 (one row per run), and the status cost attribution behind
     J4 and J5 (terminal run slices only).  Up to ``concurrent_views`` views are
     written at the same time as concurrent Spark jobs of this session.
     """
     t = dict(tables)
     names = list(views or VIEWS)
-    shared = []
+    ensure_checkpoint_dir(spark)
     if share_usage_window:
-        t["usage"] = t["usage"].where(F.col("usage_date") >= days_before(as_of, max_lookback_days)) \
-            .persist(StorageLevel.MEMORY_AND_DISK)
-        shared.append(t["usage"])
+        days = max(VIEW_LOOKBACK.get(n, LOOKBACK_DAYS) for n in names)
+        t["usage"] = t["usage"].where(F.col("usage_date") >= days_before(as_of, days)).checkpoint()
     if sum(n in names for n in JOB_NAME_VIEWS) > 1:
         # J1-J5 each need the latest version per job; reduce the history once (taking the
         # latest version again is a no-op on the result)
-        t["jobs"] = latest_jobs(t["jobs"]).persist(StorageLevel.MEMORY_AND_DISK)
-        shared.append(t["jobs"])
+        t["jobs"] = latest_jobs(t["jobs"]).checkpoint()
     if {"most_expensive_jobs", "most_expensive_job_runs"} <= set(names):
-        t["_run_costs"] = J.run_costs(t["usage"], t["list_prices"], as_of).persist(StorageLevel.MEMORY_AND_DISK)
-        shared.append(t["_run_costs"])
+        t["_run_costs"] = J.run_costs(t["usage"], t["list_prices"], as_of).checkpoint()
     if {"failed_jobs_analysis", "job_retry_patterns"} <= set(names):
-        t["_status_costs"] = J.status_costs(t["usage"], t["list_prices"], t["job_run_timeline"], as_of) \
-            .persist(StorageLevel.MEMORY_AND_DISK)
-        shared.append(t["_status_costs"])
+        t["_status_costs"] = J.status_costs(t["usage"], t["list_prices"], t["job_run_timeline"], as_of).checkpoint()
+
     def build(name: str) -> str:
         return materialize(VIEWS[name](t, as_of), f"{database}.{name}" if database else name)
 
-    try:
-        if concurrent_views > 1:
-            # independent views are submitted as concurrent Spark jobs; the scheduler interleaves their stages
-            with ThreadPoolExecutor(max_workers=concurrent_views) as pool:
-                return list(pool.map(build, names))
-        return [build(n) for n in names]
-    finally:
-        for df in shared:
-            df.unpersist()
+    if concurrent_views > 1:
+        # independent views are submitted as concurrent Spark jobs; the scheduler interleaves their stages
+        with ThreadPoolExecutor(max_workers=concurrent_views) as pool:
+            return list(pool.map(build, names))
+    return [build(n) for n in names]

@@ -7,32 +7,27 @@ from pyspark.sql import functions as F
 
 from ..fixed import LOOKBACK_DAYS, OFFERING_BATCH_INFERENCE, PRODUCT_MODEL_SERVING, SKU_SERVERLESS_REAL_TIME_INFERENCE
 from ..functions.dates import as_date, days_before
-from ..operators.picks import TAGS_KEY, pick_tags, with_tags_key
+from ..operators.picks import pick_tags, sum_then_pick, with_tags_key
 from ..operators.pricing import POINT, priced_usage
-from ..operators.sizing import DEFAULT_BROADCAST_ROWS, row_count_at_most
 
 ENTITY_COLS = ["endpoint_name", "endpoint_id", "created_by", "served_entity_name", "entity_type",
                "custom_model_config", "external_model_config"]
 
 
-def join_served_entities(usage: DataFrame, served_entities: DataFrame,
-                         broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+def join_served_entities(usage: DataFrame, served_entities: DataFrame) -> DataFrame:
     """Usage joined to every entity served behind its endpoint (same account).
 
-    An endpoint with N entities yields N rows per usage record.  The entity
-    table is broadcast only when a bounded count shows it is small.
+    An endpoint with N entities yields N rows per usage record.  Spark picks the
+    join from measured sizes.
     """
     ents = served_entities.where(F.col("endpoint_name").isNotNull()).select(
         F.col("account_id").alias("_e_account"), *ENTITY_COLS)
-    # the unfiltered entity count bounds the filtered one (checked once per input DataFrame)
-    small = row_count_at_most(served_entities, broadcast_rows)
-    return usage.join(F.broadcast(ents) if small else ents,
-                      (F.col("usage_metadata.endpoint_name") == F.col("endpoint_name"))
+    return usage.join(ents, (F.col("usage_metadata.endpoint_name") == F.col("endpoint_name"))
                       & (F.col("account_id") == F.col("_e_account")), "inner").drop("_e_account")
 
 
 def model_serving_costs(usage: DataFrame, prices: DataFrame, served_entities: DataFrame, as_of=None,
-                        lookback_days: int = LOOKBACK_DAYS, broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+                        lookback_days: int = LOOKBACK_DAYS) -> DataFrame:
     """Real-time inference cost per workspace and served entity, with 7/14/30-day sums.
 
     Usage joins every entity served behind its endpoint (C10), so an endpoint
@@ -57,14 +52,13 @@ def model_serving_costs(usage: DataFrame, prices: DataFrame, served_entities: Da
         recent = date >= F.date_sub(d, days)
         sums[f"t{days}d_list_cost"] = F.when(recent, lc).otherwise(zero)
         sums[f"t{days}d_effective_cost"] = F.when(recent, ec).otherwise(zero)
-    partial = priced.groupBy("workspace_id", "account_id",
-                             F.col("usage_metadata.endpoint_name").alias("_endpoint")).agg(
-        F.max("usage_date").alias("last_usage_date"), pick_tags().alias("custom_tags"),
-        F.min(TAGS_KEY).alias(TAGS_KEY), *[F.sum(v).alias(k) for k, v in sums.items()])
+    endpoint = ["workspace_id", "account_id", "_endpoint"]
+    partial = sum_then_pick(priced.withColumn("_endpoint", F.col("usage_metadata.endpoint_name")).withColumns(sums),
+                            endpoint, list(sums), latest={"usage_date": "last_usage_date"}, user=None)
     partial = partial.withColumn("usage_metadata", F.struct(F.col("_endpoint").alias("endpoint_name"))).drop("_endpoint")
-    fanned = join_served_entities(partial, served_entities, broadcast_rows)
+    fanned = join_served_entities(partial, served_entities)
     return fanned.groupBy("workspace_id", *ENTITY_COLS).agg(
-        F.max("last_usage_date").alias("last_usage_date"), pick_tags().alias("custom_tags"),
+        F.max("last_usage_date").alias("last_usage_date"), pick_tags(),
         *[F.sum(k).alias(k) for k in sums])
 
 

@@ -12,7 +12,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..fixed import (DEFAULT_REQUIRED_TAGS, NOT_FOUND, RESOURCE_TYPES, UNKNOWN_NAME, UNKNOWN_STATE,
+from ..fixed import (DEFAULT_REQUIRED_TAGS, NOT_FOUND, NOT_TAGGABLE, RESOURCE_TYPES, UNKNOWN_NAME, UNKNOWN_STATE,
                      UNKNOWN_TYPE)
 from ..functions.tags import MERGE, merge_tags, missing_tags, tag_count, tags_literal, tags_or_empty
 from ..sources import schemas
@@ -25,26 +25,29 @@ def resource_inventory(clusters: DataFrame, warehouses: DataFrame, job_settings:
 
     Missing state -> ``unknown`` (jobs have no state); job and pipeline names
     default to ``Unknown`` without settings/spec; missing tags -> ``{}``;
-    pipeline tags are the spec configuration.
+    pipeline tags are the spec configuration.  Warehouses have a
+    ``cluster_size`` and jobs a ``creator_user_name``; ``taggable`` is false for a
+    job without settings or a pipeline without a spec, whose tags cannot be changed.
     """
     unknown = F.lit(UNKNOWN_STATE)
+    none = F.lit(None).cast("string")
+
+    def part(df, kind, key, name, state, tags, size=none, creator=none, taggable=F.lit(True)):
+        return df.select(F.lit(kind).alias("resource_type"), F.col(key).alias("resource_id"), name.alias("resource_name"),
+                         state.alias("state"), tags_or_empty(tags).alias("tags"), size.alias("cluster_size"),
+                         creator.alias("creator_user_name"), taggable.alias("taggable"))
+
+    def named(holder):
+        return F.when(F.col(holder).isNull(), F.lit(UNKNOWN_NAME)).otherwise(F.col(f"{holder}.name"))
+
     parts = [
-        clusters.select(F.lit("cluster").alias("resource_type"), F.col("cluster_id").alias("resource_id"),
-                        F.col("cluster_name").alias("resource_name"), F.coalesce("state", unknown).alias("state"),
-                        tags_or_empty("custom_tags").alias("tags")),
-        warehouses.select(F.lit("warehouse").alias("resource_type"), F.col("warehouse_id").alias("resource_id"),
-                          F.col("name").alias("resource_name"), F.coalesce("state", unknown).alias("state"),
-                          tags_or_empty("tags").alias("tags")),
-        job_settings.select(F.lit("job").alias("resource_type"), F.col("job_id").alias("resource_id"),
-                            F.when(F.col("settings").isNull(), F.lit(UNKNOWN_NAME))
-                             .otherwise(F.col("settings.name")).alias("resource_name"),
-                            F.lit(None).cast("string").alias("state"),
-                            tags_or_empty("settings.tags").alias("tags")),
-        pipelines.select(F.lit("pipeline").alias("resource_type"), F.col("pipeline_id").alias("resource_id"),
-                         F.when(F.col("spec").isNull(), F.lit(UNKNOWN_NAME))
-                          .otherwise(F.col("spec.name")).alias("resource_name"),
-                         F.coalesce("state", unknown).alias("state"),
-                         tags_or_empty("spec.configuration").alias("tags")),
+        part(clusters, "cluster", "cluster_id", F.col("cluster_name"), F.coalesce("state", unknown), "custom_tags"),
+        part(warehouses, "warehouse", "warehouse_id", F.col("name"), F.coalesce("state", unknown), "tags",
+             size=F.col("cluster_size")),
+        part(job_settings, "job", "job_id", named("settings"), none, "settings.tags",
+             creator=F.col("creator_user_name"), taggable=F.col("settings").isNotNull()),
+        part(pipelines, "pipeline", "pipeline_id", named("spec"), F.coalesce("state", unknown), "spec.configuration",
+             taggable=F.col("spec").isNotNull()),
     ]
     out = parts[0]
     for p in parts[1:]:
@@ -53,43 +56,52 @@ def resource_inventory(clusters: DataFrame, warehouses: DataFrame, job_settings:
 
 
 def _requests_with_resources(resources: DataFrame, requests: DataFrame) -> DataFrame:
-    r = resources.select("resource_type", "resource_id", "resource_name", "tags", F.lit(True).alias("_found"))
+    r = resources.select("resource_type", "resource_id", "resource_name", "tags", "taggable", F.lit(True).alias("_found"))
     return requests.select("resource_type", "resource_id").join(r, ["resource_type", "resource_id"], "left")
 
 
-def _error(found, rtype):
-    msgs = F.when(~rtype.isin(*RESOURCE_TYPES), F.format_string(UNKNOWN_TYPE.replace("{}", "%s"), rtype))
-    for t, m in NOT_FOUND.items():
-        msgs = msgs.when(found.isNull() & (rtype == t),
-                         F.format_string(m.replace("{}", "%s"), F.col("resource_id")))
-    return msgs
+def _error(ok, messages: Mapping[str, str]):
+    """Message of a request that did not succeed, NULL otherwise."""
+    kind = F.col("resource_type")
+    text = F.when(~kind.isin(*RESOURCE_TYPES), F.format_string(UNKNOWN_TYPE.replace("{}", "%s"), kind))
+    for t, m in messages.items():
+        text = text.when(~ok & (kind == t), F.format_string(m.replace("{}", "%s"), F.col("resource_id")))
+    return text
+
+
+def _known(flag):
+    return F.coalesce(flag, F.lit(False)) & F.col("resource_type").isin(*RESOURCE_TYPES)
 
 
 def list_tags(resources: DataFrame, requests: DataFrame) -> DataFrame:
-    """L2: tags and tag count of each requested resource; unknown ones get ``error``."""
+    """L2: tags and tag count of each requested resource; unknown ones get ``error``.
+
+    A job without settings or a pipeline without a spec has no tags.
+    """
     j = _requests_with_resources(resources, requests)
-    ok = F.col("_found").isNotNull() & F.col("resource_type").isin(*RESOURCE_TYPES)
+    ok = _known(F.col("_found"))
     return j.select("resource_type", "resource_id", ok.alias("success"),
                     F.when(ok, F.col("tags")).alias("tags"),
                     F.when(ok, tag_count("tags")).alias("tag_count"),
-                    _error(F.col("_found"), F.col("resource_type")).alias("error"))
+                    _error(ok, NOT_FOUND).alias("error"))
 
 
 def bulk_update_tags(resources: DataFrame, requests: DataFrame, tags: Mapping[str, str],
                      operation: str = MERGE) -> DataFrame:
     """L4 (and L3 for a single request): one result row per request.
 
-    ``previous_tags`` / ``new_tags`` per resource; an unknown type or id gives
-    ``success = false`` with an error message and does not stop the others.
+    ``previous_tags`` / ``new_tags`` per resource; an unknown type or id, a job
+    without settings or a pipeline without a spec gives ``success = false`` with an
+    error message and does not stop the others.
     """
     j = _requests_with_resources(resources, requests)
-    ok = F.col("_found").isNotNull() & F.col("resource_type").isin(*RESOURCE_TYPES)
+    ok = _known(F.col("taggable"))
     new = merge_tags("tags", tags_literal(tags), operation)
     return j.select("resource_type", "resource_id", ok.alias("success"),
                     F.when(ok, F.col("tags")).alias("previous_tags"),
                     F.when(ok, new).alias("new_tags"),
                     F.when(ok, F.lit(operation)).alias("operation"),
-                    _error(F.col("_found"), F.col("resource_type")).alias("error"))
+                    _error(ok, NOT_TAGGABLE).alias("error"))
 
 
 def update_tags(resources: DataFrame, resource_type: str, resource_id: str, tags: Mapping[str, str],
@@ -102,10 +114,10 @@ def update_tags(resources: DataFrame, resource_type: str, resource_id: str, tags
 
 def apply_tag_updates(resources: DataFrame, requests: DataFrame, tags: Mapping[str, str],
                       operation: str = MERGE) -> DataFrame:
-    """The resource snapshot after a bulk update (requested resources get their new tags)."""
+    """The resource snapshot after a bulk update: requested resources that can have tags get their new ones."""
     hit = requests.select("resource_type", "resource_id").distinct().withColumn("_hit", F.lit(True))
     j = resources.join(hit, ["resource_type", "resource_id"], "left")
-    new = F.when(F.col("_hit"), merge_tags("tags", tags_literal(tags), operation)).otherwise(F.col("tags"))
+    new = F.when(F.col("_hit") & F.col("taggable"), merge_tags("tags", tags_literal(tags), operation)).otherwise(F.col("tags"))
     return j.withColumn("tags", new).withColumn("tag_count", tag_count("tags")).drop("_hit")
 
 

@@ -6,25 +6,30 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..fixed import READ_LIMIT
 from ..operators.filters import filter_in
 from ..operators.topk import capped
 
-DEFAULT_LIMIT = READ_LIMIT
 
-
-def query_view(df: DataFrame, filters: Mapping[str, object] | None = None, limit: int | None = DEFAULT_LIMIT,
+def query_view(df: DataFrame, filters: Mapping[str, object] | None = None, limit: int | None = None,
                order: Sequence = ()) -> DataFrame:
     """A6 on a DataFrame: AND of ``col = value`` / ``col IN (...)`` filters (empty list and
-    None ignored), then at most ``limit`` rows, taken after ``order`` when given."""
+    None ignored); with ``limit``, the first rows after ``order``.
+
+    A filter on a column that ``df`` lacks, or a limit without an order, is an error.
+    """
+    unknown = sorted(set(filters or {}) - set(df.columns))
+    if unknown:
+        raise ValueError(f"no such column: {', '.join(unknown)}")
+    if limit is not None and not order:
+        raise ValueError("a limit needs an order")
     out = filter_in(df, filters or {})
     return capped(out, limit, order) if limit is not None else out
 
 
 def read_view(spark: SparkSession, name: str, filters: Mapping[str, object] | None = None,
-              limit: int | None = DEFAULT_LIMIT, order: Sequence = ()) -> DataFrame:
-    """Filtered, capped read of a stored view.  Filters are Column predicates
-    (no SQL text is assembled), so they are pushed into the table scan."""
+              limit: int | None = None, order: Sequence = ()) -> DataFrame:
+    """Filtered read of a stored view, all of it unless ``limit`` is given.  Filters are
+    Column predicates (no SQL text is assembled), so they are pushed into the table scan."""
     return query_view(spark.table(name), filters, limit, order)
 
 

@@ -167,6 +167,7 @@ def warehouses(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _read(spark, sf_dir, "supplier")
     k = F.col("s_suppkey")
     return s.select(_s(k).alias("warehouse_id"), F.col("s_name").alias("name"), F.lit("STOPPED").alias("state"),
+                    F.when(k % 3 == 0, "Small").when(k % 3 == 1, "Large").alias("cluster_size"),
                     _tags(F.when(k % 2 == 0, '{"environment":"production"}')).alias("tags"))
 
 
@@ -176,31 +177,43 @@ def job_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
     tags = F.concat(F.lit('{"team":"'), F.col("p_brand"), F.lit('","owner":"o'), _s(F.col("p_size") % 6), F.lit('"}'))
     settings = F.struct(F.col("p_name").alias("name"), _tags(tags).alias("tags"))
     no_settings = F.lit(None).cast(schemas.JOB_SETTINGS["settings"].dataType)
-    return p.select(_s(k).alias("job_id"), F.when(k % 10 == 0, no_settings).otherwise(settings).alias("settings"))
+    creator = F.concat(F.lit("creator"), _s(F.col("p_size") % 7), F.lit("@x.io"))
+    return p.select(_s(k).alias("job_id"), creator.alias("creator_user_name"), F.when(k % 10 == 0, no_settings).otherwise(settings).alias("settings"))
 
 
 def pipelines(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = _read(spark, sf_dir, "nation")
     spec = F.struct(F.col("n_name").alias("name"), F.lit(None).cast(schemas.TAGS).alias("configuration"))
-    return n.select(_s(F.col("n_nationkey")).alias("pipeline_id"), F.lit("IDLE").alias("state"), spec.alias("spec"))
+    no_spec = F.lit(None).cast(schemas.PIPELINES["spec"].dataType)
+    return n.select(_s(F.col("n_nationkey")).alias("pipeline_id"), F.lit("IDLE").alias("state"),
+                    F.when(F.col("n_nationkey") % 5 == 4, no_spec).otherwise(spec).alias("spec"))
 
 
 def tag_requests(spark: SparkSession, resources: DataFrame) -> DataFrame:
-    """Every inventoried resource, plus one unknown id and one unknown type."""
-    extra = spark.createDataFrame([("cluster", "missing"), ("dashboard", "1")], schemas.TAG_REQUESTS)
+    """Every inventoried resource, plus an unknown id of each type and an unknown type."""
+    unknown = [("cluster", "missing"), ("warehouse", "missing"), ("job", "missing"), ("pipeline", "missing"), ("dashboard", "1")]
+    extra = spark.createDataFrame(unknown, schemas.TAG_REQUESTS)
     return resources.select("resource_type", "resource_id").unionByName(extra)
 
 
+TABLES = {"usage": usage, "list_prices": list_prices, "jobs": jobs, "job_run_timeline": job_run_timeline,
+          "served_entities": served_entities, "clusters": clusters, "warehouses": warehouses,
+          "job_settings": job_settings, "pipelines": pipelines}
+
+
+class Tables(dict):
+    """Fixture tables of one folder; each is opened when it is first asked for."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        super().__init__()
+        self.spark, self.sf_dir = spark, sf_dir
+
+    def __missing__(self, name: str) -> DataFrame:
+        self[name] = TABLES[name](self.spark, self.sf_dir)
+        return self[name]
+
+
 def load_all(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """All fixture tables for one scale-factor folder."""
-    return {
-        "usage": usage(spark, sf_dir),
-        "list_prices": list_prices(spark),
-        "jobs": jobs(spark, sf_dir),
-        "job_run_timeline": job_run_timeline(spark, sf_dir),
-        "served_entities": served_entities(spark, sf_dir),
-        "clusters": clusters(spark, sf_dir),
-        "warehouses": warehouses(spark, sf_dir),
-        "job_settings": job_settings(spark, sf_dir),
-        "pipelines": pipelines(spark, sf_dir),
-    }
+    tables = Tables(spark, sf_dir)
+    return {name: tables[name] for name in TABLES}

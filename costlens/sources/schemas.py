@@ -42,13 +42,13 @@ SERVED_ENTITIES = _fields(
 
 # Resource snapshots as the workspace APIs list them (inputs of the inventory).
 CLUSTERS = _fields(("cluster_id", S), ("cluster_name", S), ("state", S), ("custom_tags", TAGS))
-WAREHOUSES = _fields(("warehouse_id", S), ("name", S), ("state", S), ("tags", TAGS))
-JOB_SETTINGS = _fields(("job_id", S), ("settings", _fields(("name", S), ("tags", TAGS))))
+WAREHOUSES = _fields(("warehouse_id", S), ("name", S), ("state", S), ("cluster_size", S), ("tags", TAGS))
+JOB_SETTINGS = _fields(("job_id", S), ("creator_user_name", S), ("settings", _fields(("name", S), ("tags", TAGS))))
 PIPELINES = _fields(("pipeline_id", S), ("state", S), ("spec", _fields(("name", S), ("configuration", TAGS))))
 
 RESOURCES = _fields(
     ("resource_type", S), ("resource_id", S), ("resource_name", S), ("state", S),
-    ("tags", TAGS), ("tag_count", T.IntegerType()),
+    ("tags", TAGS), ("cluster_size", S), ("creator_user_name", S), ("taggable", B), ("tag_count", T.IntegerType()),
 )
 
 TAG_REQUESTS = _fields(("resource_type", S), ("resource_id", S))

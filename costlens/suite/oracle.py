@@ -261,38 +261,45 @@ _REQ_LIST = "[" + ", ".join(f"'{t}'" for t in REQUIRED) + "]"
 
 RESOURCE_CTES = {
     "resources": f"""
-SELECT resource_type, resource_id, resource_name, state, tags_map, CAST(cardinality(tags_map) AS INTEGER) AS tag_count,
+SELECT resource_type, resource_id, resource_name, state, tags_map, cluster_size, creator_user_name, taggable,
+  CAST(cardinality(tags_map) AS INTEGER) AS tag_count,
   {tags_txt('tags_map')} AS tags_txt FROM (
   SELECT 'cluster' AS resource_type, CAST(c_custkey AS VARCHAR) AS resource_id, c_name AS resource_name,
     CASE WHEN c_custkey % 9 = 0 THEN 'unknown' ELSE 'RUNNING' END AS state,
     COALESCE({json_map('''CASE WHEN c_custkey % 4 = 0 THEN NULL
       WHEN c_custkey % 4 = 1 THEN concat('{"environment":"production","team":"', c_mktsegment, '"}')
       ELSE concat('{"environment":"development","team":"', c_mktsegment, '","owner":"o', CAST(c_custkey % 6 AS VARCHAR), '"}') END''')},
-      {_EMPTY_MAP}) AS tags_map
+      {_EMPTY_MAP}) AS tags_map, CAST(NULL AS VARCHAR) AS cluster_size, CAST(NULL AS VARCHAR) AS creator_user_name, TRUE AS taggable
   FROM customer
   UNION ALL SELECT 'warehouse', CAST(s_suppkey AS VARCHAR), s_name, 'STOPPED',
-    COALESCE({json_map('''CASE WHEN s_suppkey % 2 = 0 THEN '{"environment":"production"}' END''')}, {_EMPTY_MAP}) FROM supplier
+    COALESCE({json_map('''CASE WHEN s_suppkey % 2 = 0 THEN '{"environment":"production"}' END''')}, {_EMPTY_MAP}),
+    CASE s_suppkey % 3 WHEN 0 THEN 'Small' WHEN 1 THEN 'Large' END, NULL, TRUE FROM supplier
   UNION ALL SELECT 'job', CAST(p_partkey AS VARCHAR), CASE WHEN p_partkey % 10 = 0 THEN 'Unknown' ELSE p_name END, NULL,
     CASE WHEN p_partkey % 10 = 0 THEN {_EMPTY_MAP}
-      ELSE {json_map('''concat('{"team":"', p_brand, '","owner":"o', CAST(p_size % 6 AS VARCHAR), '"}')''')} END FROM part
-  UNION ALL SELECT 'pipeline', CAST(n_nationkey AS VARCHAR), n_name, 'IDLE', {_EMPTY_MAP} FROM nation) r""",
+      ELSE {json_map('''concat('{"team":"', p_brand, '","owner":"o', CAST(p_size % 6 AS VARCHAR), '"}')''')} END,
+    NULL, 'creator' || CAST(p_size % 7 AS VARCHAR) || '@x.io', p_partkey % 10 <> 0 FROM part
+  UNION ALL SELECT 'pipeline', CAST(n_nationkey AS VARCHAR), CASE WHEN n_nationkey % 5 = 4 THEN 'Unknown' ELSE n_name END, 'IDLE',
+    {_EMPTY_MAP}, NULL, NULL, n_nationkey % 5 <> 4 FROM nation) r""",
     "tag_requests": """
-SELECT resource_type, resource_id FROM resources UNION ALL SELECT 'cluster', 'missing' UNION ALL SELECT 'dashboard', '1'""",
+SELECT resource_type, resource_id FROM resources
+UNION ALL SELECT * FROM (VALUES ('cluster', 'missing'), ('warehouse', 'missing'), ('job', 'missing'), ('pipeline', 'missing'),
+  ('dashboard', '1')) x""",
+    # a getter fails on unknown ids and types; a change also on jobs without settings and pipelines without a spec
     "tag_lookup": """
-SELECT q.resource_type, q.resource_id, r.tags_map, r.tags_txt, r.resource_id IS NOT NULL
-    AND q.resource_type IN ('cluster', 'warehouse', 'job', 'pipeline') AS ok,
+SELECT q.resource_type, q.resource_id, r.tags_map, r.tags_txt, r.resource_id IS NOT NULL AS found,
+  COALESCE(r.taggable, FALSE) AS ok,
+  CASE q.resource_type WHEN 'cluster' THEN 'Cluster ' WHEN 'warehouse' THEN 'Warehouse ' WHEN 'job' THEN 'Job '
+    WHEN 'pipeline' THEN 'Pipeline ' END || q.resource_id || ' not found' AS missing,
+  CASE q.resource_type WHEN 'job' THEN ' or has no settings' WHEN 'pipeline' THEN ' or has no spec' ELSE '' END AS holder,
   CASE WHEN q.resource_type NOT IN ('cluster', 'warehouse', 'job', 'pipeline') THEN 'Unknown resource type: ' || q.resource_type
-    WHEN r.resource_id IS NULL AND q.resource_type = 'cluster' THEN 'Cluster ' || q.resource_id || ' not found'
-    WHEN r.resource_id IS NULL AND q.resource_type = 'warehouse' THEN 'Warehouse ' || q.resource_id || ' not found'
-    WHEN r.resource_id IS NULL AND q.resource_type = 'job' THEN 'Job ' || q.resource_id || ' not found or has no settings'
-    WHEN r.resource_id IS NULL AND q.resource_type = 'pipeline' THEN 'Pipeline ' || q.resource_id || ' not found or has no spec'
-  END AS error
+  END AS unknown
 FROM tag_requests q LEFT JOIN resources r ON q.resource_type = r.resource_type AND q.resource_id = r.resource_id""",
-    # merge {"environment":"production","reviewed":"2024"} into the current tags
-    "tag_merged": f"""
+    "tag_changed": f"""
 SELECT *, {tags_txt('''map_concat(map_from_entries(list_filter(map_entries(tags_map),
-    lambda e: e.key NOT IN ('environment', 'reviewed'))), MAP {'environment': 'production', 'reviewed': '2024'})''')}
-  AS new_txt FROM tag_lookup""",
+    lambda e: e.key NOT IN ('environment', 'reviewed'))), MAP {'environment': 'production', 'reviewed': '2024'})''')} AS merged,
+  'environment=production;reviewed=2024' AS replaced,
+  {tags_txt('''map_from_entries(list_filter(map_entries(tags_map), lambda e: e.key NOT IN ('environment', 'reviewed')))''')}
+  AS removed FROM tag_lookup""",
     "daily_jobs": f"""
 SELECT usage_date, workspace_id, job_id, SUM(effective_cost) AS effective_cost FROM priced_c
 WHERE billing_origin_product = 'JOBS' AND usage_date >= {AS_OF} - INTERVAL 30 DAY GROUP BY usage_date, workspace_id, job_id""",
@@ -307,6 +314,8 @@ def _top(metric_sql: str, alias: str, frm: str, keys: list[str], k: int, where:
     key_list = ", ".join(keys)
     not_null = " AND ".join(f"{c} IS NOT NULL" for c in keys)
     order = ", ".join(f"{c} ASC NULLS FIRST" for c in keys)
+    if metric_sql.startswith("SUM("):
+        metric_sql = f"COALESCE({metric_sql}, 0)"  # a group without values sums up to nothing, and stays
     return f"""SELECT {key_list}, {metric_sql} AS {alias} FROM {frm} WHERE {where} AND {not_null} GROUP BY {key_list}
 HAVING {metric_sql} IS NOT NULL ORDER BY {alias} DESC, {order} LIMIT {k}"""
 
@@ -325,8 +334,7 @@ def _display(name: str, job: str) -> str:
 
 def _currency(x: str) -> str:
     v = f"CAST({x} AS DOUBLE)"
-    return (f"CASE WHEN {v} IS NULL THEN '$0.00' WHEN {v} < 0 THEN '-$' || format('{{:,.2f}}', -{v}) "
-            f"ELSE '$' || format('{{:,.2f}}', {v}) END")
+    return f"CASE WHEN {v} IS NULL THEN '$0.00' ELSE '$' || format('{{:,.2f}}', {v}) END"
 
 
 J1_COLS = "name, job_id, workspace_id, runs, run_as, list_cost, effective_cost, custom_tags, last_seen_date"
@@ -497,15 +505,63 @@ SELECT name, job_id, workspace_id, runs, run_as, {_currency('list_cost')} AS lis
   format('Showing {{}} of {{}} rows', least(n, 100), n) AS caption
 FROM (SELECT *, COUNT(*) OVER () AS n FROM v_most_expensive_jobs) q
 ORDER BY q.effective_cost DESC NULLS LAST, workspace_id ASC NULLS FIRST, job_id ASC NULLS FIRST LIMIT 100""",
+    "g4_safe_top_k": """
+SELECT o_orderkey, TRY_CAST(price AS DOUBLE) AS price FROM (SELECT o_orderkey,
+  CASE WHEN o_orderkey % 5 = 0 THEN 'n/a' ELSE CAST(o_totalprice AS VARCHAR) END AS price FROM orders) o
+WHERE TRY_CAST(price AS DOUBLE) IS NOT NULL ORDER BY 2 DESC, 1 LIMIT 25""",
+    "k22_coerce_numeric": """
+SELECT o_orderkey, CASE WHEN o_orderkey % 5 <> 0 THEN CAST(CAST(o_totalprice AS VARCHAR) AS DOUBLE) END AS price FROM orders""",
+    "i7_parse_tag_text": """
+SELECT p_partkey, CASE WHEN p_partkey % 8 IN (0, 3) THEN 'b=' || p_brand ELSE '' END AS tags FROM part""",
+    "i8_merge_tags": """
+SELECT resource_type, resource_id, merged AS "merge", replaced AS "replace", removed AS "remove" FROM tag_changed
+WHERE found""",
+    "i11_display_names": """
+SELECT p_partkey, CASE WHEN p_partkey % 6 < 3 THEN 'Job ID: ' || CAST(p_partkey AS VARCHAR) ELSE n END AS display,
+  CASE WHEN p_partkey % 6 < 3 THEN 'Run ' || CAST(p_partkey AS VARCHAR) ELSE substr(n, 1, 20) || '...' END AS label
+FROM (SELECT p_partkey, (CASE p_partkey % 6 WHEN 0 THEN NULL WHEN 1 THEN chr(9) || ' ' || chr(10) WHEN 2 THEN '' WHEN 3 THEN chr(9) || p_name ELSE p_name END) AS n FROM part) p""",
+    "i13_number_text": f"""
+SELECT l_orderkey, l_linenumber, {_currency('v')} AS total_cost,
+  CASE WHEN v IS NULL THEN '0' WHEN v >= 1000000 THEN format('{{:.1f}}M', v / 1000000) WHEN v >= 1000 THEN format('{{:.1f}}K', v / 1000)
+    ELSE format('{{:.1f}}', v) END AS large
+FROM (SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 7 <> 5 THEN CAST(l_orderkey % 9000 AS DOUBLE) / 8::DOUBLE - 200::DOUBLE
+  + CASE WHEN l_linenumber % 3 = 0 THEN CAST(l_extendedprice AS DOUBLE) * 37::DOUBLE ELSE 0::DOUBLE END END AS v FROM lineitem) x""",
+    "i15_required_tags": """
+SELECT p_partkey, replace(p_name, ' ', ',') AS required FROM part""",
+    "i16_clean_pairs": f"""
+SELECT p_partkey, {tags_txt("map_from_entries([('kind', p_type), (p_brand, p_name)])")} AS tags FROM part""",
+    "k6_filter_runs": _cast_money("""
+SELECT workspace_id, name, job_id, run_id, run_as, list_cost, effective_cost, custom_tags, last_seen_date
+FROM v_most_expensive_job_runs WHERE workspace_id IN ('1', '2') AND list_contains(string_split(custom_tags, ';'), 'env=prod')""",
+                                  ["list_cost", "effective_cost"]),
+    "k23_job_id_options": "SELECT DISTINCT job_id FROM v_most_expensive_jobs WHERE job_id IS NOT NULL",
+    "k23_workspace_options": "SELECT DISTINCT workspace_id FROM v_most_expensive_jobs WHERE workspace_id IS NOT NULL",
+    "k23_endpoint_options": "SELECT DISTINCT endpoint_name FROM v_model_serving_costs WHERE endpoint_name IS NOT NULL",
+    "k23_created_by_options": "SELECT DISTINCT created_by FROM v_model_serving_costs WHERE created_by IS NOT NULL",
     # ---- resource tagging
     "l1_resource_inventory": """
-SELECT resource_type, resource_id, resource_name, state, tags_txt AS tags, tag_count FROM resources""",
-    "l2_list_tags": f"""
-SELECT resource_type, resource_id, ok AS success, CASE WHEN ok THEN tags_txt END AS tags,
-  CASE WHEN ok THEN CAST(cardinality(tags_map) AS INTEGER) END AS tag_count, error FROM tag_lookup""",
+SELECT resource_type, resource_id, resource_name, state, tags_txt AS tags, cluster_size, creator_user_name, taggable, tag_count
+FROM resources""",
+    "l2_list_tags": """
+SELECT resource_type, resource_id, found AS success, CASE WHEN found THEN tags_txt END AS tags,
+  CASE WHEN found THEN CAST(cardinality(tags_map) AS INTEGER) END AS tag_count,
+  CASE WHEN NOT found THEN COALESCE(unknown, missing) END AS error FROM tag_lookup""",
+    "l3_update_tags": """
+SELECT resource_type, resource_id, ok AS success, CASE WHEN ok THEN tags_txt END AS previous_tags,
+  CASE WHEN ok THEN merged END AS new_tags, CASE WHEN ok THEN 'merge' END AS operation,
+  CASE WHEN NOT ok THEN COALESCE(unknown, missing || holder) END AS error FROM tag_changed WHERE resource_type = 'warehouse' AND resource_id = '2'""",
     "l4_bulk_update_tags": """
 SELECT resource_type, resource_id, ok AS success, CASE WHEN ok THEN tags_txt END AS previous_tags,
-  CASE WHEN ok THEN new_txt END AS new_tags, CASE WHEN ok THEN 'merge' END AS operation, error FROM tag_merged""",
+  CASE WHEN ok THEN merged END AS new_tags, CASE WHEN ok THEN 'merge' END AS operation,
+  CASE WHEN NOT ok THEN COALESCE(unknown, missing || holder) END AS error FROM tag_changed""",
+    "l4_bulk_replace_tags": """
+SELECT resource_type, resource_id, ok AS success, CASE WHEN ok THEN tags_txt END AS previous_tags,
+  CASE WHEN ok THEN replaced END AS new_tags, CASE WHEN ok THEN 'replace' END AS operation,
+  CASE WHEN NOT ok THEN COALESCE(unknown, missing || holder) END AS error FROM tag_changed""",
+    "l4_bulk_remove_tags": """
+SELECT resource_type, resource_id, ok AS success, CASE WHEN ok THEN tags_txt END AS previous_tags,
+  CASE WHEN ok THEN removed END AS new_tags, CASE WHEN ok THEN 'remove' END AS operation,
+  CASE WHEN NOT ok THEN COALESCE(unknown, missing || holder) END AS error FROM tag_changed""",
     "l5_find_by_tag_key": """
 SELECT resource_type, resource_id, resource_name, tags_map['team'] AS tag_value, tags_txt AS all_tags FROM resources
 WHERE map_contains(tags_map, 'team')""",
@@ -543,9 +599,9 @@ SELECT resource_type, COUNT(*) AS total,
     THEN 1 ELSE 0 END) AS DOUBLE) / CAST(COUNT(*) AS DOUBLE) * 100 ELSE 0.0 END AS compliance_percentage
 FROM resources GROUP BY ROLLUP (resource_type)""",
     "l9_untagged": """
-SELECT resource_type, resource_id, resource_name, state, tags_txt AS tags, tag_count FROM resources WHERE tag_count = 0""",
+SELECT resource_type, resource_id, resource_name, state, tags_txt AS tags, cluster_size, creator_user_name, taggable, tag_count FROM resources WHERE tag_count = 0""",
     "l9_untagged_clusters": """
-SELECT resource_type, resource_id, resource_name, state, tags_txt AS tags, tag_count FROM resources
+SELECT resource_type, resource_id, resource_name, state, tags_txt AS tags, cluster_size, creator_user_name, taggable, tag_count FROM resources
 WHERE tag_count = 0 AND resource_type = 'cluster'""",
     "l10_resource_counts": """
 SELECT resource_type, COUNT(*) AS resource_count FROM resources GROUP BY resource_type""",

@@ -11,14 +11,16 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
-
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.tags import parse_tags
+from ..fixed import MERGE, REMOVE, REPLACE
+from ..functions.tags import clean_tag_pairs, merge_tags, parse_tags, required_tag_list, tags_literal
+from ..functions.text import display_name, format_large_number, format_money_columns, run_label
 from ..operators.attribution import timeline_hour_join
 from ..operators.latest import latest_jobs
 from ..operators.pricing import POINT, priced_usage
+from ..operators.topk import safe_top_k
 from ..plans import dashboard as K
 from ..plans import jobs as J
 from ..plans import serverless as S
@@ -35,7 +37,7 @@ QueryFn = Callable[[SparkSession, str], DataFrame]
 
 def inputs(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     use_utc(spark)
-    return fixtures.load_all(spark, sf_dir)
+    return fixtures.Tables(spark, sf_dir)
 
 
 def _u_p(fn) -> QueryFn:
@@ -85,24 +87,27 @@ VIEW_QUERIES: dict[str, QueryFn] = {
 }
 
 
+VIEW_INPUTS = {
+    "most_expensive_jobs": (J.most_expensive_jobs, ("usage", "list_prices", "jobs")),
+    "most_expensive_job_runs": (J.most_expensive_job_runs, ("usage", "list_prices", "jobs")),
+    "job_spend_trend": (J.job_spend_trend, ("usage", "list_prices", "jobs")),
+    "failed_jobs_analysis": (J.failed_jobs_analysis, ("usage", "list_prices", "job_run_timeline", "jobs")),
+    "user_spend_alerts": (S.user_spend_alerts, ("usage", "list_prices")),
+    "serverless_notebook_spend": (S.serverless_notebook_spend, ("usage", "list_prices")),
+    "serverless_job_spend": (S.serverless_job_spend, ("usage", "list_prices")),
+    "user_serverless_consumption": (S.user_serverless_consumption, ("usage", "list_prices")),
+    "serverless_consumption_by_tag": (S.serverless_consumption_by_tag, ("usage", "list_prices")),
+    "model_serving_costs": (V.model_serving_costs, ("usage", "list_prices", "served_entities")),
+    "batch_inference_costs": (V.batch_inference_costs, ("usage", "list_prices")),
+    "daily_job_costs": (K.daily_job_costs, ("usage", "list_prices")),
+}
+
+
 def _view(spark, sf_dir, name):
     """A cost view as a DataFrame (native types, not rendered)."""
     t = inputs(spark, sf_dir)
-    u, p, jb, tl, se = t["usage"], t["list_prices"], t["jobs"], t["job_run_timeline"], t["served_entities"]
-    return {
-        "most_expensive_jobs": lambda: J.most_expensive_jobs(u, p, jb, AS_OF),
-        "most_expensive_job_runs": lambda: J.most_expensive_job_runs(u, p, jb, AS_OF),
-        "job_spend_trend": lambda: J.job_spend_trend(u, p, jb, AS_OF),
-        "failed_jobs_analysis": lambda: J.failed_jobs_analysis(u, p, tl, jb, AS_OF),
-        "user_spend_alerts": lambda: S.user_spend_alerts(u, p, AS_OF),
-        "serverless_notebook_spend": lambda: S.serverless_notebook_spend(u, p, AS_OF),
-        "serverless_job_spend": lambda: S.serverless_job_spend(u, p, AS_OF),
-        "user_serverless_consumption": lambda: S.user_serverless_consumption(u, p, AS_OF),
-        "serverless_consumption_by_tag": lambda: S.serverless_consumption_by_tag(u, p, AS_OF),
-        "model_serving_costs": lambda: V.model_serving_costs(u, p, se, AS_OF),
-        "batch_inference_costs": lambda: V.batch_inference_costs(u, p, AS_OF),
-        "daily_job_costs": lambda: K.daily_job_costs(u, p, AS_OF),
-    }[name]()
+    build, names = VIEW_INPUTS[name]
+    return build(*(t[n] for n in names), AS_OF)
 
 
 def _on(view: str, report, **kw) -> QueryFn:
@@ -181,6 +186,93 @@ def a6_read_view(spark, sf_dir):
     return portable(catalog.query_view(v, {"workspace_id": ["1", "3"], "run_as": None}, 50, order))
 
 
+def _parts(spark, sf_dir) -> DataFrame:
+    use_utc(spark)
+    return spark.read.parquet(f"{sf_dir}/part.parquet").withColumn("k", F.col("p_partkey"))
+
+
+def _name() -> Column:
+    """Names that are missing, blank in several ways, or text with white space around it."""
+    k = F.col("k")
+    return (F.when(k % 6 == 0, F.lit(None)).when(k % 6 == 1, "\t \n").when(k % 6 == 2, "")
+            .when(k % 6 == 3, F.concat(F.lit("\t"), F.col("p_name"))).otherwise(F.col("p_name")))
+
+
+def i7_parse_tag_text(spark, sf_dir):
+    """I7 on text of every kind: objects, quoted objects, and what is no object."""
+    k, brand = F.col("k"), F.col("p_brand")
+    text = (F.when(k % 8 == 0, F.concat(F.lit('{"b":"'), brand, F.lit('"}')))
+            .when(k % 8 == 1, F.concat(F.lit('{"b":"'), brand, F.lit('"} and more')))
+            .when(k % 8 == 2, F.concat(F.lit("{'b':'"), brand, F.lit("'}")))
+            .when(k % 8 == 3, F.concat(F.lit('"{""b"":""'), brand, F.lit('""}"')))
+            .when(k % 8 == 4, F.concat(F.lit('{"b":"'), brand)).when(k % 8 == 5, "")
+            .when(k % 8 == 6, F.concat(F.lit('{"b":"'), brand, F.lit('"} {"c":"d"}'))))
+    return portable(_parts(spark, sf_dir).select("p_partkey", parse_tags(text).alias("tags")))
+
+
+def i8_merge_tags(spark, sf_dir):
+    """I8: all three operations on the tags of every resource."""
+    change = tags_literal(TAG_CHANGE)
+    return portable(_resources(spark, sf_dir).select(
+        "resource_type", "resource_id", *[merge_tags("tags", change, op).alias(op) for op in (MERGE, REPLACE, REMOVE)]))
+
+
+def i11_display_names(spark, sf_dir):
+    """Display name and run label."""
+    key = F.col("k").cast("string")
+    return _parts(spark, sf_dir).select("p_partkey", display_name(_name(), key).alias("display"),
+                                        run_label(_name(), key).alias("label"))
+
+
+def i13_number_text(spark, sf_dir):
+    """Money and large numbers, negative ones and exact halves among them."""
+    use_utc(spark)
+    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    wide = F.when(F.col("l_linenumber") % 3 == 0, F.col("l_extendedprice").cast("double") * 37).otherwise(F.lit(0.0))
+    value = (F.col("l_orderkey") % 9000).cast("double") / 8 - 200 + wide
+    value = F.when(F.col("l_linenumber") % 7 != 5, value)
+    out = li.select("l_orderkey", "l_linenumber", value.alias("total_cost"), format_large_number(value).alias("large"))
+    return format_money_columns(out)
+
+
+def i15_required_tags(spark, sf_dir):
+    """Tag keys typed as text."""
+    text = F.concat(F.lit(" ,\t"), F.regexp_replace("p_name", " ", ",\t "), F.lit(" , \n"))
+    return portable(_parts(spark, sf_dir).select("p_partkey", required_tag_list(text).alias("required")))
+
+
+def i16_clean_pairs(spark, sf_dir):
+    """I16: edited tag pairs."""
+    def pair(key, value):
+        return F.struct(key.alias("key"), value.alias("value"))
+    brand = F.col("p_brand")
+    pairs = F.array(pair(F.concat(F.lit("\t"), brand), F.col("p_type")), pair(F.lit(" "), F.col("p_type")),
+                    pair(F.lit("blank"), F.lit("\n\t")), pair(F.lit("kind"), F.concat(F.col("p_type"), F.lit(" \n"))),
+                    pair(brand, F.concat(F.lit(" "), F.col("p_name"))))
+    return portable(_parts(spark, sf_dir).select("p_partkey", clean_tag_pairs(pairs).alias("tags")))
+
+
+def g4_safe_top_k(spark, sf_dir):
+    """Top-k by a metric stored as text, some of it no number."""
+    use_utc(spark)
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    text = F.when(F.col("o_orderkey") % 5 == 0, "n/a").otherwise(F.col("o_totalprice").cast("string"))
+    return safe_top_k(o.select("o_orderkey", text.alias("price")), 25, "price", ["o_orderkey"])
+
+
+def k22_coerce_numeric(spark, sf_dir):
+    """Text columns to numbers."""
+    use_utc(spark)
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    text = F.when(F.col("o_orderkey") % 5 == 0, "n/a").otherwise(F.col("o_totalprice").cast("string"))
+    return K.coerce_numeric(o.select("o_orderkey", text.alias("price")), ["price", "absent"])
+
+
+def l3_update_tags(spark, sf_dir):
+    """L3: tag change of one resource."""
+    return portable(L.update_tags(_resources(spark, sf_dir), "warehouse", "2", TAG_CHANGE))
+
+
 TAG_CHANGE = {"environment": "production", "reviewed": "2024"}
 
 OPERATOR_QUERIES: dict[str, QueryFn] = {
@@ -192,6 +284,14 @@ OPERATOR_QUERIES: dict[str, QueryFn] = {
     "f4_status_cost_attribution": f4_status_cost_attribution,
     "i7_parse_tags": i7_parse_tags,
     "a6_read_view": a6_read_view,
+    "g4_safe_top_k": g4_safe_top_k,
+    "i7_parse_tag_text": i7_parse_tag_text,
+    "i8_merge_tags": i8_merge_tags,
+    "i11_display_names": i11_display_names,
+    "i13_number_text": i13_number_text,
+    "i15_required_tags": i15_required_tags,
+    "i16_clean_pairs": i16_clean_pairs,
+    "k22_coerce_numeric": k22_coerce_numeric,
 }
 
 REPORT_QUERIES: dict[str, QueryFn] = {
@@ -202,6 +302,8 @@ REPORT_QUERIES: dict[str, QueryFn] = {
     "k4_top_users_by_job_cost": _on("most_expensive_jobs", K.top_users_by_cost),
     "k5_top_jobs_by_runs": _on("most_expensive_jobs", K.top_jobs_by_runs),
     "k6_run_metrics": _on("most_expensive_job_runs", K.run_metrics),
+    "k6_filter_runs": _on("most_expensive_job_runs", K.filter_view, workspaces=["1", "2"], tag_key="env",
+                          tag_values=["prod"]),
     "k7_top_runs_by_cost": _on("most_expensive_job_runs", K.top_runs_by_cost),
     "k7_top_users_by_run_cost": _on("most_expensive_job_runs", K.top_users_by_cost),
     "k8_top_jobs_by_run_count": _on("most_expensive_job_runs", K.top_jobs_by_run_count),
@@ -238,6 +340,10 @@ REPORT_QUERIES: dict[str, QueryFn] = {
     "k23_user_options": _on("most_expensive_jobs", K.filter_options, col="run_as"),
     "k23_job_name_options": _on("most_expensive_jobs", K.filter_options, col="name"),
     "k23_tag_value_options": _on("most_expensive_jobs", K.tag_values, key="team"),
+    "k23_job_id_options": _on("most_expensive_jobs", K.filter_options, col="job_id"),
+    "k23_workspace_options": _on("most_expensive_jobs", K.filter_options, col="workspace_id"),
+    "k23_endpoint_options": _on("model_serving_costs", K.filter_options, col="endpoint_name"),
+    "k23_created_by_options": _on("model_serving_costs", K.filter_options, col="created_by"),
     "k24_detail_table": _on("most_expensive_jobs", K.detail_table, sort_col="effective_cost",
                             keys=["workspace_id", "job_id"]),
 }
@@ -246,6 +352,9 @@ TAG_QUERIES: dict[str, QueryFn] = {
     "l1_resource_inventory": _on_resources(lambda r: r),
     "l2_list_tags": _on_resources(L.list_tags, with_requests=True),
     "l4_bulk_update_tags": _on_resources(L.bulk_update_tags, with_requests=True, tags=TAG_CHANGE),
+    "l3_update_tags": l3_update_tags,
+    "l4_bulk_replace_tags": _on_resources(L.bulk_update_tags, with_requests=True, tags=TAG_CHANGE, operation=REPLACE),
+    "l4_bulk_remove_tags": _on_resources(L.bulk_update_tags, with_requests=True, tags=TAG_CHANGE, operation=REMOVE),
     "l5_find_by_tag_key": _on_resources(L.find_resources_by_tag, key="team"),
     "l5_find_by_tag_value": _on_resources(L.find_resources_by_tag, key="environment", value="production"),
     "l6_compliance_details": _on_resources(L.compliance_details),

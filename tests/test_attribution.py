@@ -7,7 +7,7 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import types as T
 
-from costlens.operators.attribution import attribute_status_cost, timeline_hour_join
+from costlens.operators.attribution import attribute_status_cost, attribution_bounds, timeline_hour_join
 from conftest import usage_df, usage_row
 
 ORDER = ["workspace_id", "job_id", "run_id", "usage_end_time", "record_id"]
@@ -44,13 +44,19 @@ def brute_force(rows):
     return out
 
 
+def cuts(rows, slices):
+    """Keys that cut the rows into about equal slices, fewer if keys repeat."""
+    keys = sorted({r[:4] for r in rows})
+    return [keys[i - 1] for i in sorted({len(keys) * i // slices for i in range(1, slices)} - {0})]
+
+
 @pytest.mark.parametrize("seed,n,slices", [(1, 60, 1), (2, 60, 4), (3, 200, 7), (4, 200, 16), (5, 25, 40),
                                            (6, 300, 3)])
 def test_parallel_scan_equals_global_scan(spark, seed, n, slices):
     rows = random_rows(seed, n)
     df = spark.createDataFrame(rows, SCHEMA)
     got = {r["record_id"]: (r["status_list_cost"], r["status_effective_cost"])
-           for r in attribute_status_cost(df, ORDER, num_slices=slices).collect()}
+           for r in attribute_status_cost(df, ORDER, cuts(rows, slices)).collect()}
     assert got == brute_force(rows)
 
 
@@ -64,7 +70,7 @@ def test_unterminated_tail_is_carried_to_next_run(spark):
     df = spark.createDataFrame(rows, SCHEMA)
     for slices in (1, 2, 5):
         got = {r["record_id"]: r["status_list_cost"]
-               for r in attribute_status_cost(df, ORDER, num_slices=slices).collect()}
+               for r in attribute_status_cost(df, ORDER, cuts(rows, slices)).collect()}
         assert got == {1: Decimal(1), 4: Decimal(1110)}
 
 
@@ -84,27 +90,40 @@ def test_hour_join_matches_range_condition_and_keeps_fanout(spark):
     assert pairs == [(1, 10), (1, 11), (2, 11)]
 
 
-@pytest.mark.parametrize("seed", [11, 12])
-def test_default_slices_follow_aqe_coalescing(spark, seed):
-    rows = random_rows(seed, 400)
-    df = spark.createDataFrame(rows, SCHEMA)
-    old = spark.conf.get("spark.sql.shuffle.partitions")
-    spark.conf.set("spark.sql.shuffle.partitions", "64")
-    try:
-        got = {r["record_id"]: (r["status_list_cost"], r["status_effective_cost"])
-               for r in attribute_status_cost(df, ORDER).collect()}
-    finally:
-        spark.conf.set("spark.sql.shuffle.partitions", old)
+def test_bounds_come_from_the_usage_keys(spark):
+    rows = [usage_row(i, f"2024-01-{1 + i % 20:02d} {i % 24:02d}:00:00", job_id=f"j{i % 3}", run_id=f"r{i % 7}")
+            for i in range(200)]
+    bounds = attribution_bounds(usage_df(spark, rows), num_slices=5)
+    assert len(bounds.cuts) == 4 and bounds.cuts == sorted(bounds.cuts)
+    assert bounds.span == (min(r[8] for r in rows), max(r[8] for r in rows))
+    assert attribution_bounds(usage_df(spark, rows)).cuts == []        # few rows: one slice
+    assert attribution_bounds(usage_df(spark, [])) == ((None, None), [])
+
+
+def test_one_slice_without_cuts(spark):
+    rows = random_rows(11, 400)
+    got = {r["record_id"]: (r["status_list_cost"], r["status_effective_cost"])
+           for r in attribute_status_cost(spark.createDataFrame(rows, SCHEMA), ORDER).collect()}
     assert got == brute_force(rows)
 
 
+def test_null_keys_sort_first(spark):
+    rows = [(None if i % 5 == 0 else r[0], *r[1:]) for i, r in enumerate(random_rows(31, 120))]
+    key = lambda r: [(x is not None, x) for x in r[:4]]
+    keys = sorted({r[:4] for r in rows}, key=key)
+    got = {r["record_id"]: r["status_list_cost"]
+           for r in attribute_status_cost(spark.createDataFrame(rows, SCHEMA), ORDER, keys[10::20]).collect()}
+    want = brute_force([(r[0] or "", *r[1:]) for r in rows])
+    assert got == {k: v[0] for k, v in want.items()}
+
+
 def test_hot_run_with_a_third_of_all_rows(spark):
     rows = random_rows(21, 300)
     hot = [("a", "1", "1") + r[3:] for r in rows[:100]]       # one run holds a third of the rows
     rows = hot + rows[100:]
     df = spark.createDataFrame(rows, SCHEMA)
     got = {r["record_id"]: (r["status_list_cost"], r["status_effective_cost"])
-           for r in attribute_status_cost(df, ORDER, num_slices=8).collect()}
+           for r in attribute_status_cost(df, ORDER, cuts(rows, 8)).collect()}
     assert got == brute_force(rows)
 
 
@@ -121,15 +140,13 @@ def test_long_slice_expands_only_inside_usage_span(spark):
     assert pairs == [(1, 1), (2, 1)]
 
 
-def test_hour_join_strategy_follows_the_bounded_count(spark):
+def test_given_span_equals_the_scanned_one(spark):
     from conftest import ts
     usage = usage_df(spark, [usage_row(1, "2024-01-01 10:00:00", run_id="r1")])
     timeline = spark.createDataFrame(
         [(10, "w1", "j1", "r1", ts("2024-01-01 10:15:00"), ts("2024-01-01 10:35:00"), None)],
         "slice_id long, workspace_id string, job_id string, run_id string, period_start_time timestamp, "
         "period_end_time timestamp, result_state string")
-    small = timeline_hour_join(usage, timeline)
-    large = timeline_hour_join(usage, timeline, broadcast_rows=0)
-    assert "BroadcastHashJoin" in small._jdf.queryExecution().executedPlan().toString()
-    assert "SortMergeJoin" in large._jdf.queryExecution().executedPlan().toString()
-    assert [r.slice_id for r in small.collect()] == [r.slice_id for r in large.collect()] == [10]
+    span = attribution_bounds(usage).span
+    for joined in (timeline_hour_join(usage, timeline), timeline_hour_join(usage, timeline, span)):
+        assert [r.slice_id for r in joined.collect()] == [10]

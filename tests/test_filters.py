@@ -46,8 +46,8 @@ def test_detail_table_caption_and_cap(spark):
 
 def test_compliance_rollup_has_type_rows_and_total(spark):
     from costlens.plans.tagging import compliance_rollup
-    res = spark.createDataFrame([("cluster", "1", "a", "x", {"environment": "p", "team": "t", "owner": "o"}, 3),
-                                 ("cluster", "2", "b", "x", {}, 0), ("job", "3", "c", None, {"team": "t"}, 1)],
+    res = spark.createDataFrame([("cluster", "1", "a", "x", {"environment": "p", "team": "t", "owner": "o"}, None, None, True, 3),
+                                 ("cluster", "2", "b", "x", {}, None, None, True, 0), ("job", "3", "c", None, {"team": "t"}, None, None, True, 1)],
                                 schemas.RESOURCES)
     got = {r.resource_type: (r.total, r.compliant, r.non_compliant) for r in compliance_rollup(res).collect()}
     assert got == {"cluster": (2, 1, 1), "job": (1, 0, 1), None: (3, 1, 2)}

@@ -11,7 +11,7 @@ from costlens.sources import schemas
 
 
 def test_display_text(spark):
-    df = spark.createDataFrame([("  ", "7"), (None, "8"), ("a very long job name indeed", "9")], "n string, id string")
+    df = spark.createDataFrame([("\t \n", "7"), (None, "8"), ("a very long job name indeed", "9")], "n string, id string")
     rows = df.select(display_name("n", "id").alias("d"), run_label("n", "id").alias("r")).collect()
     assert [r.d for r in rows] == ["Job ID: 7", "Job ID: 8", "a very long job name indeed"]
     assert [r.r for r in rows] == ["Run 7", "Run 8", "a very long job name..."]
@@ -20,10 +20,22 @@ def test_display_text(spark):
 def test_number_formats(spark):
     df = spark.createDataFrame([(1234567.891,), (None,), (-3.5,), (999.0,), (2500.0,)], "x double")
     got = df.select(format_currency("x").alias("c"), format_large_number("x").alias("n")).collect()
-    assert [r.c for r in got] == ["$1,234,567.89", "$0.00", "-$3.50", "$999.00", "$2,500.00"]
+    assert [r.c for r in got] == ["$1,234,567.89", "$0.00", "$-3.50", "$999.00", "$2,500.00"]
     assert [r.n for r in got] == ["1.2M", "0", "-3.5", "999.0", "2.5K"]
 
 
+def test_number_formats_round_as_fixed_point_formats_do(spark):
+    import random
+    rng = random.Random(5)
+    values = [0.25, 0.15, 1250.0, 0.005, 2.675, 999.95, -0.004, 1e6] + [i / 200 for i in range(-400, 400)] + \
+        [round(rng.uniform(-1e3, 1e7), 3) for _ in range(500)]
+    rows = spark.createDataFrame([(v,) for v in values], "v double").select(
+        "v", format_currency("v").alias("c"), format_large_number("v").alias("n")).collect()
+    for r in rows:
+        assert r.c == f"${r.v:,.2f}"
+        assert r.n == (f"{r.v / 1e6:.1f}M" if r.v >= 1e6 else f"{r.v / 1e3:.1f}K" if r.v >= 1e3 else f"{r.v:.1f}")
+
+
 def test_coerce_and_safe_top_k(spark):
     df = spark.createDataFrame([("a", "10"), ("b", "x"), ("c", "2.5")], "k string, v string")
     assert dict(coerce_numeric(df, ["v", "missing"]).dtypes)["v"] == "double"
@@ -32,7 +44,7 @@ def test_coerce_and_safe_top_k(spark):
 
 
 def test_update_single_resource(spark):
-    res = spark.createDataFrame([("cluster", "c1", "one", "RUNNING", {"a": "1"}, 1)], schemas.RESOURCES)
+    res = spark.createDataFrame([("cluster", "c1", "one", "RUNNING", {"a": "1"}, None, None, True, 1)], schemas.RESOURCES)
     r = update_tags(res, "cluster", "c1", {"b": "2"}, "replace").first()
     assert r.success and r.previous_tags == {"a": "1"} and r.new_tags == {"b": "2"} and r.operation == "replace"
 

@@ -77,9 +77,16 @@ def test_refresh_writes_every_view_and_catalog_reads(spark, stored):
     assert {"most_expensive_jobs", "job_retry_patterns", "model_serving_costs"} <= names
     cols = {r.column_name: r.data_type for r in catalog.describe_view(spark, "costlens_test.most_expensive_jobs").collect()}
     assert cols["custom_tags"] == "map<string,string>" and cols["runs"] == "bigint"
-    capped = catalog.read_view(spark, "costlens_test.most_expensive_jobs", {"workspace_id": ["1"], "name": []}, limit=3)
+    capped = catalog.read_view(spark, "costlens_test.most_expensive_jobs", {"workspace_id": ["1"], "name": []}, limit=3,
+                               order=["job_id"])
     rows = capped.collect()
     assert len(rows) <= 3 and all(r.workspace_id == "1" for r in rows)
+    assert catalog.read_view(spark, "costlens_test.most_expensive_jobs").count() == \
+        spark.table("costlens_test.most_expensive_jobs").count()
+    with pytest.raises(ValueError):
+        catalog.read_view(spark, "costlens_test.most_expensive_jobs", {"worksapce_id": "1"})
+    with pytest.raises(ValueError):
+        catalog.read_view(spark, "costlens_test.most_expensive_jobs", limit=3)
     from costlens.plans.refresh import VIEWS
     from costlens.suite.portable import portable
     for name in ["most_expensive_jobs", "most_expensive_job_runs", "failed_jobs_analysis", "job_retry_patterns"]:
@@ -101,6 +108,30 @@ def test_refresh_with_shared_usage_window_sequentially(spark, stored):
         assert got == want, name
 
 
+def test_a_view_switches_only_after_its_write(spark):
+    from pyspark.sql import functions as F
+    from costlens.plans.refresh import materialize
+    spark.sql("CREATE DATABASE IF NOT EXISTS costlens_swap")
+    name = "costlens_swap.v"
+    materialize(spark.range(3), name)
+    reader = spark.table(name)                                            # begun before the next refresh
+    with pytest.raises(Exception):
+        materialize(spark.range(5).select(F.raise_error(F.lit("broken")).alias("id")), name)
+    assert spark.table(name).count() == 3
+    materialize(spark.range(5), name)
+    assert spark.table(name).count() == 5 and reader.count() == 3
+    materialize(spark.range(7), name)
+    materialize(spark.range(9), name)
+    assert spark.table(name).count() == 9
+    assert spark.sql("SHOW TABLES IN costlens_swap LIKE 'v__v*'").count() == 2
+
+
+def test_status_costs_are_read_from_the_stored_rows(spark, stored):
+    plan = J.status_costs(stored["usage"], stored["list_prices"], stored["job_run_timeline"], AS_OF)
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan" not in text                                          # terminal and last rows are stored
+
+
 def test_command_line_refresh(spark, tmp_path, capsys):
     from costlens.__main__ import main
     paths = {}

@@ -56,8 +56,8 @@ def test_tags_text_is_key_order_independent(spark):
 def _inventory(spark):
     clusters = spark.createDataFrame([("c1", "one", None, {"environment": "p", "team": "t", "owner": "o"}),
                                       ("c2", "two", "RUNNING", None)], schemas.CLUSTERS)
-    warehouses = spark.createDataFrame([("w1", "wh", "STOPPED", {"environment": "p"})], schemas.WAREHOUSES)
-    jobs = spark.createDataFrame([("1", ("job", {"team": "t"})), ("2", None)], schemas.JOB_SETTINGS)
+    warehouses = spark.createDataFrame([("w1", "wh", "STOPPED", "Small", {"environment": "p"})], schemas.WAREHOUSES)
+    jobs = spark.createDataFrame([("1", "me", ("job", {"team": "t"})), ("2", "me", None)], schemas.JOB_SETTINGS)
     pipelines = spark.createDataFrame([], schemas.PIPELINES)
     return L.resource_inventory(clusters, warehouses, jobs, pipelines)
 
@@ -66,7 +66,8 @@ def test_inventory_defaults(spark):
     rows = {(r.resource_type, r.resource_id): r for r in _inventory(spark).collect()}
     assert rows[("cluster", "c1")].state == "unknown"
     assert rows[("cluster", "c2")].tags == {} and rows[("cluster", "c2")].tag_count == 0
-    assert rows[("job", "2")].resource_name == "Unknown"
+    assert rows[("job", "2")].resource_name == "Unknown" and not rows[("job", "2")].taggable
+    assert rows[("job", "1")].creator_user_name == "me" and rows[("warehouse", "w1")].cluster_size == "Small"
 
 
 def test_compliance_counts_add_up_and_cover_all_types(spark):
@@ -89,13 +90,19 @@ def test_empty_inventory_summary_is_zero(spark):
 
 def test_bulk_update_reports_unknown_type_and_id(spark):
     res = _inventory(spark)
-    req = spark.createDataFrame([("cluster", "c2"), ("cluster", "nope"), ("dashboard", "1")], schemas.TAG_REQUESTS)
+    req = spark.createDataFrame([("cluster", "c2"), ("cluster", "nope"), ("dashboard", "1"), ("job", "2"), ("job", "9"),
+                                 ("pipeline", "p")], schemas.TAG_REQUESTS)
     got = {(r.resource_type, r.resource_id): r for r in L.bulk_update_tags(res, req, {"env": "x"}).collect()}
     assert got[("cluster", "c2")].success and got[("cluster", "c2")].new_tags == {"env": "x"}
     assert got[("cluster", "nope")].error == "Cluster nope not found"
     assert got[("dashboard", "1")].error == "Unknown resource type: dashboard"
+    assert not got[("job", "2")].success
+    assert got[("job", "2")].error == "Job 2 not found or has no settings"
+    listed = {(r.resource_type, r.resource_id): r for r in L.list_tags(res, req).collect()}
+    assert listed[("job", "2")].success and listed[("job", "2")].tags == {}
+    assert listed[("job", "9")].error == "Job 9 not found" and listed[("pipeline", "p")].error == "Pipeline p not found"
     after = {r.resource_id: r.tags for r in L.apply_tag_updates(res, req, {"env": "x"}).collect()}
-    assert after["c2"] == {"env": "x"} and after["c1"]["owner"] == "o"
+    assert after["c2"] == {"env": "x"} and after["2"] == {} and after["c1"]["owner"] == "o"
 
 
 def test_find_by_tag_and_untagged(spark):

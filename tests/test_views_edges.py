@@ -116,18 +116,27 @@ def test_j1_and_j2_totals_agree(spark):
     assert j1 == j2 and j1 > 0
 
 
-def test_large_price_list_path_equals_broadcast_path(spark):
+def _without_broadcast(spark, build):
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        return build()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_shuffled_price_join_equals_broadcast_join(spark):
     from conftest import SF_MID
     from costlens.sources import fixtures
     t = fixtures.load_all(spark, SF_MID)
     for mode in (CONTAINMENT, POINT):
-        cols = ["record_id", "price_start_time", "list_cost", "effective_cost"]
-        small = priced_usage(t["usage"], t["list_prices"], mode).select(*cols)
-        large = priced_usage(t["usage"], t["list_prices"], mode, broadcast_rows=0).select(*cols)
-        assert sorted(small.collect()) == sorted(large.collect())
+        def rows():
+            return sorted(priced_usage(t["usage"], t["list_prices"], mode).select(
+                "record_id", "price_start_time", "list_cost", "effective_cost").collect())
+        assert rows() == _without_broadcast(spark, rows)
 
 
-def test_large_price_list_path_handles_malformed_and_open_rows(spark):
+def test_price_join_on_malformed_and_open_rows(spark):
     rows = [usage_row(1, "2024-01-15 12:00:00"),                      # straddles the change: no match
             usage_row(2, "2024-01-15 13:00:00", hours=-3),            # ends before it starts
             usage_row(3, "2024-01-20 05:00:00", hours=0),
@@ -135,15 +144,20 @@ def test_large_price_list_path_handles_malformed_and_open_rows(spark):
     u = usage_df(spark, rows)
     p = _prices(spark)
     for mode in (CONTAINMENT, POINT):
-        small = sorted((r.record_id, r.list_cost) for r in priced_usage(u, p, mode).collect())
-        large = sorted((r.record_id, r.list_cost) for r in priced_usage(u, p, mode, broadcast_rows=0).collect())
-        assert small == large
-
+        def priced():
+            return sorted((r.record_id, r.list_cost) for r in priced_usage(u, p, mode).collect())
+        assert priced() == _without_broadcast(spark, priced)
+
+
+def test_repairs_need_all_run_keys(spark):
+    from conftest import ts
+    schema = ("slice_id long, workspace_id string, job_id string, run_id string, period_start_time timestamp, "
+              "period_end_time timestamp, result_state string")
+    rows = [(i, ws, job, run, ts("2024-01-20 10:00:00"), ts(f"2024-01-20 1{i % 9}:30:00"), "FAILED")
+            for i, (ws, job, run) in enumerate([("w1", "j1", "r1"), ("w1", "j1", "r1"), (None, "j1", "r2"), (None, "j1", "r2"),
+                                                ("w1", None, "r3"), ("w1", None, "r3"), ("w1", "j1", None), ("w1", "j1", None)])]
+    jobs = spark.createDataFrame([], "workspace_id string, job_id string, name string, change_time timestamp")
+    u = usage_df(spark, [usage_row(1, "2024-01-20 10:00:00")])
+    got = J.job_retry_patterns(u, _prices(spark), spark.createDataFrame(rows, schema), jobs, AS_OF).collect()
+    assert [r.run_id for r in got] == ["r1"]
 
-def test_broadcast_decision_is_counted_once_per_price_list(spark):
-    from costlens.operators import sizing
-    p = _prices(spark)
-    u = usage_df(spark, [usage_row(1, "2024-01-10 05:00:00")])
-    priced_usage(u, p)
-    priced_usage(u, p, POINT)
-    assert sizing._checked[p] == {sizing.DEFAULT_BROADCAST_ROWS: True}
