@@ -9,7 +9,7 @@ import corpus_pipeline
 from costlens.llm import bpe, langid, licences, mixing, pii, quality, queries, secrets, sharding, simhash, weighted
 from costlens.llm.common import DOCUMENT_COLUMNS
 
-from .conftest import EDGE_ROWS
+from llm_fixtures import EDGE_ROWS, edge, empty  # noqa: F401
 
 PER_ROW = {
     "sharding": lambda d: sharding.shard(d, 4),
