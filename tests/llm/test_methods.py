@@ -1,0 +1,422 @@
+"""Each operator against a brute-force version, an exact round trip or held-out accuracy."""
+
+import collections
+import hashlib
+import math
+import random
+import re
+
+import numpy as np
+import public_tokenizers
+import pytest
+import tiktoken
+from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
+
+from costlens.llm import bpe, langid, licences, mixing, pii, quality, queries, secrets, sharding, simhash, weighted
+from costlens.llm.common import column_quantiles, documents, slice_index
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return documents(spark, SF).cache()
+
+
+@pytest.fixture(scope="module")
+def texts(docs):
+    return {r["doc_id"]: r["text"] for r in docs.collect()}
+
+
+# -- byte-level BPE ----------------------------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def coder():
+    return bpe.tokenizer(public_tokenizers.path(queries.BPE_RANKS), public_tokenizers.PATTERN)
+
+
+@pytest.fixture(scope="module")
+def reference(coder):
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=coder.ranks, special_tokens={})
+
+
+def test_bpe_equals_the_library(spark, docs, texts, coder, reference):
+    odd = ["", "a" * 3000, " " * 2000 + "x", "é" * 500, "\x1c\x1d a", "日本語" * 90, "zq" * 3000, "don't we'll I'm 'LL", "\n\n  \t x ",
+           "a  b", "x\ny", " lead", "trail ", "a b", "1 2  3", "word. word, (x)?!", "\U0001f600 é", "end\n"]
+    rng = random.Random(1)
+    odd += ["".join(rng.choice("ab'stre 1.\n\té!") for _ in range(rng.randint(0, 40))) for _ in range(2000)]
+    for t, ids in zip(odd, coder.encode_texts(odd)):
+        want = reference.encode_ordinary(t)
+        assert np.frombuffer(ids, "<u4").tolist() == want, t
+        assert coder.decode(np.array(want, dtype=np.int64)) == t.encode()
+    for r in queries.token_digests(docs).collect():
+        ids = reference.encode_ordinary(texts[r["doc_id"]] or "")
+        assert r["n_tokens"] == len(ids)
+        assert r["ids_sha256"] == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+        assert r["decoded_sha256"] == hashlib.sha256((texts[r["doc_id"]] or "").encode()).hexdigest()
+
+
+def test_flat_tree_and_matrix_agree(coder, reference):
+    rng = random.Random(2)
+    words = [bytes(rng.choice(b"abethionr \xc3\xa9") for _ in range(rng.randint(2, 70))) for _ in range(1500)]
+    for word, ids in zip(words, coder.encode_pieces(words)):
+        assert np.frombuffer(ids, "<u4").tolist() == coder.encode_one(word) == reference._encode_single_piece(word)
+
+
+# -- SimHash -------------------------------------------------------------------------------
+
+
+def plain_fingerprint(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]+", lambda m: m[0].lower(), text or ""))
+    shingles = [" ".join(words[i : i + 4]) for i in range(max(1, len(words) - 3))] if words else []
+    hashes = [xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes)) if hashes else 0
+
+
+def components_of(fps, max_bits):
+    group = {i: i for i in fps}
+
+    def find(x):
+        while group[x] != x:
+            x = group[x]
+        return x
+
+    for i in fps:
+        for j in fps:
+            if j < i and (fps[i] ^ fps[j]).bit_count() <= max_bits:
+                a, b = find(i), find(j)
+                group[max(a, b)] = min(a, b)
+    return {i: find(i) for i in fps}
+
+
+def test_simhash_equals_brute_force(spark, docs, texts):
+    fps = {i: plain_fingerprint(t) for i, t in texts.items()}
+    want = components_of(fps, 4)
+    got = {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in simhash.near_duplicates(docs).collect()}
+    assert got == {i: (f"{fps[i]:016x}", want[i]) for i in texts}
+
+
+@pytest.mark.parametrize("segments,max_bits,block", [(5, 4, 2048), (3, 4, 2048), (4, 4, 8), (5, 4, 4), (3, 2, 16)])
+def test_pigeonring_finds_every_link(spark, segments, max_bits, block):
+    rng = random.Random(segments)
+    fps = set()
+    for _ in range(40):  # clusters of fingerprints a few bits apart, and one large one
+        base = rng.getrandbits(64)
+        for _ in range(60 if len(fps) < 60 else 6):
+            fps.add(base ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 3))))
+    fps = sorted(fps)
+    df = spark.createDataFrame([(int(np.uint64(f).view(np.int64)),) for f in fps], "fp long")
+    edges = simhash.candidate_edges(df, segments, max_bits, block)
+    pairs = {(r["u"], r["v"]) for r in edges.collect()}
+    assert len(pairs) < 12 * len(fps)  # no pair per link of a group
+    found = {r["node"]: r["root"] for r in simhash.components(edges).collect()}
+    want = components_of(dict(enumerate(fps)), max_bits)
+    signed = [int(np.uint64(f).view(np.int64)) for f in fps]
+    groups = collections.defaultdict(set)
+    for i, root in want.items():
+        groups[root].add(signed[i])
+    assert {frozenset(g) for g in groups.values() if len(g) > 1} == {
+        frozenset(g) for g in _by_root(found).values()}
+
+
+def _by_root(found):
+    groups = collections.defaultdict(set)
+    for node, root in found.items():
+        groups[root].add(node)
+    return groups
+
+
+# -- language ID ---------------------------------------------------------------------------
+
+
+def test_language_of_held_out_documents(spark):
+    sf = "/root/testdata/sf0.01"
+    truth = {r["doc_id"]: r["lang"] for r in documents(spark, sf).collect()}
+    rows = queries.op5_language_id(spark, sf).collect()
+    held = [r for r in rows if r["held_out"]]
+    assert len(rows) == len(truth) and 0.25 < len(held) / len(rows) < 0.42
+    assert sum(r["lang_pred"] == truth[r["doc_id"]] for r in held) / len(held) > 0.98
+    assert all(0 <= r["score"] <= 1 for r in rows)
+
+
+def test_unseen_words_back_off_to_shorter_grams():
+    model = langid.LanguageModel(["x", "y"], 3, {"ab": 0}, np.array([[-1.0, -2.0]]),
+                                 {"<ca": 0, "at>": 1, "t": 2}, np.array([[-1.0, -5.0], [-3.0, -1.0], [-9.0, -4.0]]))
+    assert model.score("ab").tolist() == [-1.0, -2.0]
+    assert model.score("cat").tolist() == [-2.0, -3.0]  # both known trigrams
+    assert model.score("tt").tolist() == [-9.0, -4.0]  # no trigram or bigram is known
+    assert model.score("zz").tolist() == [0.0, 0.0]
+    assert langid.Predictor(model).predict("123 !?") == ("und", 0.0)
+    assert langid.Predictor(model).predict("ab ab")[0] == "x"
+
+
+def test_sample_is_bounded(spark, docs):
+    counts = langid.sample_by_language(docs, 20).groupBy("lang").count().collect()
+    assert len(counts) == 4 and all(r["count"] <= 45 for r in counts)
+
+
+# -- personal data ---------------------------------------------------------------------------
+
+
+def plain_spans(text):
+    out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text):
+        if all(int(x) <= 255 for x in m[0].split(".")):
+            out.append(("ip", *m.span()))
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
+        digits = re.sub("[^0-9]", "", m[0])
+        total = sum(v - 9 * (v > 9) for i, c in enumerate(reversed(digits)) for v in [int(c) * (1 + i % 2)])
+        if 13 <= len(digits) <= 19 and total % 10 == 0:
+            out.append(("card", *m.span()))
+    for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text):
+        if 9 <= len(re.sub("[^0-9]", "", m[0])) <= 15:
+            out.append(("phone", *m.span()))
+    return out
+
+
+def test_fixed_patterns_equal_plain_regular_expressions(spark, docs, texts):
+    rng = random.Random(3)
+    for _ in range(20_000):
+        t = "".join(rng.choice("a1@.+- ()29\n-") for _ in range(rng.randint(0, 60)))
+        assert pii.base_spans(t) == plain_spans(t), t
+    for r in pii.digest(docs).collect():
+        spans = plain_spans(texts[r["doc_id"]] or "")
+        text = ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
+        assert r["base_sha256"] == hashlib.sha256(text.encode()).hexdigest()
+        assert [r[f"n_{k}"] for k in pii.KINDS] == [sum(s[0] == k for s in spans) for k in pii.KINDS]
+        assert set(filter(None, text.split(","))) <= set(r["spans"].split(","))
+
+
+def test_field_learns_the_labelled_table_and_finds_new_values():
+    table = pii.labelled_lines()
+    held = [x for i, x in enumerate(table) if i % 6 == 5]
+    field = pii.train([x for i, x in enumerate(table) if i % 6 != 5])
+    labelled = sum(len(spans) for _, spans in held)
+    hits = extra = 0
+    for text, spans in held:
+        found = set()
+        for run, labels in [(run, field.decode([run])[0]) for run in pii.runs(text)]:
+            found |= {run[i][1] for i, l in enumerate(labels) if pii.LABELS[l][0] == "B"}
+        hits += sum(a in found for _, a, _ in spans)
+        extra += len(found - {a for _, a, _ in spans})
+    assert hits / labelled > 0.85 and extra / labelled < 0.2
+
+
+@pytest.mark.parametrize("text,kind,value", [
+    ("please call jane [at] mail [dot] org now", "email", "jane [at] mail [dot] org"),
+    ("tel. 555-010-1234 at home", "phone", "555-010-1234"), ("visa 4111.1111.1111.1111 declined", "card", "4111.1111.1111.1111")])
+def test_field_adds_what_the_patterns_miss(text, kind, value):
+    spans = pii.spans_of([text], pii.train())[0]
+    assert [(k, text[a:b]) for k, a, b in spans] == [(kind, value)] and pii.base_spans(text) == []
+
+
+def test_viterbi_equals_the_best_of_all_paths():
+    rng = np.random.RandomState(0)
+    field = pii.Field({}, np.zeros((1, len(pii.LABELS))), rng.randn(9, 9), rng.randn(9))
+    scores = rng.randn(1, 4, 9)
+    field.matrix = lambda sequences: (scores, np.array([4]))
+    import itertools
+    best = max(itertools.product(range(9), repeat=4), key=lambda p: field.begin[p[0]] + scores[0, 0, p[0]] + sum(
+        field.step[a, b] + scores[0, i + 1, b] for i, (a, b) in enumerate(zip(p, p[1:]))))
+    assert field.decode([[("x", 0, 1)] * 4])[0].tolist() == list(best)
+
+
+def test_long_texts_take_linear_time():
+    field = pii.train(rounds=3)
+    pii.spans_of(["1" * 100_000 + " " + "a" * 100_000 + "@" + "+1 " * 5_000 + "1." * 5_000], field)
+
+
+# -- mixing -------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("rate", [0.03, 0.7, 3.0, 40.0, 5000.0])
+def test_poisson_inversion_has_the_right_moments(rate):
+    first, values = mixing.poisson_thresholds(rate)
+    u = (np.arange(200_000) + 0.5) / 200_000
+    counts = first + np.searchsorted(values, u, side="right")
+    assert abs(counts.mean() - rate) < 0.01 * rate + 0.002 and abs(counts.var() - rate) < 0.02 * rate + 0.005
+
+
+def test_mix_meets_its_targets(spark):
+    docs = documents(spark, "/root/testdata/sf0.01")
+    targets = {"src0": 0.3, "src1": 0.2, "src2": 0.05}
+    size = F.octet_length("text")
+    total = docs.agg(F.sum(size)).first()[0]
+    mixed = mixing.mix(docs, targets, epochs=4.0)
+    share = {r["g"]: r["n"] / total / 4 for r in mixed.groupBy(mixing.group_of(F.col("source"), targets).alias("g")).agg(
+        F.sum(size).alias("n")).collect()}
+    for group, want in {**targets, mixing.REST: 0.45}.items():
+        assert abs(share[group] - want) < 0.25 * want
+    copies = mixed.groupBy("doc_id").agg(F.count("*").alias("n"), F.countDistinct("copy").alias("k"), F.max("copy").alias("m"))
+    assert copies.where("n <> k or n <> m + 1").count() == 0
+
+
+# -- sharding -----------------------------------------------------------------------------------
+
+
+def test_shards_are_balanced_whole_and_gapless(spark):
+    docs = documents(spark, "/root/testdata/sf0.01")
+    rows = sharding.shard(docs, 16).toPandas()
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    assert sorted(rows.doc_id) == sorted(texts)
+    assert [len(texts[i].encode()) + 1 for i in rows.doc_id] == rows["size"].tolist()
+    import zlib
+    assert [zlib.crc32(texts[i].encode()) for i in rows.doc_id] == rows.text_crc32.tolist()
+    by = rows.groupby("shard")
+    bytes_, counts = by["size"].sum(), by.size()
+    assert len(bytes_) == 16 and bytes_.max() - bytes_.min() <= max(rows["size"].max(), 0.05 * bytes_.mean())
+    assert counts.max() - counts.min() <= 0.1 * counts.mean()
+    for _, of in by:
+        assert sorted(of.slot) == list(range(len(of)))
+    groups = collections.defaultdict(set)
+    for i, s in zip(rows.doc_id, rows.shard):
+        groups[texts[i]].add(s)
+    copies = collections.Counter(texts.values())
+    limit = [rows[c].sum() / 16 / sharding.PARTS for c in ("size", "tokens")] + [len(rows) / 16 / sharding.PARTS]
+    whole = [s for t, s in groups.items() if all(
+        copies[t] * x <= most for x, most in zip((len(t.encode()) + 1, len(t.split()), 1), limit))]
+    assert len(whole) > 0.9 * len(groups) and all(len(s) == 1 for s in whole)
+
+
+def test_a_hot_group_is_dealt_into_pieces(spark):
+    rows = [(i, "the same text again and again" if i % 3 == 0 else f"text number {i} " * (i % 7 + 1)) for i in range(1500)]
+    out = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string"), 4).toPandas()
+    assert set(out.groupby("shard").size()) <= set(range(300, 450))
+    size = out.groupby("shard")["size"].sum()
+    assert size.max() - size.min() < 0.1 * size.mean()
+
+
+def test_packing_follows_the_dot_product():
+    vectors = np.array([[0.5, 0.1], [0.1, 0.5], [0.4, 0.4]])
+    assert sharding.pack(vectors, 2).tolist() == [0, 1, 0]
+
+
+# -- weighted fingerprints ---------------------------------------------------------------------------
+
+
+def jaccard(a, b):
+    a, b = (collections.Counter(re.findall(r"[^\x20\x09-\x0D]+", x) or [""]) for x in (a, b))
+    keys = set(a) | set(b)
+    return sum(min(a[k], b[k]) for k in keys) / sum(max(a[k], b[k]) for k in keys)
+
+
+def test_fingerprints_estimate_generalised_jaccard(spark, docs, texts):
+    rows = sorted(weighted.neighbours(docs).collect(), key=lambda r: -r["doc_id"])
+    order = sorted(texts, reverse=True)
+    plain = [texts[i] or "" for i in order]
+    after = plain[1:] + plain[:1]
+    edited = [t[: len(t) - len(t) // 2] + n[: len(t) // 2] for t, n in zip(plain, after)]
+    assert [r["doc_id"] for r in rows] == order and [r["n_chars"] for r in rows] == [len(t) for t in plain]
+    assert [r["edited_sha256"] for r in rows] == [hashlib.sha256(t.encode()).hexdigest() for t in edited]
+    for name, other in (("near_edited", edited), ("near_next", after)):
+        error = np.array([r[name] - jaccard(a, b) for r, a, b in zip(rows, plain, other)])
+        noise = math.sqrt(np.mean([jaccard(a, b) * (1 - jaccard(a, b)) for a, b in zip(plain, other)]) / weighted.SAMPLES)
+        assert abs(error.mean()) < 0.03 and math.sqrt((error**2).mean()) < 1.3 * noise + 0.01
+    seen = {}
+    for t, r in zip(plain, rows):
+        assert seen.setdefault(t, r["fingerprint"]) == r["fingerprint"]
+
+
+def test_weights_count(spark):
+    rows = [(1, "a a a a b"), (2, "a b b b b"), (3, "a a a a b")]
+    texts = spark.createDataFrame(rows, "id long, text string")
+    found = {r["id"]: r["samples"] for r in weighted.fingerprints(texts, ["id"], 400).collect()}
+    assert found[1] == found[3]
+    assert abs(np.mean([a == b for a, b in zip(found[1], found[2])]) - 2 / 8) < 0.08
+
+
+def test_slices_cut_at_quantiles(spark):
+    df = spark.createDataFrame([(i * i,) for i in range(1000)], "v long")
+    cuts = column_quantiles(df, "v", 8)
+    counts = df.groupBy(slice_index(F.col("v"), cuts).alias("s")).count().collect()
+    assert cuts[-1] == 999 * 999 and len(counts) == 8 and all(100 <= r["count"] <= 150 for r in counts)
+    assert column_quantiles(df.where("v < 0"), "v", 8) == []
+
+
+# -- quality rules ------------------------------------------------------------------------------------
+
+
+def plain_counts(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    windows = collections.defaultdict(list)
+    for i in range(len(words) - 4):
+        windows[tuple(words[i : i + 5])].append(i)
+    covered = {i + k for at in windows.values() if len(at) > 1 for i in at for k in range(5)}
+    lines = [x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    return (len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text or "")), len(lines) - len(set(lines)), len(covered))
+
+
+def test_quality_counts_equal_brute_force(spark, docs, texts):
+    rng = random.Random(4)
+    made = {10**6 + i: " ".join(rng.choice("ab#") for _ in range(rng.randint(0, 40))) + "\n" * (i % 3) for i in range(150)}
+    made[2 * 10**6] = None
+    frame = docs.select("doc_id", "text").unionByName(spark.createDataFrame(list(made.items()), "doc_id long, text string"))
+    for r in quality.judge(frame).collect():
+        n, chars, symbols, dups, repeats = plain_counts({**texts, **made}[r["doc_id"]])
+        assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == (n, chars, symbols, dups, repeats)
+        assert r["base_failed"] == (n < 10 or 100 * repeats > 20 * n)
+        assert not (r["kept"] and r["base_failed"])
+
+
+def test_rules_run_without_user_functions(docs):
+    plan = quality.judge(docs)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Python|Pandas|Arrow|Exchange", plan)
+
+
+# -- secrets -------------------------------------------------------------------------------------------
+
+
+def test_forest_on_held_out_findings(spark):
+    findings = secrets.labelled_findings(spark)
+    part = F.pmod(F.xxhash64("candidate"), F.lit(4)) == 0
+    model = secrets.train(findings.where(~part))
+    rows = model.transform(secrets.with_features(findings.where(part))).select("label", "prediction").collect()
+    assert sum(r["label"] == r["prediction"] for r in rows) / len(rows) > 0.95
+
+
+def test_candidates_come_with_their_neighbours(spark):
+    rows = [(1, 'x token = "abcdef0123456789abcd" y 1234567890123456', "src1", None), (2, None, None, None), (3, "no candidate", "s", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    found = [tuple(r) for r in secrets.candidates(docs).orderBy("place").collect()]
+    assert found == [(1, "src1", 0, "abcdef0123456789abcd", 'x token = "', '" y '), (1, "src1", 1, "1234567890123456", '" y ', "")]
+    plan = secrets.with_features(secrets.candidates(docs))._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_planted_tokens_are_found_and_numbers_left_alone(spark):
+    rows = queries.op7_secrets(spark, "/root/testdata/sf0.01").collect()
+    tokens = [r for r in rows if re.fullmatch("[0-9a-f]{40}", r["candidate"])]
+    numbers = [r for r in rows if re.fullmatch("[0-9]{16}", r["candidate"])]
+    assert tokens and numbers and all(r["is_secret"] for r in tokens) and not any(r["is_secret"] for r in numbers)
+
+
+# -- licences --------------------------------------------------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def scanner():
+    return licences.train()
+
+
+def test_classifier_on_held_out_pieces(scanner):
+    held = [x for i, x in enumerate(licences.pieces()) if i % 5 == 4]
+    right = sum(scanner.families[int(scanner.probabilities(w).argmax())] == f for f, w in held)
+    assert right / len(held) > 0.93
+
+
+def test_licence_lines_are_found_and_prose_left_alone(spark, scanner):
+    docs = documents(spark, "/root/testdata/sf0.01")
+    lines = {(r["doc_id"], i): line for r in docs.collect() for i, line in enumerate((r["text"] or "").split("\n"))}
+    want = {k for k, line in lines.items() if re.match(r"(Licensed under|Released under|This work is licensed under) ", line)}
+    got = licences.scan(docs, scanner).collect()
+    assert want and {(r["doc_id"], r["line"]) for r in got} == want
+    for r in got:
+        line = lines[r["doc_id"], r["line"]]
+        assert r["family"] == ("apache-2.0" if "Apache" in line else "mit" if "MIT" in line else "gpl" if "GNU" in line else "cc-by-nc")
+
+
+def test_unknown_licences_stay_unknown(scanner):
+    for line in ("All rights reserved.", "Licensed under the terms of our partner programme.", "He renewed his driving licence."):
+        assert scanner.findings(line) == []
