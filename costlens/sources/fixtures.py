@@ -87,19 +87,21 @@ def usage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def list_prices(spark: SparkSession, sf_dir: str | None = None) -> DataFrame:
     """The fixture price list (a parameter table: 4 SKUs x 2 clouds x 2 versions)."""
-    from datetime import datetime
-
-    def ts(v):
-        return None if v is None else datetime.fromisoformat(v)
-
     rows = []
     for sku, base in SKU_BASE_PRICES:
         for cloud in CLOUDS:
             for start, end, mult in PRICE_VERSIONS:
                 lp = (Decimal(base) * Decimal(mult)).quantize(Decimal("0.0001"))
                 ep = (Decimal(base) * Decimal(mult) * Decimal(EFFECTIVE_DISCOUNT)).quantize(Decimal("0.0001"))
-                rows.append((ACCOUNT, cloud, sku, "DBU", ts(start), ts(end), (lp, (ep,))))
-    return spark.createDataFrame(rows, schemas.LIST_PRICES)
+                rows.append((ACCOUNT, cloud, sku, "DBU", start, end, lp, ep))
+    names = [f.name for f in schemas.LIST_PRICES.fields]
+    # literals, so that Spark knows how small the table is
+    table = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, r[:6])],
+                               F.struct(F.lit(r[6]).alias("default"),
+                                        F.struct(F.lit(r[7]).alias("default")).alias("effective_list")).alias("pricing"))
+                      for r in rows])
+    listed = spark.range(1).select(F.explode(table).alias("p")).select("p.*")
+    return listed.select(*[F.col(f.name).cast(f.dataType) for f in schemas.LIST_PRICES.fields])
 
 
 def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,9 +5,11 @@ import pytest
 import __spark_entry__ as E
 from conftest import SF_SMALL
 from costlens.suite.check import compare, duck
+from costlens.suite.oracle import all_oracle_sql
+from costlens.suite.queries import all_queries
 
-QUERIES = E.queries()
-SQL = E.oracle_sql()
+QUERIES = all_queries()
+SQL = all_oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -17,6 +19,7 @@ def con():
 
 def test_every_query_has_oracle_sql():
     assert set(QUERIES) == set(SQL)
+    assert set(QUERIES) <= set(E.queries()) and set(SQL) <= set(E.oracle_sql())
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
