@@ -29,7 +29,7 @@ SKU_BASE_PRICES = [
 CLOUDS = ["AWS", "AZURE"]
 PRICE_VERSIONS = [("2023-01-01 00:00:00", "2024-01-15 12:30:00", "1.0"), ("2024-01-15 12:30:00", None, "1.1")]
 EFFECTIVE_DISCOUNT = "0.8"
-ACCOUNT = "acct-1"
+ACCOUNT, OTHER_ACCOUNT = "acct-1", "acct-2"
 
 
 def _s(c: Column) -> Column:
@@ -50,7 +50,7 @@ def usage(spark: SparkSession, sf_dir: str) -> DataFrame:
                  F.lit('","team":"t'), _s(uid % 5), F.lit('"}')))
     df = ev.select(
         eid.alias("record_id"),
-        F.lit(ACCOUNT).alias("account_id"),
+        F.when(eid % 19 == 0, OTHER_ACCOUNT).otherwise(ACCOUNT).alias("account_id"),
         _s(uid % 4).alias("workspace_id"),
         F.when(uid % 3 == 0, "AWS").otherwise("AZURE").alias("cloud"),
         F.when(et == "click", "PREMIUM_JOBS_SERVERLESS_COMPUTE_US")
@@ -60,7 +60,7 @@ def usage(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(et == "view", "INTERACTIVE").when(et == "signup", "MODEL_SERVING")
          .otherwise("JOBS").alias("billing_origin_product"),
         F.when(eid % 17 == 0, "GB").otherwise("DBU").alias("usage_unit"),
-        F.col("value").cast(schemas.MONEY_QTY).alias("usage_quantity"),
+        F.when(eid % 23 == 0, -F.col("value")).otherwise(F.col("value")).cast(schemas.MONEY_QTY).alias("usage_quantity"),
         hour.cast("timestamp").alias("usage_start_time"),
         (hour + F.expr("INTERVAL 1 HOUR")).cast("timestamp").alias("usage_end_time"),
         ts.cast("date").alias("usage_date"),
@@ -122,10 +122,11 @@ def job_run_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.select(
         eid.alias("slice_id"),
         _s(uid % 4).alias("workspace_id"),
-        _s(uid).alias("job_id"),
-        F.concat(_s(uid), F.lit("-"), _s(ts.cast("date"))).alias("run_id"),
+        F.when(eid % 89 != 0, _s(uid)).alias("job_id"),
+        F.when(eid % 83 != 0, F.concat(_s(uid), F.lit("-"), _s(ts.cast("date")))).alias("run_id"),
         ts.cast("timestamp").alias("period_start_time"),
-        (ts + F.expr("INTERVAL 20 MINUTES")).cast("timestamp").alias("period_end_time"),
+        F.when(eid % 9 == 0, ts + F.expr("INTERVAL 190 MINUTES")).otherwise(ts + F.expr("INTERVAL 20 MINUTES"))
+         .cast("timestamp").alias("period_end_time"),
         F.when(et == "purchase", "SUCCEEDED")
          .when((et == "error") & (eid % 4 == 0), "TIMED_OUT")
          .when((et == "error") & (eid % 4 == 1), "CANCELLED")
@@ -137,7 +138,7 @@ def served_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     sp = _read(spark, sf_dir, "supplier")
     k = F.col("s_suppkey")
     return sp.select(
-        F.lit(ACCOUNT).alias("account_id"),
+        F.when(k % 11 == 0, OTHER_ACCOUNT).otherwise(ACCOUNT).alias("account_id"),
         F.concat(F.lit("ep-"), _s(k % 5)).alias("endpoint_name"),
         F.concat(F.lit("id-"), _s(k % 5)).alias("endpoint_id"),
         F.concat(F.lit("owner"), _s(k % 3), F.lit("@x.io")).alias("created_by"),

@@ -28,13 +28,13 @@ FIXTURES = {
     "usage": f"""
 SELECT *, {json_map('tags_json')} AS tags_map, {tags_txt(json_map('tags_json'))} AS tags_txt,
   list_sort(map_entries({json_map('tags_json')})) AS tags_key FROM (
-SELECT event_id AS record_id, 'acct-1' AS account_id, CAST(user_id % 4 AS VARCHAR) AS workspace_id,
+SELECT event_id AS record_id, CASE WHEN event_id % 19 = 0 THEN 'acct-2' ELSE 'acct-1' END AS account_id, CAST(user_id % 4 AS VARCHAR) AS workspace_id,
   CASE WHEN user_id % 3 = 0 THEN 'AWS' ELSE 'AZURE' END AS cloud,
   CASE event_type WHEN 'click' THEN 'PREMIUM_JOBS_SERVERLESS_COMPUTE_US' WHEN 'view' THEN 'PREMIUM_ALL_PURPOSE_SERVERLESS_COMPUTE_US'
     WHEN 'signup' THEN 'PREMIUM_SERVERLESS_REAL_TIME_INFERENCE_US' ELSE 'PREMIUM_JOBS_COMPUTE' END AS sku_name,
   CASE event_type WHEN 'view' THEN 'INTERACTIVE' WHEN 'signup' THEN 'MODEL_SERVING' ELSE 'JOBS' END AS billing_origin_product,
   CASE WHEN event_id % 17 = 0 THEN 'GB' ELSE 'DBU' END AS usage_unit,
-  CAST(value AS DECIMAL(18,2)) AS usage_quantity,
+  CAST(CASE WHEN event_id % 23 = 0 THEN -value ELSE value END AS DECIMAL(18,2)) AS usage_quantity,
   date_trunc('hour', ts) AS usage_start_time, date_trunc('hour', ts) + INTERVAL 1 HOUR AS usage_end_time, CAST(ts AS DATE) AS usage_date,
   CASE WHEN event_type IN ('view','signup') OR event_id % 101 = 0 THEN NULL ELSE CAST(user_id AS VARCHAR) END AS job_id,
   CASE WHEN event_type IN ('view','signup') OR event_id % 101 = 0 THEN NULL
@@ -64,14 +64,15 @@ SELECT CAST(user_id % 4 AS VARCHAR) AS workspace_id, CAST(user_id AS VARCHAR) AS
   ts AS change_time
 FROM events WHERE event_type = 'signup'""",
     "job_run_timeline": """
-SELECT event_id AS slice_id, CAST(user_id % 4 AS VARCHAR) AS workspace_id, CAST(user_id AS VARCHAR) AS job_id,
-  concat(CAST(user_id AS VARCHAR), '-', CAST(CAST(ts AS DATE) AS VARCHAR)) AS run_id,
-  ts AS period_start_time, ts + INTERVAL 20 MINUTE AS period_end_time,
+SELECT event_id AS slice_id, CAST(user_id % 4 AS VARCHAR) AS workspace_id,
+  CASE WHEN event_id % 89 <> 0 THEN CAST(user_id AS VARCHAR) END AS job_id,
+  CASE WHEN event_id % 83 <> 0 THEN CAST(user_id AS VARCHAR) || '-' || CAST(CAST(ts AS DATE) AS VARCHAR) END AS run_id,
+  ts AS period_start_time, CASE WHEN event_id % 9 = 0 THEN ts + INTERVAL 190 MINUTE ELSE ts + INTERVAL 20 MINUTE END AS period_end_time,
   CASE WHEN event_type = 'purchase' THEN 'SUCCEEDED' WHEN event_type = 'error' AND event_id % 4 = 0 THEN 'TIMED_OUT'
     WHEN event_type = 'error' AND event_id % 4 = 1 THEN 'CANCELLED' WHEN event_type = 'error' THEN 'FAILED' END AS result_state
 FROM events WHERE event_type IN ('click','purchase','error')""",
     "served_entities": """
-SELECT 'acct-1' AS account_id, concat('ep-', CAST(s_suppkey % 5 AS VARCHAR)) AS endpoint_name,
+SELECT CASE WHEN s_suppkey % 11 = 0 THEN 'acct-2' ELSE 'acct-1' END AS account_id, concat('ep-', CAST(s_suppkey % 5 AS VARCHAR)) AS endpoint_name,
   concat('id-', CAST(s_suppkey % 5 AS VARCHAR)) AS endpoint_id, concat('owner', CAST(s_suppkey % 3 AS VARCHAR), '@x.io') AS created_by,
   s_name AS served_entity_name,
   CASE s_suppkey % 3 WHEN 0 THEN 'CUSTOM_MODEL' WHEN 1 THEN 'EXTERNAL_MODEL' ELSE 'FOUNDATION_MODEL' END AS entity_type,
@@ -188,7 +189,8 @@ def _views(_dbl, raw: bool) -> dict[str, str]:
       CASE WHEN s.period_end_time IS NOT NULL THEN CAST((epoch_us(s.period_end_time) - epoch_us(r.first_end)) // 1000000 AS BIGINT) END
         AS repair_time_seconds
     FROM (SELECT workspace_id, job_id, run_id, COUNT(*) AS cnt, MIN(period_end_time) AS first_end
-          FROM job_run_timeline WHERE result_state IS NOT NULL GROUP BY workspace_id, job_id, run_id HAVING COUNT(*) > 1) r
+          FROM job_run_timeline WHERE result_state IS NOT NULL AND workspace_id IS NOT NULL AND job_id IS NOT NULL AND run_id IS NOT NULL
+          GROUP BY workspace_id, job_id, run_id HAVING COUNT(*) > 1) r
     LEFT JOIN (SELECT workspace_id, job_id, run_id, MAX(period_end_time) AS period_end_time
                FROM job_run_timeline WHERE result_state = 'SUCCEEDED' GROUP BY workspace_id, job_id, run_id) s
       USING (workspace_id, job_id, run_id)
