@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from .common import ship
 
 #: Entries of each of a Python worker's memories; a fuller one is emptied and filled anew.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 600_000
 
 #: Cells (rows times width) of one matrix of trees: bounds the memory of a step.
 CELLS = 1 << 18
@@ -44,6 +44,9 @@ CELLS = 1 << 18
 #: Pretokens of a width that make a matrix worthwhile; fewer are encoded one by one.
 FEW = 24
 
+#: Marks that the pattern takes as a match of their own after letters.
+MARKS = frozenset(".,;:!?")
+
 #: Two white-space characters in a row; splits at single spaces between others.
 DOUBLE_SPACE = re.compile(r"\s\s").search
 SINGLE_SPACE = re.compile(r"(?<=\S) (?=\S)").split
@@ -57,7 +60,11 @@ class ByteBPE:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks = ranks
         self.split = regex.compile(pattern).findall
-        self.bytes_of = {rank: token for token, rank in ranks.items()}
+        self.token_size = np.zeros(max(ranks.values()) + 1, dtype=np.int64)
+        for token, rank in ranks.items():
+            self.token_size[rank] = len(token)
+        self.token_start = np.cumsum(self.token_size) - self.token_size
+        self.token_bytes = np.frombuffer(b"".join(sorted(ranks, key=ranks.__getitem__)), dtype=np.uint8)
         self.byte_rank = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int64)
         self.pair = {}
         for token, rank in ranks.items():
@@ -144,7 +151,7 @@ class ByteBPE:
         at = np.searchsorted(self.pair_keys, keys)
         return np.where(self.pair_keys[at] == keys, self.pair_ranks[at] * width + pos, NONE)
 
-    def _encode_matrix(self, pieces: list[bytes], width: int) -> list[list[int]]:
+    def _encode_matrix(self, pieces: list[bytes], width: int) -> list[bytes]:
         """Ids of pretokens of at most ``width`` bytes: one tree per row, one merge per row and step.
 
         All matrices are flat; ``base`` and ``root`` are where the rows of tokens and trees begin.
@@ -204,45 +211,49 @@ class ByteBPE:
             at_pos = right[here]
             more = at_pos < length[walk]
             walk, at_pos = walk[more], at_pos[more]
-        flat, counts = tok[alive].tolist(), np.cumsum(alive.reshape(rows, wide).sum(axis=1)).tolist()
-        return [flat[a:b] for a, b in zip([0, *counts], counts)]
+        flat = tok[alive].astype("<u4").tobytes()
+        ends = (4 * np.cumsum(alive.reshape(rows, wide).sum(axis=1))).tolist()
+        return [flat[a:b] for a, b in zip([0, *ends], ends)]
 
-    def encode_pieces(self, pieces: list[bytes]) -> list[list[int]]:
-        """Ids of each of many distinct pretokens."""
-        out: list[list[int] | None] = [None] * len(pieces)
+    def encode_pieces(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of each of many distinct pretokens, little-endian 32 bits each."""
+        out: list[bytes] = [b""] * len(pieces)
         by_width: dict[int, list[int]] = {}
         for i, piece in enumerate(pieces):
             whole = self.ranks.get(piece)
             if whole is not None:
-                out[i] = [whole]
+                out[i] = whole.to_bytes(4, "little")
             else:
                 by_width.setdefault(1 << max(1, (len(piece) - 1).bit_length()), []).append(i)
         for width, members in by_width.items():
             step = CELLS // width
-            if step < FEW:
-                for i in members:
-                    out[i] = self.encode_one(pieces[i])
-                continue
-            for start in range(0, len(members), step):
-                part = members[start : start + step]
+            for start in range(0, len(members), max(step, 1)):
+                part = members[start : start + max(step, 1)]
                 if len(part) < FEW:
-                    ids = [self.encode_one(pieces[i]) for i in part]
+                    coded = [np.array(self.encode_one(pieces[i]), dtype="<u4").tobytes() for i in part]
                 else:
-                    ids = self._encode_matrix([pieces[i] for i in part], width)
-                for i, x in zip(part, ids):
+                    coded = self._encode_matrix([pieces[i] for i in part], width)
+                for i, x in zip(part, coded):
                     out[i] = x
         return out
 
     # -- texts -------------------------------------------------------------
 
     def _remember(self, memory: dict[str, bytes], units: list[str], lead: str) -> None:
-        """Put the ids of ``lead + unit`` (little-endian 32 bits each) of new units into a memory."""
-        split = [self.split(lead + u) for u in units]
+        """Put the ids of ``lead + unit`` of new units into a memory."""
+        split = []
+        for unit in units:
+            if unit.isalpha():  # letters only: one match of the pattern
+                split.append((lead + unit,))
+            elif unit[-1] in MARKS and unit[:-1].isalpha():  # and a mark: two
+                split.append((lead + unit[:-1], unit[-1]))
+            else:
+                split.append(self.split(lead + unit))
         pieces = self.pieces
-        new = list({p for parts in split for p in parts}.difference(pieces))
-        pieces.update(zip(new, [np.array(x, dtype="<u4").tobytes()
-                                for x in self.encode_pieces([p.encode("utf-8") for p in new])]))
-        memory.update(zip(units, [b"".join([pieces[p] for p in parts]) for parts in split]))
+        new = list(set(chain.from_iterable(split)).difference(pieces))
+        pieces.update(zip(new, self.encode_pieces([p.encode("utf-8") for p in new])))
+        memory.update(zip(units, [pieces[parts[0]] if len(parts) == 1 else b"".join([pieces[p] for p in parts])
+                                  for parts in split]))
 
     def encode_texts(self, texts: list[str | None]) -> list[bytes]:
         """Ids of whole texts, little-endian 32 bits each.
@@ -262,9 +273,13 @@ class ByteBPE:
         first, inner = self.first, self.inner
         return [first[u[0]] + b"".join(map(inner.__getitem__, u[1:])) if u else b"" for u in units]
 
-    def decode(self, ids) -> bytes:
+    def decode(self, ids: np.ndarray) -> bytes:
         """The bytes that a list of ids stands for."""
-        return b"".join(map(self.bytes_of.__getitem__, ids))
+        size = self.token_size[ids]
+        ends = np.cumsum(size)
+        # place of every byte: where its token's bytes are, and how far into the token it is
+        shift = self.token_start[ids] - (ends - size)
+        return self.token_bytes[np.repeat(shift, size) + np.arange(ends[-1])].tobytes() if len(ends) else b""
 
 
 @lru_cache(maxsize=4)
@@ -307,7 +322,8 @@ def decode(ids: Column, path: str, pattern: str) -> Column:
     @F.arrow_udf("binary")
     def bpe_decode(lists: pa.Array) -> pa.Array:
         bpe = tokenizer(path, pattern)
-        return pa.array([None if x is None else bpe.decode(x) for x in lists.to_pylist()], type=pa.binary())
+        return pa.array([None if x.values is None else bpe.decode(x.values.to_numpy(zero_copy_only=False)) for x in lists],
+                        type=pa.binary())
 
     return bpe_decode(ids)
 
