@@ -126,8 +126,9 @@ def neighbours(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
                                               F.sha2("edited", 256).alias("edited_sha256"))
     sides = F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("text").alias("text")),
                               F.struct(F.lit(1).alias("side"), F.col("edited").alias("text"))))
-    texts = rows.select("slice", "place", sides.alias("of")).select("slice", "place", "of.side", "of.text")
-    found = fingerprints(texts, ["slice", "place", "side"], samples)
+    # doc_id comes along so that both uses of the slices read the same columns of one exchange
+    texts = rows.select("slice", "place", "doc_id", sides.alias("of")).select("slice", "place", "doc_id", "of.side", "of.text")
+    found = fingerprints(texts, ["slice", "place", "doc_id", "side"], samples)
     both = found.groupBy("slice", "place").agg(F.max(F.when(F.col("side") == 0, F.col("samples"))).alias("own"),
                                                F.max(F.when(F.col("side") == 1, F.col("samples"))).alias("other"))
     both = both.withColumn("next", F.lead("own").over(Window.partitionBy("slice").orderBy("place")))
