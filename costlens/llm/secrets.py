@@ -1,6 +1,7 @@
 """Secret scans: candidate strings, judged by a random forest.
 
-Candidates are runs of at least ``MIN_CHARS`` key characters with a digit.  A
+Candidates are runs of at least ``MIN_CHARS`` key characters with a digit; ``=``
+may end a run but is not part of one, so a value begins after it.  A
 random forest, trained here from labelled findings, removes false positives; its features
 are the candidate's length, its character transitions, the share of it that
 dictionary words cover, the path it comes from and the words next to it.
@@ -26,7 +27,12 @@ from pyspark.sql import functions as F
 MIN_CHARS = 16
 
 #: Java pattern of a candidate.
-CANDIDATE = rf"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]{{0,200}}[0-9])[A-Za-z0-9+/_-]{{{MIN_CHARS},}}+={{0,2}}"
+CANDIDATE = (rf"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]{{0,200}}[0-9])[A-Za-z0-9+/_-]{{{MIN_CHARS},}}+"
+             r"(?:={1,2}(?![A-Za-z0-9+/_=-]))?")
+
+#: What may stand between a candidate that is a name and the value assigned to it, and how name and gap end together.
+GAP = r"""^["']?[ \t]{0,8}[=:]{0,2}[ \t]{0,8}["']?$"""
+NAMED = r"""[=:][ \t]{0,8}["']?$"""
 
 #: Characters before and after a candidate that count as its neighbours.
 NEAR = 48
@@ -122,10 +128,14 @@ def candidates(docs: DataFrame) -> DataFrame:
     found = found.where(F.size("hits") > 0)
     split = found.select("doc_id", "path", "hits", F.transform(F.split("text", CANDIDATE, -1), _ends).alias("between"))
     after = F.slice("between", 2, F.size("hits"))
-    zipped = F.arrays_zip(F.col("hits"), F.slice("between", 1, F.size("hits")).alias("before"), after.alias("after"))
+    earlier = F.concat(F.array(F.lit("")), F.slice("hits", 1, F.size("hits") - 1))
+    zipped = F.arrays_zip(F.col("hits"), F.slice("between", 1, F.size("hits")).alias("before"), after.alias("after"),
+                          earlier.alias("earlier"))
+    gap, joined = F.col("hit.before.tail"), F.concat("hit.earlier", "hit.before.tail")
+    before = F.when(gap.rlike(GAP) & joined.rlike(NAMED), joined).otherwise(gap)  # the name that the value is assigned to
     return (split.select("doc_id", "path", F.posexplode(zipped).alias("place", "hit"))
             .select("doc_id", "path", "place", F.col("hit.hits").alias("candidate"),
-                    F.right(F.col("hit.before.tail"), F.lit(NEAR)).alias("before"), F.col("hit.after.head").alias("after")))
+                    F.right(before, F.lit(NEAR)).alias("before"), F.col("hit.after.head").alias("after")))
 
 
 def _ends(between: Column) -> Column:

@@ -400,6 +400,21 @@ def test_planted_tokens_are_found_and_numbers_left_alone(spark):
     assert tokens and numbers and all(r["is_secret"] for r in tokens) and not any(r["is_secret"] for r in numbers)
 
 
+def test_values_right_after_an_equals_sign_are_candidates(spark):
+    digest, key = "04dbebab91ab85687d33eeaaf9ac699e", "wJalrXUtnFEMI/K7MDENG/bPxRfiCYzt4LmPx2Rw"
+    cases = [("export AUTH_TOKEN=", "ghp_aZ9kLmQwErTyUiOpAsDfGhJkLzXcVbNm1234", "\n"), ("client_secret=", digest, "&grant=1"),
+             ("AWS_SECRET_ACCESS_KEY=", key, ""), ("https://h/x?token=", digest, ""), ("AWS_S3_SECRET_ACCESS_KEY=", key, "=="),
+             ("export AWS_S3_SECRET_ACCESS_KEY=", key, ""), ('AWS_S3_SECRET_ACCESS_KEY="', key, '"'), ("OAUTH2_CLIENT_SECRET_V2 = ", digest, " x")]
+    docs = spark.createDataFrame([(i, "".join(c), "src1") for i, c in enumerate(cases)], "doc_id long, text string, source string")
+    model = secrets.train(secrets.labelled_findings(spark))
+    found = secrets.scan(docs, model).where("is_secret").collect()
+    assert sorted((r["doc_id"], r["candidate"]) for r in found) == [
+        (i, value + ("==" if after == "==" else "")) for i, (_, value, after) in enumerate(cases)]
+    numbers = [(1, "https://example.com/item?id=1234567890123456&page=2", "s"), (2, f"sha256={digest}{digest}", "s")]
+    rows = secrets.scan(spark.createDataFrame(numbers, docs.schema), model).collect()
+    assert len(rows) == 2 and not any(r["is_secret"] for r in rows)
+
+
 # -- licences --------------------------------------------------------------------------------------------
 
 
