@@ -2,14 +2,15 @@
 
 The fixed patterns find e-mail addresses, IP addresses, payment cards and phone
 numbers.  A conditional random field, trained here from a small labelled table,
-then reads the runs of tokens near a digit or an ``@`` (no personal number is
-anywhere else) and may add spans that the patterns miss, such as
-``jane [at] mail [dot] org``, ``4111.1111.1111.1111`` or ``tel. 555-010-9999``.
+then reads the runs of tokens near a digit, an ``@``, a bracket or the words of a
+spelled-out address (no personal number or address is anywhere else) and may add
+spans that the patterns miss, such as ``jane [at] mail [dot] org``,
+``sales at example dot com``, ``4111.1111.1111.1111`` or ``tel. 555-010-9999``.
 An added span never touches a fixed one, and has to be possible for its kind
 (digit counts, Luhn sum, address parts), so ordinary text is left alone.
 
-Features of a token are its shape, the shapes around it, its digit count and, if
-training has seen it, the word itself.  Decoding is Viterbi over all runs of an
+Features of a token are its shape, the shapes around it, its digit count, the words
+``at`` and ``dot`` around it and, if training has seen it, the word itself.  Decoding is Viterbi over all runs of an
 Arrow batch at once, in numpy.
 
 Edge cases: a null text counts as empty and has no spans; texts of any length
@@ -154,6 +155,25 @@ of the 17 and a 3 er on 1200 thing
 1 2 3 4 5 6 7 8 9 10 11 12
 serial 4000123412341234567890123 ok
 in 555 of 1000 cases 010 or 9999 were
+<email>info at example dot com</email> is read every day
+write to <email>jane.doe at mail dot example dot org</email> about it
+Contact <email>bob_smith at corp dot net</email>.
+mail <email>kim at example dot co dot uk</email> or ask
+send it to <email>help at shop dot example dot io</email> please
+reply to <email>Max.Muster at firma dot de</email> soon
+<email>post at example dot com</email> or <email>desk at example dot com</email>
+bitte an <email>team-nord at mein-shop dot ch</email> schreiben
+mine is <email>kim42 at post dot me</email> since then
+ask <email>dev-ops at ci dot acme dot eu</email>!
+she looked at one dot and smiled
+the point at the dot on the map
+we met at the dot com era and left
+he pointed at a dot near the edge
+stare at that dot until it moves
+put it at every dot in the row
+see us at www.example.com today
+look at example.com for more
+we arrived at noon.Then we left
 """.strip().splitlines()
 
 MARK = re.compile(r"<(/?)(\w+)>")
@@ -183,7 +203,10 @@ def labelled_lines(copies: int = 6) -> list[tuple[str, list[Span]]]:
 TOKEN = re.compile(r"[0-9]+|[^\W\d_]+|[^\w\s]|_|[^\S\n]+|\n|\w")
 LABELS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
 
-#: Tokens on either side of a digit or @ that the field reads.
+#: Words that stand for the signs of an address.
+SIGN_WORDS = {"at": "@", "dot": "."}
+
+#: Tokens on either side of an anchor that the field reads.
 REACH = 8
 
 
@@ -194,9 +217,11 @@ def tokens_of(text: str, start: int = 0, end: int | None = None) -> list[tuple[s
 
 
 def shape(token: str) -> str:
-    """d with the count of digits, X or x for words, the sign itself otherwise."""
+    """d with the count of digits, X or x for words (x for ``at`` and ``dot``), the sign itself otherwise."""
     if "0" <= token[0] <= "9":
         return f"d{min(len(token), 20)}"
+    if token.lower() in SIGN_WORDS:
+        return "x"
     if token[0].isalpha():
         return ("X" if token[0].isupper() else "x") + ("" if len(token) > 1 else "1")
     return token
@@ -206,27 +231,50 @@ def features(tokens: Sequence[tuple[str, int, int]]) -> list[list[str]]:
     """Names of the features of every token of a run."""
     shapes = ["^", "^", *(shape(t) for t, _, _ in tokens), "$", "$"]
     glued = [False, *(a[2] == b[1] for a, b in zip(tokens, tokens[1:])), False]
+    signs = "--" + "".join(SIGN_WORDS.get(t.lower(), "-") for t, _, _ in tokens) + "--"
     out = []
     for i, (token, _, _) in enumerate(tokens):
         s = shapes[i : i + 5]
         out.append([f"s={s[2]}", f"-1={s[1]}", f"+1={s[3]}", f"-1s={s[1]}{s[2]}", f"+1s={s[2]}{s[3]}",
                     f"-2={s[0]}{s[1]}{s[2]}", f"+2={s[2]}{s[3]}{s[4]}", f"g={glued[i]}{glued[i + 1]}{s[2]}",
-                    f"w={token.lower()}"])
+                    f"w={token.lower()}", f"a={signs[i : i + 5]}"])
     return out
 
 
+def spelled(text: str, start: int, end: int) -> list[tuple[int, int]]:
+    """Places of addresses in words within a line: the local part, ``at`` and the domain."""
+    places, stop = [], start
+    for m in SPELLED.finditer(text, start, end):
+        begin = m.start()
+        while begin > stop and text[begin - 1].isspace():
+            begin -= 1
+        while begin > stop and text[begin - 1] in LOCAL_PART:
+            begin -= 1
+        stop = m.end()
+        places.append((begin, stop))
+    return places
+
+
 def runs(text: str) -> list[list[tuple[str, int, int]]]:
-    """Runs of tokens at most ``REACH`` tokens from a digit or an @, in order, within lines."""
+    """Runs of tokens at most ``REACH`` tokens from an anchor, in order, within lines.
+
+    Anchors are digits, signs of :data:`ANCHOR` and every token of an address in words.
+    """
     found = []
-    anchor = ANCHOR.search(text)
-    while anchor:
-        start = text.rfind("\n", 0, anchor.start()) + 1
-        end = text.find("\n", anchor.start())
+    sign, words = ANCHOR.search(text), SPELLED.search(text)
+    while sign or words:
+        at = min(m.start() for m in (sign, words) if m)
+        start = text.rfind("\n", 0, at) + 1
+        end = text.find("\n", at)
         end = len(text) if end < 0 else end
         tokens = tokens_of(text, start, end)
+        places = spelled(text, start, end) if words and words.start() < end else []
         low = last = -1
-        for i, (t, _, _) in enumerate(tokens):
-            if ANCHOR.match(t):
+        k = 0
+        for i, (t, a, _) in enumerate(tokens):
+            while k < len(places) and places[k][1] <= a:
+                k += 1
+            if ANCHOR.match(t) or k < len(places) and places[k][0] <= a:
                 if low >= 0 and i - REACH <= last:
                     last = i + REACH
                 else:
@@ -234,13 +282,19 @@ def runs(text: str) -> list[list[tuple[str, int, int]]]:
                         found.append(tokens[low : last + 1])
                     low, last = max(i - REACH, 0), i + REACH
         found.append(tokens[low : last + 1])
-        anchor = ANCHOR.search(text, end)
+        sign = ANCHOR.search(text, end) if sign and sign.start() < end else sign
+        words = SPELLED.search(text, end) if words and words.start() < end else words
     return found
 
 
-#: What a run of tokens is around: a digit, an @ or the bracket of a word that stands for it.
+#: What a run of tokens is around: a digit, an @ or the bracket of a word that stands for it,
 ANCHOR = re.compile(r"[0-9@\[(]")
 
+#: or the words of an address without signs, from ``at`` to the end of the domain.
+SPELLED = re.compile(r"(?<=[A-Za-z0-9._%+-][^\S\n])at[^\S\n]{1,2}[A-Za-z0-9-]+(?:(?:\.|[^\S\n]dot[^\S\n])[A-Za-z0-9-]+)+"
+                     r"|(?<=[A-Za-z0-9._%+-][^\S\n]{2})at[^\S\n]{1,2}[A-Za-z0-9-]+(?:(?:\.|[^\S\n]dot[^\S\n])[A-Za-z0-9-]+)+",
+                     re.IGNORECASE)
+
 
 # -- the field ---------------------------------------------------------------------------
 

@@ -212,6 +212,19 @@ def test_field_adds_what_the_patterns_miss(text, kind, value):
     assert [(k, text[a:b]) for k, a, b in spans] == [(kind, value)] and pii.base_spans(text) == []
 
 
+def test_addresses_in_words_are_found_without_digits_or_brackets_nearby():
+    field = pii.train()
+    for text, values in [
+            ("write to sales at example dot com today", ["sales at example dot com"]),
+            ("address sales at example dot com", ["sales at example dot com"]),
+            ("Reach anna AT gmx DOT net.", ["anna AT gmx DOT net"]),
+            ("x\nplease write to jane.doe at mail dot example dot org about it\nand kim at corp dot net now",
+             ["jane.doe at mail dot example dot org", "kim at corp dot net"]),
+            ("look at the dot on the map", []), ("they looked at one dot and smiled", []), ("see us at www.example.com today", [])]:
+        assert [text[a:b] for _, a, b in pii.spans_of([text], field)[0]] == values
+        assert [text[a:b] for _, a, b in pii.spans_of([text + "\n7"], field)[0]] == values  # whatever stands near
+
+
 def test_viterbi_equals_the_best_of_all_paths():
     rng = np.random.RandomState(0)
     field = pii.Field({}, np.zeros((1, len(pii.LABELS))), rng.randn(9, 9), rng.randn(9))
