@@ -1,10 +1,11 @@
 """Secret scans: candidate strings, judged by a random forest.
 
-Candidates are runs of at least ``MIN_CHARS`` key characters with a digit; ``=``
-may end a run but is not part of one, so a value begins after it.  A
+Candidates are all runs of at least ``MIN_CHARS`` key characters, with or without a
+digit, but for one letter or sign repeated (rules and filler lines); ``=`` may end a run
+but is not part of one, so a value begins after it.  A
 random forest, trained here from labelled findings, removes false positives; its features
-are the candidate's length, its character transitions, the share of it that
-dictionary words cover, the path it comes from and the words next to it.
+are the candidate's length, its character transitions, its vowels, the prefix of
+well-known keys, the share of it that dictionary words cover, the path it comes from and the words next to it.
 
 Candidates, features and scores are DataFrame operations only: the text is split
 at the candidates, so each comes with what stands before and after it, and the
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 MIN_CHARS = 16
 
 #: Java pattern of a candidate.
-CANDIDATE = (rf"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]{{0,200}}[0-9])[A-Za-z0-9+/_-]{{{MIN_CHARS},}}+"
+CANDIDATE = (rf"(?<![A-Za-z0-9+/_-])(?!([A-Za-z+/_-])\1*+(?![A-Za-z0-9+/_-]))[A-Za-z0-9+/_-]{{{MIN_CHARS},}}+"
              r"(?:={1,2}(?![A-Za-z0-9+/_=-]))?")
 
 #: What may stand between a candidate that is a name and the value assigned to it, and how name and gap end together.
@@ -45,9 +46,10 @@ DICTIONARY = ("access account address api app array base block build button clas
               "server session size source state status string style system table target test text time title token type "
               "update user value version view width your").split()
 
-#: What stands before secrets, and before other long strings.
+#: What stands before secrets and before other long strings, and how well-known keys begin.
 SECRET_WORDS = r"(?i)(token|secret|passw|pwd|api.?key|access.?key|auth|bearer|credential|private.?key|client.?id)"
 OTHER_WORDS = r"(?i)(sha-?[0-9]*|md5|commit|checksum|digest|hash|uuid|guid|isbn|order|invoice|card|phone|tel|base64|https?:)"
+KEY_PREFIXES = r"^(A3T|AKIA|ASIA|AIza|gh[opsur]_|github_pat_|glpat-|xox[abeprs]-|sk[-_]|pk_|npm_|eyJ)"
 TEST_PATHS = r"(?i)(test|spec|example|sample|fixture|docs?/|mock)"
 
 #: Labelled findings as rules.  (secret?, before, kind of value, after, path); kinds are made in :func:`values`.
@@ -77,13 +79,37 @@ FINDINGS = (
     (0, 'token = "', "words", '"', "docs/example.md"),
     (0, 'api_key = "', "words", '"', "tests/test_api.py"),
     (0, "the ", "words", " of", "src4"),
+    (1, 'password = "', "letters20", '"', "src/db.ini"),
+    (1, "DB_PASSWORD=", "letters20", "", "ci/run.sh"),
+    (1, "api_key: ", "letters32", "", "deploy/prod.yaml"),
+    (1, "access key ", "capitals20", " was", "src3"),
+    (1, "", "capitals20", "", "src6"),
+    (1, "aws_access_key_id = ", "capitals20", "", "home/.aws/credentials"),
+    (1, "password: ", "phrase", "", "config/service.yaml"),
+    (1, "db_passwd=", "phrase", "", "src12"),
+    (0, "the ", "prose", " of", "src4"),
+    (0, "der ", "prose", " und", "src8"),
+    (0, "", "prose", ". ", "src10"),
+    (0, "the ", "Prose", " of", "src13"),
+    (0, "the secret ", "prose", " of", "src1"),
+    (0, "THE ", "PROSE", " OF", "src2"),
+    (0, "", "PROSE", " and", "src14"),
+    (1, "AWS_SECRET_ACCESS_KEY=", "worded40", "", "ci/env.sh"),
+    (1, "secret_key: ", "worded40", "", "src16"),
+    (0, "see /", "path", " for", "docs/intro.md"),
+    (0, "https:", "path", " now", "src15"),
+    (0, "", "names", " = 1", "src/config.py"),
+    (0, "export ", "NAMES", "=", "ci/run.sh"),
+    (0, "", "NAMES", "=", "src5"),
+    (0, "token = ", "camel", "()", "src/app.py"),
+    (0, "return ", "camel", "(x)", "src/app.js"),
 )
 
 #: Rows made from each rule.
 COPIES = 40
 
 FEATURES = ("length", "changes", "digit_share", "upper_share", "variety", "hex_only", "dictionary_share", "test_path",
-            "secret_words", "other_words", "assigned", "quoted")
+            "secret_words", "other_words", "assigned", "quoted", "vowel_share", "key_prefix")
 
 
 def values() -> dict[str, Column]:
@@ -91,11 +117,18 @@ def values() -> dict[str, Column]:
     digest = F.sha2(F.col("seed"), 256)
     letters = F.translate(F.base64(F.unhex(F.concat(digest, F.sha2(F.concat(F.lit("x"), "seed"), 256)))), "+/=", "aZ9")
     digits = F.translate(digest, "abcdef", "012345")
+    plain = F.translate(letters, "0123456789", "qZkWvXbHjR")
     words = F.array(*map(F.lit, DICTIONARY))
 
     def word(start: int) -> Column:
         return F.get(words, F.pmod(F.conv(F.substring(digest, start, 6), 16, 10).cast("int"), F.lit(len(DICTIONARY))))
 
+    def sound(start: int) -> Column:
+        """Syllables that no dictionary has: consonant and vowel by turns."""
+        part = F.substring(digest, start, 6)
+        return F.concat(*(F.translate(F.substring(part, k, 1), "0123456789abcdef", "aeiouaeiouaeioue" if k % 2 == 0 else "bdfglmnprstvhckr")
+                          for k in range(1, 7)))
+
     return {
         "hex32": F.substring(digest, 1, 32), "hex40": F.substring(digest, 1, 40), "hex64": digest,
         "mixed20": F.concat(F.substring(letters, 1, 19), F.lit("7")), "mixed32": F.concat(F.substring(letters, 1, 31), F.lit("3")),
@@ -105,6 +138,17 @@ def values() -> dict[str, Column]:
         "digits16": F.substring(digits, 1, 16), "digits18": F.substring(digits, 1, 18),
         "uuid": F.concat_ws("-", F.substring(digest, 1, 8), F.substring(digest, 9, 4), F.substring(digest, 13, 4),
                             F.substring(digest, 17, 4), F.substring(digest, 21, 12)),
+        "letters20": F.substring(plain, 1, 20), "letters32": F.substring(plain, 1, 32),
+        "capitals20": F.concat(F.lit("AKIA"), F.substring(F.upper(plain), 1, 16)),
+        "phrase": F.concat_ws("-", sound(1), sound(13), sound(25), sound(37)),
+        "prose": F.concat(sound(1), sound(13), sound(25), sound(37), sound(49)),
+        "Prose": F.initcap(F.concat(sound(1), sound(13), sound(25), sound(37))),
+        "PROSE": F.upper(F.concat(sound(1), sound(13), sound(25))),
+        "worded40": F.concat(F.substring(letters, 1, 21), F.lit("/"), F.substring(letters, 23, 8), F.upper(word(1)), F.upper(word(9))),
+        "path": F.concat_ws("/", F.lit("/www"), sound(1), word(9), sound(25), word(33)),
+        "names": F.concat_ws("_", word(1), word(9), word(17), word(25)),
+        "NAMES": F.upper(F.concat_ws("_", word(1), word(9), word(17), word(25))),
+        "camel": F.concat(F.lit("get"), F.initcap(word(1)), F.initcap(word(9)), F.initcap(word(17)), F.lit("From")),
         "words": F.concat_ws("_", word(1), word(9), word(17), word(25), F.substring(digits, 1, 2)),
     }
 
@@ -165,6 +209,8 @@ def with_features(found: DataFrame) -> DataFrame:
         "other_words": flag(F.col("before").rlike(OTHER_WORDS)),
         "assigned": flag(F.col("before").rlike(r"""[=:]\s*["']?$""")),
         "quoted": flag(F.col("before").rlike("""["']$""") & F.col("after").rlike("""^["']""")),
+        "vowel_share": F.regexp_count(value, F.lit("[AEIOUaeiou]")) / size,
+        "key_prefix": flag(value.rlike(KEY_PREFIXES)),
     })
 
 
