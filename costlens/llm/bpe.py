@@ -14,15 +14,20 @@ one numpy matrix per width and all rows do one merge per step.  Wide pretokens,
 of which a batch has few, use the same tree over a flat list.  Nothing but
 tiktoken's file of ranks is needed; the result equals ``encode_ordinary``.
 
+Workers keep the ids of units they have met.  That memory is bounded by bytes, in
+two generations (what is met again moves to the young one, so frequent units
+outlive rare ones), and it ends with the task.
+
 Edge cases: a null text counts as empty and gives no ids; an empty text gives an
 empty list; any length is encoded whole; repeated rows give repeated results;
-columns other than the text are never read.
+columns other than the text and those asked for are never read.
 """
 
 from __future__ import annotations
 
 import base64
 import re
+from collections.abc import Iterator
 from functools import lru_cache
 from hashlib import sha256
 from itertools import chain
@@ -30,13 +35,19 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import ship
 
-#: Entries of each of a Python worker's memories; a fuller one is emptied and filled anew.
-CACHE_WORDS = 600_000
+#: Bytes of one generation of a memory of units; a worker has two memories of two generations each.
+MEMORY_BYTES = 24_000_000
+
+#: Bytes of an entry besides its characters and ids, and characters of the longest unit worth keeping.
+ENTRY_BYTES, LONG_UNIT = 190, 32
+
+#: Characters of text encoded at a time.
+GROUP_CHARS = 1_000_000
 
 #: Cells (rows times width) of one matrix of trees: bounds the memory of a step.
 CELLS = 1 << 18
@@ -54,6 +65,38 @@ SINGLE_SPACE = re.compile(r"(?<=\S) (?=\S)").split
 NONE = np.int64(1) << np.int64(62)
 
 
+class Memory:
+    """Ids of units met before, in two generations of at most about ``limit`` bytes each."""
+
+    def __init__(self, limit: int = MEMORY_BYTES):
+        self.limit, self.size = limit, 0
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.long: list[str] = []
+
+    def missing(self, units: set[str]) -> list[str]:
+        """The units without ids; those that only the old generation has are young again."""
+        new = units.difference(self.young)
+        known = new.intersection(self.old)
+        if known:
+            self.put(list(known), list(map(self.old.__getitem__, known)))
+            new -= known
+        return list(new)
+
+    def put(self, units: list[str], ids: list[bytes]) -> None:
+        self.young.update(zip(units, ids))
+        self.size += sum(map(len, units)) + sum(map(len, ids)) + ENTRY_BYTES * len(units)
+        self.long += [u for u in units if len(u) > LONG_UNIT]
+
+    def turn(self) -> None:
+        """Called when nothing is looked up: long units go, a full young generation becomes the old one."""
+        for unit in self.long:
+            self.size -= len(unit) + len(self.young.pop(unit)) + ENTRY_BYTES
+        self.long = []
+        if self.size > self.limit:
+            self.old, self.young, self.size = self.young, {}, 0
+
+
 class ByteBPE:
     """Encoder and decoder for one file of ranks."""
 
@@ -76,9 +119,7 @@ class ByteBPE:
         order = np.argsort(keys)
         self.pair_keys = np.append(keys[order], NONE)
         self.pair_ranks = np.append(np.fromiter(self.pair.values(), dtype=np.int64, count=len(self.pair))[order], -1)
-        self.first: dict[str, bytes] = {}
-        self.inner: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.forget()
 
     @classmethod
     def from_file(cls, path: str, pattern: str) -> ByteBPE:
@@ -239,8 +280,12 @@ class ByteBPE:
 
     # -- texts -------------------------------------------------------------
 
-    def _remember(self, memory: dict[str, bytes], units: list[str], lead: str) -> None:
-        """Put the ids of ``lead + unit`` of new units into a memory."""
+    def forget(self) -> None:
+        """Empty the memories of units (with the space before them) and of pretokens."""
+        self.units, self.pieces = Memory(), Memory()
+
+    def _encode_units(self, units: list[str], lead: str) -> list[bytes]:
+        """Ids of ``lead + unit`` of each unit."""
         split = []
         for unit in units:
             if unit.isalpha():  # letters only: one match of the pattern
@@ -249,11 +294,10 @@ class ByteBPE:
                 split.append((lead + unit[:-1], unit[-1]))
             else:
                 split.append(self.split(lead + unit))
-        pieces = self.pieces
-        new = list(set(chain.from_iterable(split)).difference(pieces))
-        pieces.update(zip(new, self.encode_pieces([p.encode("utf-8") for p in new])))
-        memory.update(zip(units, [pieces[parts[0]] if len(parts) == 1 else b"".join([pieces[p] for p in parts])
-                                  for parts in split]))
+        new = self.pieces.missing(set(chain.from_iterable(split)))
+        self.pieces.put(new, self.encode_pieces([p.encode("utf-8") for p in new]))
+        ids = self.pieces.young
+        return [ids[parts[0]] if len(parts) == 1 else b"".join([ids[p] for p in parts]) for parts in split]
 
     def encode_texts(self, texts: list[str | None]) -> list[bytes]:
         """Ids of whole texts, little-endian 32 bits each.
@@ -265,13 +309,15 @@ class ByteBPE:
         """
         units = [(t.split(" ") if DOUBLE_SPACE(t) is None and t[0] > " " < t[-1] else SINGLE_SPACE(t)) if t else []
                  for t in texts]
-        for memory in (self.first, self.inner, self.pieces):
-            if len(memory) > CACHE_WORDS:
-                memory.clear()
-        self._remember(self.first, list({u[0] for u in units if u}.difference(self.first)), "")
-        self._remember(self.inner, list(set(chain.from_iterable(u[1:] for u in units)).difference(self.inner)), " ")
-        first, inner = self.first, self.inner
-        return [first[u[0]] + b"".join(map(inner.__getitem__, u[1:])) if u else b"" for u in units]
+        firsts = list({u[0] for u in units if u})
+        first = dict(zip(firsts, self._encode_units(firsts, "")))
+        new = self.units.missing(set(chain.from_iterable(u[1:] for u in units)))
+        self.units.put(new, self._encode_units(new, " "))
+        inner = self.units.young.__getitem__
+        coded = [first[u[0]] + b"".join(map(inner, u[1:])) if u else b"" for u in units]
+        self.units.turn()
+        self.pieces.turn()
+        return coded
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The bytes that a list of ids stands for."""
@@ -282,66 +328,65 @@ class ByteBPE:
         return self.token_bytes[np.repeat(shift, size) + np.arange(ends[-1])].tobytes() if len(ends) else b""
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=1)
 def tokenizer(path: str, pattern: str) -> ByteBPE:
     """One encoder per Python worker, file and pattern."""
     return ByteBPE.from_file(path, pattern)
 
 
-def _groups(array: pa.StringArray, chars: int = 2_000_000):
-    """Consecutive pieces of an Arrow batch with about ``chars`` bytes of text each."""
-    texts, size = [], 0
-    for value in array:
-        text = value.as_py()
-        texts.append(text)
+def _groups(texts: list[str | None], chars: int = GROUP_CHARS):
+    """Ends of consecutive groups of texts with about ``chars`` characters each."""
+    size = 0
+    for end, text in enumerate(texts, 1):
         size += len(text or "")
-        if size >= chars:
-            yield texts
-            texts, size = [], 0
-    if texts:
-        yield texts
-
-
-def encode(text: Column, path: str, pattern: str) -> Column:
-    """Ids (``array<int>``) of every whole text, without special tokens; null counts as empty."""
+        if size >= chars or end == len(texts):
+            yield end
+            size = 0
 
-    @F.arrow_udf("array<int>")
-    def bpe_encode(texts: pa.Array) -> pa.Array:
-        bpe = tokenizer(path, pattern)
-        coded = [ids for group in _groups(texts) for ids in bpe.encode_texts(group)]
-        ends = np.concatenate([[0], np.cumsum([len(x) // 4 for x in coded])]).astype(np.int32)
-        values = np.frombuffer(b"".join(coded), dtype="<i4")
-        return pa.ListArray.from_arrays(pa.array(ends), pa.array(values, type=pa.int32()))
 
-    return bpe_encode(text)
+#: What :func:`tokenize` can return for a row: Spark type, Arrow type.
+OUTPUTS = {"ids": ("array<int>", pa.list_(pa.int32())), "n_tokens": ("bigint", pa.int64()),
+           "ids_sha256": ("string", pa.string()), "decoded": ("binary", pa.binary()),
+           "decoded_sha256": ("string", pa.string())}
 
 
-def decode(ids: Column, path: str, pattern: str) -> Column:
-    """Bytes (``binary``) that the ids stand for; null ids give null."""
+def _values(name: str, coded: list[bytes], decoded: list[bytes]) -> pa.Array:
+    if name == "ids":
+        ends = np.concatenate([[0], np.cumsum([len(x) // 4 for x in coded])]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(coded), dtype="<i4"), pa.int32()))
+    if name == "n_tokens":
+        return pa.array([len(x) // 4 for x in coded], pa.int64())
+    if name == "decoded":
+        return pa.array(decoded, pa.binary())
+    return pa.array([sha256(x).hexdigest() for x in (coded if name == "ids_sha256" else decoded)], pa.string())
+
+
+def tokenize(docs: DataFrame, path: str, pattern: str, outputs: tuple[str, ...] = ("ids", "decoded"),
+             keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns ``keep`` of every row and the ``outputs`` of its text, all from one pass.
+
+    ``ids`` are the token ids (null text: none), ``decoded`` the bytes that the ids
+    decode to, the others their number and SHA-256 digests (lowercase hex; ids as
+    little-endian unsigned 32-bit integers).
+    """
+    ship(docs.sparkSession)
+    kept = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep]
+    schema = ", ".join(kept + [f"{name} {OUTPUTS[name][0]}" for name in outputs])
+    names = [*keep, *outputs]
+    back = any(name.startswith("decoded") for name in outputs)
 
-    @F.arrow_udf("binary")
-    def bpe_decode(lists: pa.Array) -> pa.Array:
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tokenizer(path, pattern)
-        return pa.array([None if x.values is None else bpe.decode(x.values.to_numpy(zero_copy_only=False)) for x in lists],
-                        type=pa.binary())
-
-    return bpe_decode(ids)
-
-
-def id_digest(ids: Column) -> Column:
-    """Lowercase hex SHA-256 of the ids as little-endian unsigned 32-bit integers."""
-
-    @F.arrow_udf("string")
-    def digest(lists: pa.Array) -> pa.Array:
-        values = lists.flatten().to_numpy(zero_copy_only=False).astype("<u4")
-        ends = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
-        return pa.array([sha256(values[a:b].tobytes()).hexdigest() for a, b in zip(ends[:-1], ends[1:])])
-
-    return digest(ids)
-
-
-def tokenize(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """``doc_id``, ``ids`` (array of token ids) and ``decoded`` (bytes of the ids) per row of ``docs``."""
-    ship(docs.sparkSession)
-    coded = docs.select("doc_id", encode(F.col("text"), path, pattern).alias("ids"))
-    return coded.withColumn("decoded", decode(F.col("ids"), path, pattern))
+        try:
+            for batch in batches:
+                texts, start = batch.column(len(keep)).to_pylist(), 0
+                for end in _groups(texts):
+                    ids = bpe.encode_texts(texts[start:end])
+                    raw = [bpe.decode(np.frombuffer(x, dtype="<u4")) for x in ids] if back else []
+                    given = [batch.column(i).slice(start, end - start) for i in range(len(keep))]
+                    yield pa.RecordBatch.from_arrays(given + [_values(name, ids, raw) for name in outputs], names)
+                    start = end
+        finally:
+            bpe.forget()
+
+    return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(coded, schema)

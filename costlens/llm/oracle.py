@@ -67,5 +67,38 @@ FROM b
 """
 
 
+def _audit() -> str:
+    letters = "ABCDE"
+    slots = ", ".join(f"(SELECT unnest(string_split('{letters}', '')) AS l{i}) AS t{i}" for i in range(1, 6))
+    order = " || ".join(f"l{i}" for i in range(1, 6))
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text,
+                  regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
+     q AS (SELECT doc_id, max(CAST(quality = 1 AS INT)) AS good, max(CAST(toxic = 1 AS INT)) AS toxic FROM labels GROUP BY 1),
+     f AS (SELECT r, part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+                  concat(CASE WHEN len(words) < 200 THEN 'A' END,
+                         CASE WHEN 100 * len(list_distinct(words)) < 50 * len(words) THEN 'B' END,
+                         CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 2 * length(text) THEN 'C' END,
+                         CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' END,
+                         CASE WHEN doc_id > min(d.doc_id) OVER (PARTITION BY text) THEN 'E' END) AS failed
+           FROM d LEFT JOIN q USING (doc_id)),
+     o AS (SELECT {order} AS filter_order FROM {slots} WHERE len(list_distinct([l1, l2, l3, l4, l5])) = 5),
+     s AS (SELECT filter_order, CAST(step AS INTEGER) AS step, substr(filter_order, step, 1) AS letter,
+                  substr(filter_order, 1, step - 1) AS earlier FROM o, (SELECT unnest(range(1, 6)) AS step)),
+     x AS (SELECT part, filter_order, step, letter, good, toxic, failed,
+                  contains(failed, letter) AS fails, translate(failed, earlier, '') <> failed AS gone
+           FROM f, s),
+     c AS (SELECT part, filter_order, step, letter, count(*) FILTER (NOT fails AND NOT gone) AS kept,
+                  count(*) FILTER (fails AND NOT gone) AS removed, count(*) FILTER (fails AND gone) AS redundant,
+                  count(*) FILTER (failed = letter) AS unique_fails,
+                  count(*) FILTER (fails AND NOT gone AND good = 1) AS good_lost,
+                  count(*) FILTER (fails AND NOT gone AND toxic = 1) AS toxic_lost
+           FROM x GROUP BY ALL)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, letter) AS BIGINT) AS shapley
+FROM c
+"""
+
+
 def llm_oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": _mixing(), "op10_quality": _quality()}
+    return {"op1_mixing": _mixing(), "op10_quality": _quality(), "op13_audit": _audit()}

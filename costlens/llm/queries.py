@@ -8,14 +8,17 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, licences, mixing, pii, quality, secrets, sharding, simhash, weighted
-from .common import documents, ship
+from . import audit, bpe, langid, licences, mixing, packing, periodic, pii, quality, secrets, sharding, simhash, weighted
+from .common import documents
 
 #: Shares of the mix; the other sources share the rest.
 MIX_TARGETS = {"src0": 0.15, "src1": 0.10, "src2": 0.08, "src3": 0.02, "src4": 0.01}
 
 BPE_RANKS = "byte_bpe_50k.tiktoken"
 
+#: Special tokens of the same vocabulary.
+BPE_SPECIAL = {"<|endoftext|>": 50256}
+
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents repeated to the target weights, in random order."""
@@ -60,14 +63,10 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(documents(spark, sf_dir), model)
 
 
-def token_digests(docs: DataFrame, *more: Column) -> DataFrame:
-    """``doc_id``, number of tokens and digests of ids and decoded bytes."""
-    ship(docs.sparkSession)
-    path, pattern = public_tokenizers.path(BPE_RANKS), public_tokenizers.PATTERN
-    coded = bpe.tokenize(docs, path, pattern)
-    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
-                        bpe.id_digest(F.col("ids")).alias("ids_sha256"),
-                        F.sha2("decoded", 256).alias("decoded_sha256"), *more)
+def token_digests(docs: DataFrame, *more: str) -> DataFrame:
+    """``doc_id``, number of tokens, digests of ids and decoded bytes, and ``more`` outputs of the tokenizer."""
+    outputs = ("n_tokens", "ids_sha256", "decoded_sha256", *more)
+    return bpe.tokenize(docs, public_tokenizers.path(BPE_RANKS), public_tokenizers.PATTERN, outputs)
 
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,6 +84,22 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(documents(spark, sf_dir))
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The token pieces of all documents, packed into sequences of at most 1024 tokens."""
+    return packing.pack_documents(documents(spark, sf_dir), public_tokenizers.path(BPE_RANKS), public_tokenizers.PATTERN,
+                                  BPE_SPECIAL, capacity=1024, end_id=2)
+
+
+def op12_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words in every document, of which every tenth gets a periodic tail first."""
+    return periodic.periodic_runs(documents(spark, sf_dir), periodic.DIGESTS, periodic.repeat_tail)
+
+
+def op13_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove per source in all their orders."""
+    return audit.audit(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_licences": op2_licences,
@@ -96,4 +111,7 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_fingerprints": op9_fingerprints,
     "op10_quality": op10_quality,
+    "op11_packing": op11_packing,
+    "op12_periodic": op12_periodic,
+    "op13_audit": op13_audit,
 }

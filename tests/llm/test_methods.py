@@ -378,7 +378,7 @@ def test_rules_run_without_user_functions(docs):
     assert not re.search("Python|Pandas|Arrow|Exchange", plan)
 
 
-@pytest.mark.parametrize("name", ["op1_mixing", "op10_quality"])
+@pytest.mark.parametrize("name", ["op1_mixing", "op10_quality", "op13_audit"])
 def test_queries_match_their_sql(spark, name):
     from costlens.llm.oracle import llm_oracle_sql
     from costlens.suite.check import compare, duck
