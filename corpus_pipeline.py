@@ -45,7 +45,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, with digests of ids and decoded bytes."""
-    return queries.token_digests(docs, F.col("ids"))
+    return queries.token_digests(docs, "ids")
 
 
 STAGES = [
