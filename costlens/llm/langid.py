@@ -8,10 +8,16 @@ is known, those one character shorter, down to single characters; the mean log
 frequency of the known ones is the word's score.  A word of which nothing is
 known scores nothing.  A document's language has the highest mean over its words.
 
+The score is the share of the language in the odds, times the evidence: the mean over
+the words of how much of them is known (a known word 1, an unseen one the length
+of its longest known n-grams over the longest it could have had), squared, so that
+letters in random order, of which only short n-grams are known, score low in any language.
+
 The model is fitted on a bounded sample of the labelled documents
-(``docs_per_lang`` of each language, chosen by a hash of the id) and keeps at
-most ``max_words`` words and ``max_grams`` n-grams of each language, so the
+(about ``docs_per_lang`` different texts of each language, chosen by a hash of id and text)
+and keeps at most ``max_words`` words and ``max_grams`` n-grams of each language, so the
 broadcast model has a size bound of its own; predictions read every document whole.
+A task remembers the scores of words, in two generations, and forgets them when it ends.
 
 Edge cases: a null, empty or letterless text is ``und`` with score 0; without any
 labelled document every text is ``und``; a document of letters of which no
@@ -23,6 +29,7 @@ results; other columns are ignored.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -37,8 +44,8 @@ UNDETERMINED = "und"
 #: Letters of any script, in a row (signs such as superscript digits also count here, and score nothing).
 WORDS = re.compile(r"[^\W\d_]+").findall
 
-#: Words remembered by one Python worker before its memory is emptied.
-CACHE_WORDS = 400_000
+#: Words of each of the two generations of a task's memory.
+CACHE_WORDS = 150_000
 
 #: Words that count towards the confidence at most: a long text is not surer than this many words make it.
 SURE_WORDS = 20
@@ -56,42 +63,57 @@ class LanguageModel:
     gram_scores: np.ndarray | None = None
     usual: int = 0
 
-    def unseen(self, word: str) -> np.ndarray:
-        """Scores of a word that is not known, from its longest known n-grams."""
+    def unseen(self, word: str) -> tuple[np.ndarray, float]:
+        """Scores and evidence of a word that is not known, from its longest known n-grams."""
         marked = f"<{word}>"
-        for n in range(min(self.longest, len(marked)), 0, -1):
+        most = min(self.longest, len(marked))
+        for n in range(most, 0, -1):
             source = marked if n > 1 else word
             hits = [self.grams[g] for i in range(len(source) - n + 1) if (g := source[i : i + n]) in self.grams]
             if hits:
-                return np.add.reduce(self.gram_scores[hits], axis=0) / len(hits)
-        return np.zeros(len(self.langs))
+                known = len(hits) / (len(source) - n + 1)
+                return np.add.reduce(self.gram_scores[hits], axis=0) / len(hits), (n - 1 + known) / most
+        return np.zeros(len(self.langs)), 0.0
 
-    def score(self, word: str) -> np.ndarray:
+    def score(self, word: str) -> tuple[np.ndarray, float]:
         row = self.words.get(word)
-        return self.unseen(word) if row is None else self.word_scores[row]
+        return self.unseen(word) if row is None else (self.word_scores[row], 1.0)
 
 
 class Predictor:
-    """A model with a bounded memory of word scores, one per Python worker."""
+    """A model with a bounded memory of the scores (and, in the last column, evidence) of words."""
 
     def __init__(self, model: LanguageModel):
         self.model = model
-        self.memory = np.zeros((CACHE_WORDS, max(1, len(model.langs))))
         self.rows: dict[str, int] = {}
+        self.memory = self._table()
+        self.old: dict[str, int] = {}
+        self.old_memory = self.memory
+
+    def _table(self) -> np.ndarray:
+        return np.zeros((CACHE_WORDS, len(self.model.langs) + 1))
+
+    def _remember(self, words: set[str]) -> None:
+        new = words.difference(self.rows)
+        if len(self.rows) + len(new) > CACHE_WORDS:
+            self.old, self.old_memory = self.rows, self.memory
+            self.rows, self.memory = {}, self._table()
+            new = words
+        for word in new:
+            at = len(self.rows)
+            before = self.old.get(word)
+            if before is None:
+                self.memory[at, :-1], self.memory[at, -1] = self.model.score(word)
+            else:
+                self.memory[at] = self.old_memory[before]
+            self.rows[word] = at
 
     def total(self, words: list[str]) -> np.ndarray:
-        """Sum of the scores of any number of words."""
+        """Sum of the scores and evidence of any number of words."""
         total = np.zeros(self.memory.shape[1])
-        for start in range(0, len(words), CACHE_WORDS // 2):
-            part = words[start : start + CACHE_WORDS // 2]
-            new = set(part).difference(self.rows)
-            if len(self.rows) + len(new) > CACHE_WORDS:
-                self.rows.clear()
-                new = set(part)
-            for word in new:
-                at = len(self.rows)
-                self.memory[at] = self.model.score(word)
-                self.rows[word] = at
+        for start in range(0, len(words), CACHE_WORDS):
+            part = words[start : start + CACHE_WORDS]
+            self._remember(set(part))
             total += self.memory[np.fromiter(map(self.rows.__getitem__, part), dtype=np.int64, count=len(part))].sum(axis=0)
         return total
 
@@ -100,15 +122,16 @@ class Predictor:
             return UNDETERMINED, 0.0
         words = WORDS(text.lower())
         total = self.total(words)
+        total, evidence = total[:-1], total[-1] / max(1, len(words))
         if not total.any():
             return self.model.langs[self.model.usual], 0.0
         best = int(total.argmax())
         odds = (total - total[best]) * (min(len(words), SURE_WORDS) / len(words))
-        return self.model.langs[best], float(1.0 / np.exp(odds).sum())
+        return self.model.langs[best], float(min(1.0, evidence**2 / np.exp(odds).sum()))
 
 
 def sample_by_language(docs: DataFrame, docs_per_lang: int) -> DataFrame:
-    """About ``docs_per_lang`` documents of each language at most, chosen by a hash of the id.
+    """About ``docs_per_lang`` different texts of each language at most, chosen by a hash of id and text.
 
     Languages with fewer documents keep them all.  Columns ``lang``, ``text``.
     """
@@ -117,11 +140,12 @@ def sample_by_language(docs: DataFrame, docs_per_lang: int) -> DataFrame:
     counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     rare = [x for x, n in counts.items() if n <= docs_per_lang]
     keep = F.col("lang").isin(rare) if rare else F.lit(False)
-    draw = F.pmod(F.xxhash64(F.lit("langid"), F.col("doc_id")), F.lit(1 << 30))
+    draw = F.pmod(F.xxhash64(F.lit("langid"), F.col("doc_id"), F.col("text")), F.lit(1 << 30))
     for lang, n in counts.items():
         if n > docs_per_lang:
             keep = keep | ((F.col("lang") == lang) & (draw < int(docs_per_lang / n * (1 << 30))))
-    return labelled.where(keep).select("lang", "text")
+    # repeated rows share their draw; one of them is enough
+    return labelled.where(keep).select("lang", "text").distinct()
 
 
 def train(docs: DataFrame, docs_per_lang: int = 1500, max_words: int = 20_000, max_grams: int = 20_000,
@@ -173,26 +197,15 @@ def train(docs: DataFrame, docs_per_lang: int = 1500, max_words: int = 20_000, m
     return model
 
 
-_PREDICTORS: dict[int, Predictor] = {}
-
-
-def predictor_of(model: LanguageModel) -> Predictor:
-    """The worker's predictor of a broadcast model, which stays in the worker between tasks."""
-    predictor = _PREDICTORS.get(id(model))
-    if predictor is None or predictor.model is not model:
-        _PREDICTORS.clear()
-        predictor = _PREDICTORS[id(model)] = Predictor(model)
-    return predictor
-
-
 def predict(text: Column, shared_model) -> Column:
     """Struct ``lang_pred``, ``score`` of a text column; ``shared_model`` is a broadcast :class:`LanguageModel`."""
 
     @F.pandas_udf("lang_pred string, score double")
-    def language(texts: pd.Series) -> pd.DataFrame:
-        predictor = predictor_of(shared_model.value)
-        found = [predictor.predict(t if isinstance(t, str) else None) for t in texts]
-        return pd.DataFrame({"lang_pred": [x[0] for x in found], "score": [x[1] for x in found]})
+    def language(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        predictor = Predictor(shared_model.value)
+        for texts in batches:
+            found = [predictor.predict(t if isinstance(t, str) else None) for t in texts]
+            yield pd.DataFrame({"lang_pred": [x[0] for x in found], "score": [x[1] for x in found]})
 
     return language(text)
 

@@ -292,13 +292,13 @@ def one_of_each(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, max_bits: i
                 segments: int = 5) -> DataFrame:
     """The rows of ``docs`` without near-duplicates: of each group the row of the smallest ``doc_id``.
 
-    Among rows of the same id the smallest text hash decides; identical rows
+    Among rows of the same id the smallest hash of all columns decides; identical rows
     are one.  Rows without an id only stay if their group has no other.
     """
-    own = docs.withColumn("_text_hash", F.xxhash64("text"))
-    rows = grouped(own.select("doc_id", "text", "_text_hash"), shingle_words, max_bits, segments, ("doc_id", "_text_hash"))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_text_hash")).alias("first")
-    kept = rows.groupBy("root").agg(first).select(F.col("first.doc_id").alias("_id"), F.col("first._text_hash").alias("_hash"))
+    own = docs.withColumn("_row_hash", F.xxhash64(*docs.columns))
+    rows = grouped(own.select("doc_id", "text", "_row_hash"), shingle_words, max_bits, segments, ("doc_id", "_row_hash"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row_hash")).alias("first")
+    kept = rows.groupBy("root").agg(first).select(F.col("first.doc_id").alias("_id"), F.col("first._row_hash").alias("_hash"))
     kept = kept.groupBy("_id", "_hash").agg(F.count("*").alias("_groups"))
-    same = own["doc_id"].eqNullSafe(kept["_id"]) & (own["_text_hash"] == kept["_hash"])
-    return own.join(kept, same).dropDuplicates(["doc_id", "_text_hash"]).select(*docs.columns)
+    same = own["doc_id"].eqNullSafe(kept["_id"]) & (own["_row_hash"] == kept["_hash"])
+    return own.join(kept, same).dropDuplicates(["doc_id", "_row_hash"]).select(*docs.columns)

@@ -77,6 +77,22 @@ def test_language_stage_drops_what_it_rejects(spark, edge):
     assert ids >= {1, 2, 7, 12} and not ids & {3, 4, 5, 6, 10}
 
 
+def test_language_stage_drops_letters_in_random_order(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    noise = "qxz vkjw pzxq jjvk wqxz kvzj xqpw zzkq vjxw qkzp " * 9
+    odd = spark.createDataFrame([(-1, noise, None, "src0", len(noise))], docs.schema)
+    kept = {r["doc_id"] for r in corpus_pipeline.language_id(spark, docs.unionByName(odd), "").select("doc_id").collect()}
+    assert -1 not in kept
+    assert kept >= {r["doc_id"] for r in docs.where("text rlike '[a-zA-Z]{3}'").select("doc_id").collect()}
+
+
+def test_one_of_rows_that_differ_beside_id_and_text_stays(spark):
+    rows = [(1, "some text of a few words", lang, "s", 24) for lang in ("en", "de", "fr", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = [corpus_pipeline.near_duplicates(spark, d, "").collect() for d in (docs, docs.orderBy("lang"), docs.repartition(3))]
+    assert len(kept[0]) == 1 and kept[0] == kept[1] == kept[2]
+
+
 def test_pii_stage_replaces(spark):
     docs = spark.createDataFrame([(1, "mail jane.doe@example.org or +1 (555) 010-9999 now", "en", "s", 51)],
                                  "doc_id long, text string, lang string, source string, n_chars long")

@@ -144,10 +144,15 @@ def test_language_of_held_out_documents(spark):
 def test_unseen_words_back_off_to_shorter_grams():
     model = langid.LanguageModel(["x", "y"], 3, {"ab": 0}, np.array([[-1.0, -2.0]]),
                                  {"<ca": 0, "at>": 1, "t": 2}, np.array([[-1.0, -5.0], [-3.0, -1.0], [-9.0, -4.0]]))
-    assert model.score("ab").tolist() == [-1.0, -2.0]
-    assert model.score("cat").tolist() == [-2.0, -3.0]  # both known trigrams
-    assert model.score("tt").tolist() == [-9.0, -4.0]  # no trigram or bigram is known
-    assert model.score("zz").tolist() == [0.0, 0.0]
+
+    def scored(word):
+        scores, evidence = model.score(word)
+        return scores.tolist(), round(evidence, 3)
+
+    assert scored("ab") == ([-1.0, -2.0], 1.0)
+    assert scored("cat") == ([-2.0, -3.0], 0.889)  # both known trigrams, of three
+    assert scored("tt") == ([-9.0, -4.0], 0.333)  # no trigram or bigram is known
+    assert scored("zz") == ([0.0, 0.0], 0.0)
     assert langid.Predictor(model).predict("123 !?") == ("und", 0.0)
     assert langid.Predictor(model).predict("ab ab")[0] == "x"
 
@@ -157,6 +162,36 @@ def test_sample_is_bounded(spark, docs):
     assert len(counts) == 4 and all(r["count"] <= 45 for r in counts)
 
 
+def test_memory_of_two_generations_gives_the_same_scores(monkeypatch, texts):
+    model = langid.LanguageModel(["x", "y"], 2, {"the": 0}, np.array([[-1.0, -2.0]]),
+                                 {c: i for i, c in enumerate("abcdefgh")}, -np.arange(1.0, 17.0).reshape(8, 2))
+    want = [langid.Predictor(model).predict(t) for t in texts.values()]
+    monkeypatch.setattr(langid, "CACHE_WORDS", 40)
+    small = langid.Predictor(model)
+    for t, (lang, score) in zip(texts.values(), want):
+        found = small.predict(t)
+        assert found[0] == lang and found[1] == pytest.approx(score)
+
+
+def test_rows_without_an_id_keep_every_language(spark):
+    docs = documents(spark, "/root/testdata/sf0.01").withColumn("doc_id", F.lit(None).cast("long"))
+    model = langid.train(docs, docs_per_lang=20)
+    assert model.langs == ["de", "en", "es", "fr"]
+    repeated = docs.limit(1).withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(500))))
+    assert langid.sample_by_language(repeated, 20).count() <= 1
+
+
+def test_letters_in_random_order_score_low(spark):
+    docs = documents(spark, "/root/testdata/sf0.01")
+    predictor = langid.Predictor(langid.train(docs.where(~queries.held_out())))
+    rng = random.Random(9)
+    noise = [" ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9))) for _ in range(80))
+             for _ in range(50)]
+    assert all(predictor.predict(t)[1] < 0.3 for t in noise)
+    clean = [predictor.predict(r["text"])[1] for r in docs.where(queries.held_out()).collect()]
+    assert min(s for s in clean if s > 0) > 0.3
+
+
 # -- personal data ---------------------------------------------------------------------------
 
 
