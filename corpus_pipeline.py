@@ -20,10 +20,14 @@ from costlens.llm.common import DOCUMENT_COLUMNS, documents
 from costlens.session import ensure_checkpoint_dir
 
 
+#: Least score of a language (see ``langid``): letters in random order stay below, held-out documents well above.
+LEAST_SCORE = 0.3
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a recognisable language; fills in languages that are not given."""
     found = langid.identify(docs, langid.train(docs), DOCUMENT_COLUMNS)
-    known = found.where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") > 0))
+    known = found.where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= LEAST_SCORE))
     return known.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*DOCUMENT_COLUMNS)
 
 
