@@ -18,22 +18,31 @@ F4 — status cost attribution
     previous run.  Written literally that is one window over a single partition.
 
     Here it is a parallel prefix scan.  The global order is cut into slices at
-    run keys and usage ends that a bounded key sample gives (:func:`attribution_bounds`),
+    run keys and usage ends that a key sample gives (:func:`attribution_bounds`),
     so a row's slice is a pure function of its keys, whatever is recomputed.
-    One shuffle brings a slice together, one window pass computes its running
-    sums, and only its terminal rows and its last row are kept and
-    checkpointed.  One row per slice yields the cost carried into each slice;
-    the first terminal row of a slice adds that carry.  Only those summary rows
-    ever meet in a single partition.
+    A slice's number is its shuffle partition (``repartitionById``), so every task has
+    one slice; one window pass computes its running sums, and only its terminal rows
+    and its last row are kept and checkpointed.  One row per slice yields the
+    cost carried into each slice; the first terminal row of a slice adds that
+    carry.  Only those summary rows ever meet in a single partition.
+
+    A pass has at most ``PASS_SLICES`` slices.  A window that needs more is first
+    written in as many ranges of the order as it takes, and every range is
+    sliced by a sample of its own rows, so the rows of a slice stay near
+    ``SLICE_ROWS`` whatever the size of the window.  (Rows of one run and one usage
+    end are never separated.)
 """
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Sequence
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, Observation, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.dates import hour_floor
 from ..session import ensure_checkpoint_dir
@@ -42,52 +51,72 @@ RUN_KEYS = ["workspace_id", "job_id", "run_id"]
 DEFAULT_TIEBREAK = ["period_end_time", "period_start_time", "slice_id", "record_id", "price_start_time"]
 COSTS = ("list_cost", "effective_cost")
 
-#: Usage rows of a slice, slices at most, and keys sampled for their bounds.
+#: Rows of a slice, slices of a pass, and keys sampled for every slice (its size has a deviation of about 1/6).
 SLICE_ROWS = 250_000
-MAX_SLICES = 2000
-SAMPLE_KEYS = 10_000
+PASS_SLICES = 4096
+KEYS_PER_SLICE = 32
 
 
 class Bounds(NamedTuple):
-    """First and last usage start, and the last (run keys, usage end) of every slice but the last."""
+    """First and last usage start, the last (run keys, usage end) of every slice but the last,
+    and the same for the ranges that are sliced each for itself (none if one pass does)."""
 
     span: tuple
     cuts: list[tuple]
+    ranges: list[tuple]
+
+
+def _sampled_cuts(keys: DataFrame, draw: Column, slices: int) -> list[tuple]:
+    """At most ``slices - 1`` ascending values of the first four columns that cut rows into about equal slices.
+
+    The driver gets the ``KEYS_PER_SLICE * slices`` keys of the smallest ``draw``.
+    """
+    if slices <= 1:
+        return []
+    sample = keys.withColumn("_draw", draw).orderBy("_draw").limit(KEYS_PER_SLICE * slices).collect()
+    found = sorted((tuple(r)[:4] for r in sample), key=lambda k: [(x is not None, x) for x in k])
+    cuts = [found[len(found) * i // slices - 1] for i in range(1, slices) if len(found) * i // slices]
+    return list(dict.fromkeys(cuts))
 
 
-def attribution_bounds(usage: DataFrame, num_slices: int | None = None) -> Bounds:
-    """Slice bounds and time span of a usage window, from one pass over its keys.
+def attribution_bounds(usage: DataFrame, num_slices: int | None = None, slice_rows: int = SLICE_ROWS,
+                       pass_slices: int = PASS_SLICES) -> Bounds:
+    """Slice bounds and time span of a usage window, from its keys.
 
-    The driver gets the ``SAMPLE_KEYS`` keys of the smallest hashes, whatever the
-    size of the window; the number of slices follows the number of rows.
+    The number of slices follows the number of rows; a window of one slice is only
+    counted.  Beyond ``pass_slices`` slices the bounds are those of ranges of that many slices.
     """
-    seen = Observation()
     start = F.col("usage_start_time")
-    watched = usage.select(
-        "workspace_id", F.col("usage_metadata.job_id").alias("job_id"), F.col("usage_metadata.job_run_id").alias("run_id"),
-        "usage_end_time", start, F.xxhash64("record_id", "usage_start_time").alias("draw"),
-    ).observe(seen, F.count(F.lit(1)).alias("rows"), F.min(start).alias("lo"), F.max(start).alias("hi"))
-    sample = watched.orderBy("draw").limit(SAMPLE_KEYS).collect()
-    found = seen.get
-    slices = num_slices or min(MAX_SLICES, found["rows"] // SLICE_ROWS + 1)
-    keys = sorted({tuple(r[:4]) for r in sample}, key=lambda k: [(x is not None, x) for x in k])
-    cuts = sorted({len(keys) * i // slices for i in range(1, slices)} - {0})
-    return Bounds((found["lo"], found["hi"]), [keys[i - 1] for i in cuts])
+    seen = usage.agg(F.count(F.lit(1)).alias("rows"), F.min(start).alias("lo"), F.max(start).alias("hi")).first()
+    slices = num_slices or seen["rows"] // slice_rows + 1
+    keys = usage.select("workspace_id", F.col("usage_metadata.job_id").alias("job_id"),
+                        F.col("usage_metadata.job_run_id").alias("run_id"), "usage_end_time", "record_id", "usage_start_time")
+    draw = F.xxhash64("record_id", "usage_start_time")
+    parts = slices if slices <= pass_slices else -(-slices // pass_slices)
+    cuts = _sampled_cuts(keys, draw, parts)
+    span = (seen["lo"], seen["hi"])
+    return Bounds(span, cuts, []) if slices <= pass_slices else Bounds(span, [], cuts)
 
 
 def slice_of(order: Sequence[str], cuts: Sequence[tuple]) -> Column:
-    """Index of the slice of a row: how many cuts its first keys are above, by a balanced CASE tree."""
-    key = F.struct(*[F.col(c) for c in order[:len(cuts[0])]]) if cuts else None
-    types = ["string"] * len(RUN_KEYS) + ["timestamp"]
+    """Index of the slice of a row, how many cuts its first keys are above: halving over one array literal."""
+    if not cuts:
+        return F.lit(0)
+    # times as microseconds; the array is folded into one literal of the plan
+    rows = [[*k[:3], None if k[3] is None else round(k[3].timestamp() * 1_000_000)] for k in cuts]
+    kind = "array<struct<w:string,j:string,r:string,t:bigint>>"
+    bounds = F.from_json(F.lit(json.dumps([dict(zip("wjrt", k)) for k in rows])), kind)
+    key = F.struct(*[F.col(c).cast("string").alias(n) for c, n in zip(order, "wjr")],
+                   F.unix_micros(F.col(order[3]).cast("timestamp")).alias("t"))
+    steps = F.sequence(F.lit(1), F.lit(len(cuts).bit_length()))
 
-    def tree(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        bound = F.struct(*[F.lit(v).cast(t).alias(c) for v, t, c in zip(cuts[mid], types, order)])
-        return F.when(key <= bound, tree(lo, mid)).otherwise(tree(mid + 1, hi))
+    def halve(at: Column, _: Column) -> Column:
+        mid = F.floor((at["lo"] + at["hi"]) / 2).cast("int")
+        below = key <= F.get(bounds, mid)
+        return F.when(at["lo"] >= at["hi"], at).otherwise(F.struct(
+            F.when(below, at["lo"]).otherwise(mid + 1).alias("lo"), F.when(below, mid).otherwise(at["hi"]).alias("hi")))
 
-    return tree(0, len(cuts))
+    return F.aggregate(steps, F.struct(F.lit(0).alias("lo"), F.lit(len(cuts)).alias("hi")), halve, lambda at: at["lo"])
 
 
 def timeline_hour_join(usage: DataFrame, timeline: DataFrame, span: tuple | None = None) -> DataFrame:
@@ -155,23 +184,52 @@ def attribute_status_cost(rows: DataFrame, order: Sequence[str], cuts: Sequence[
     of every slice are checkpointed eagerly (to ``spark.checkpoint.dir``), as
     both the summary and the result read them.
     """
+    return _carried(_scanned(rows, order, cuts, costs), costs)
+
+
+def attribute_in_ranges(rows: DataFrame, order: Sequence[str], ranges: Sequence[tuple], slice_rows: int = SLICE_ROWS,
+                        pass_slices: int = PASS_SLICES, costs: Sequence[str] = COSTS) -> DataFrame:
+    """F4 over more slices than one pass has: the rows are written by ranges of the order, then
+    every range is sliced and scanned by itself, and the carries of all slices are combined."""
+    spark = rows.sparkSession
+    folder = f"{ensure_checkpoint_dir(spark)}/attribution-{uuid.uuid4()}"
+    rows.withColumn("_range", slice_of(order, ranges)).write.partitionBy("_range").parquet(folder)
+    written = spark.read.schema(T.StructType([*rows.schema, T.StructField("_range", T.IntegerType())])).parquet(folder)
+    scanned, first = None, 0
+    for k in range(len(ranges) + 1):
+        part = written.where(F.col("_range") == k).drop("_range")
+        slices = min(pass_slices, part.count() // slice_rows + 1)
+        cuts = _sampled_cuts(part.select(*order), F.xxhash64(*order), slices)
+        local = _scanned(part, order, cuts, costs, first)
+        scanned = local if scanned is None else scanned.unionByName(local)
+        first += len(cuts) + 1
+    return _carried(scanned, costs)
+
+
+def _scanned(rows: DataFrame, order: Sequence[str], cuts: Sequence[tuple], costs: Sequence[str], first: int = 0) -> DataFrame:
+    """Running sums within slices numbered from ``first``; keeps terminal rows and the last row of each slice."""
     ensure_checkpoint_dir(rows.sparkSession)
     asc = [F.col(c).asc_nulls_first() for c in order]
     is_term = F.col("result_state").isNotNull()
     ordered = Window.partitionBy("_slice").orderBy(*asc)
     running = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = ordered.rowsBetween(Window.unboundedPreceding, -1)
-    local = (rows.withColumn("_slice", slice_of(order, cuts)).repartition(len(cuts) + 1, "_slice")
-             .withColumns({f"_cum_{c}": F.sum(c).over(running) for c in costs})
-             # same partitioning and order: evaluated in the same pass, no further shuffle or sort
-             .withColumns({"_place": F.row_number().over(ordered),
-                           "_end": F.lead(F.lit(False), 1, True).over(ordered),
-                           "_seen": F.max(is_term.cast("int")).over(before),
-                           **{f"_prev_{c}": F.last(F.when(is_term, F.struct(F.col(f"_cum_{c}").alias("v"))),
-                                                   ignorenulls=True).over(before)["v"] for c in costs}})
-             .where(is_term | F.col("_end"))
-             .checkpoint(eager=True))
+    return (rows.withColumn("_slice", slice_of(order, cuts)).repartitionById(len(cuts) + 1, F.col("_slice"))
+            .withColumns({f"_cum_{c}": F.sum(c).over(running) for c in costs})
+            # same partitioning and order: evaluated in the same pass, no further shuffle or sort
+            .withColumns({"_place": F.row_number().over(ordered),
+                          "_end": F.lead(F.lit(False), 1, True).over(ordered),
+                          "_seen": F.max(is_term.cast("int")).over(before),
+                          **{f"_prev_{c}": F.last(F.when(is_term, F.struct(F.col(f"_cum_{c}").alias("v"))),
+                                                  ignorenulls=True).over(before)["v"] for c in costs}})
+            .where(is_term | F.col("_end"))
+            .withColumn("_slice", F.col("_slice") + first)
+            .checkpoint(eager=True))
 
+
+def _carried(local: DataFrame, costs: Sequence[str]) -> DataFrame:
+    """Adds to the first terminal row of every slice the cost carried into the slice."""
+    is_term = F.col("result_state").isNotNull()
     # One row per slice: does it hold a terminal row, and the cost after its last one.
     last_key = F.when(is_term, F.col("_place"))
     summary = local.groupBy("_slice").agg(
@@ -188,8 +246,8 @@ def attribute_status_cost(rows: DataFrame, order: Sequence[str], cuts: Sequence[
                                          for c in costs])
 
     term = local.where(is_term).withColumn("_first", F.coalesce(F.col("_seen"), F.lit(0)) == 0)
-    # The summary has one row per slice, so its size is bounded by the slice count.
-    term = term.join(F.broadcast(summary), "_slice", "left")
+    # one row per slice: Spark broadcasts it where its measured size allows
+    term = term.join(summary, "_slice", "left")
     out = term.withColumns({
         f"status_{c}": F.col(f"_cum_{c}") - F.coalesce(F.col(f"_prev_{c}"), F.lit(0))
         + F.when(F.col("_first"), F.coalesce(F.col(f"_in_{c}"), F.lit(0))).otherwise(F.lit(0))

@@ -21,6 +21,17 @@ def _predicate(col: str, selection) -> Column | None:
     return F.col(col) == F.lit(selection)
 
 
+def equal_or_in(df: DataFrame, filters: Mapping[str, object]) -> DataFrame:
+    """AND of ``col = value`` / ``col IN (values)``; only None and empty lists are no filter,
+    so ``''``, ``0`` and ``False`` are compared."""
+    for name, wanted in filters.items():
+        if isinstance(wanted, (list, tuple, set, frozenset)):
+            df = df.where(F.col(name).isin(*wanted)) if wanted else df
+        elif wanted is not None:
+            df = df.where(F.col(name) == F.lit(wanted))
+    return df
+
+
 def filter_in(df: DataFrame, selections: Mapping[str, object]) -> DataFrame:
     """AND of ``col IN values`` (list) / ``col = value`` (scalar).
 

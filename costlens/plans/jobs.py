@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from ..fixed import FAILURE_STATES, LOOKBACK_DAYS, PRODUCT_JOBS, SUCCEEDED, TREND_LOOKBACK_DAYS
 from ..functions.dates import as_date, days_before, growth_pct, midnight, seconds_between
-from ..operators.attribution import (attribute_status_cost, attribution_bounds, attribution_order,
-                                      timeline_hour_join)
+from ..operators.attribution import (attribute_in_ranges, attribute_status_cost, attribution_bounds,
+                                      attribution_order, timeline_hour_join)
 from ..operators.latest import latest_jobs
 from ..operators.picks import TAGS_KEY, sum_then_pick, with_tags_key
 from ..operators.pricing import priced_usage
@@ -108,8 +108,8 @@ def status_costs(usage: DataFrame, prices: DataFrame, timeline: DataFrame, as_of
 
     Columns: run keys, ``result_state``, ``run_as``, ``custom_tags``, the
     ordering columns, and ``status_list_cost`` / ``status_effective_cost``.
-    Building it reads the keys of the usage window once (slice bounds, time span)
-    and runs the checkpoint job of :func:`attribute_status_cost`.
+    Building it counts the usage window (and samples its keys where it needs more
+    than one slice), then runs the checkpoint job of :func:`attribute_status_cost`.
     """
     window = jobs_usage(usage, as_of, lookback_days)
     bounds = attribution_bounds(window, num_slices)
@@ -123,7 +123,10 @@ def status_costs(usage: DataFrame, prices: DataFrame, timeline: DataFrame, as_of
     # only terminal rows are in the result, so only they carry tags and user through the shuffle
     ends = F.col("result_state").isNotNull()
     rows = rows.withColumns({c: F.when(ends, F.col(c)) for c in ("custom_tags", "run_as")})
-    return attribute_status_cost(rows, attribution_order(rows), bounds.cuts)
+    order = attribution_order(rows)
+    if bounds.ranges:
+        return attribute_in_ranges(rows, order, bounds.ranges)
+    return attribute_status_cost(rows, order, bounds.cuts)
 
 
 def _is_failure(state: Column) -> Column:

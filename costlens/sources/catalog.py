@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators.filters import filter_in
+from ..operators.filters import equal_or_in
 from ..operators.topk import capped
 
 
@@ -22,7 +22,7 @@ def query_view(df: DataFrame, filters: Mapping[str, object] | None = None, limit
         raise ValueError(f"no such column: {', '.join(unknown)}")
     if limit is not None and not order:
         raise ValueError("a limit needs an order")
-    out = filter_in(df, filters or {})
+    out = equal_or_in(df, filters or {})
     return capped(out, limit, order) if limit is not None else out
 
 

@@ -7,7 +7,9 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import types as T
 
-from costlens.operators.attribution import attribute_status_cost, attribution_bounds, timeline_hour_join
+from costlens.operators.attribution import (attribute_in_ranges, attribute_status_cost, attribution_bounds, slice_of,
+                                            timeline_hour_join)
+from pyspark.sql import functions as F
 from conftest import usage_df, usage_row
 
 ORDER = ["workspace_id", "job_id", "run_id", "usage_end_time", "record_id"]
@@ -97,7 +99,7 @@ def test_bounds_come_from_the_usage_keys(spark):
     assert len(bounds.cuts) == 4 and bounds.cuts == sorted(bounds.cuts)
     assert bounds.span == (min(r[8] for r in rows), max(r[8] for r in rows))
     assert attribution_bounds(usage_df(spark, rows)).cuts == []        # few rows: one slice
-    assert attribution_bounds(usage_df(spark, [])) == ((None, None), [])
+    assert attribution_bounds(usage_df(spark, [])) == ((None, None), [], [])
 
 
 def test_one_slice_without_cuts(spark):
@@ -150,3 +152,46 @@ def test_given_span_equals_the_scanned_one(spark):
     span = attribution_bounds(usage).span
     for joined in (timeline_hour_join(usage, timeline), timeline_hour_join(usage, timeline, span)):
         assert [r.slice_id for r in joined.collect()] == [10]
+
+
+def test_one_run_with_half_of_all_rows_is_cut_below_twice_the_bound(spark):
+    """Slices follow the number of rows, and one task holds one slice."""
+    rows = [usage_row(i, f"2024-01-{1 + i % 28:02d} {i // 28 % 24:02d}:00:00", job_id="hot" if i % 2 else f"j{i % 9}",
+                      run_id="r1" if i % 2 else f"r{i % 31}") for i in range(6000)]
+    usage = usage_df(spark, rows)
+    bounds = attribution_bounds(usage, slice_rows=300)
+    assert len(bounds.cuts) == 20 and not bounds.ranges
+    keyed = usage.select("workspace_id", F.col("usage_metadata.job_id").alias("job_id"),
+                         F.col("usage_metadata.job_run_id").alias("run_id"), "usage_end_time")
+    order = ["workspace_id", "job_id", "run_id", "usage_end_time"]
+    dealt = keyed.withColumn("s", slice_of(order, bounds.cuts)).repartitionById(21, F.col("s"))
+    sizes = dealt.groupBy("s", F.spark_partition_id().alias("p")).count().collect()
+    assert all(r["s"] == r["p"] for r in sizes) and len(sizes) == 21
+    assert max(r["count"] for r in sizes) < 600 and sum(r["count"] for r in sizes) == 6000
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 7, 8, 9, 100])
+def test_slice_of_counts_the_cuts_below(spark, n):
+    rows = random_rows(n, 150)
+    keys = sorted({r[:4] for r in rows})[:n]
+    got = {r["record_id"]: r["s"] for r in spark.createDataFrame(rows, SCHEMA).withColumn("s", slice_of(ORDER, keys)).collect()}
+    assert got == {r[4]: sum(k < r[:4] for k in keys) for r in rows}
+
+
+@pytest.mark.parametrize("seed,hot", [(41, False), (42, True)])
+def test_ranges_equal_the_global_scan(spark, seed, hot):
+    """More slices than a pass has: ranges, each sliced by its own sample."""
+    rows = random_rows(seed, 240)
+    if hot:
+        rows = [("a", "1", "1") + r[3:] for r in rows[:120]] + rows[120:]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = {r["record_id"]: (r["status_list_cost"], r["status_effective_cost"])
+           for r in attribute_in_ranges(df, ORDER, cuts(rows, 4), slice_rows=20, pass_slices=3).collect()}
+    assert got == brute_force(rows)
+    assert set(attribute_in_ranges(df, ORDER, cuts(rows, 4), slice_rows=20).columns) == {*df.columns, "status_list_cost", "status_effective_cost"}
+
+
+def test_bounds_of_a_large_window_are_ranges(spark):
+    usage = usage_df(spark, [usage_row(i, f"2024-01-{1 + i % 20:02d} 05:00:00", run_id=f"r{i % 50}") for i in range(400)])
+    bounds = attribution_bounds(usage, slice_rows=5, pass_slices=9)
+    assert not bounds.cuts and len(bounds.ranges) == 8 and bounds.ranges == sorted(bounds.ranges)
