@@ -1,18 +1,21 @@
-"""Materialising the cost views (B1) and refreshing them together (B2)."""
+"""Materialising the cost views (B1), in presentation order (G1), and refreshing them together (B2)."""
 
 from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
+from typing import NamedTuple
 
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..fixed import LOOKBACK_DAYS, TREND_LOOKBACK_DAYS
 from ..functions.dates import days_before
 from ..operators.latest import latest_jobs
 from ..operators.picks import tags_order_key
+from ..operators.ranks import positions, ranged
 from ..session import ensure_checkpoint_dir
 from . import jobs as J
 from . import serverless as S
@@ -65,46 +68,122 @@ VIEW_ORDER: dict[str, tuple[str, list[str]]] = {
 }
 
 
-def sorted_view(name: str, df: DataFrame) -> DataFrame:
-    """G1: a view in its presentation order (a stored table keeps none, so this is applied on read)."""
+def view_order(name: str, df: DataFrame) -> list[Column]:
+    """G1: the presentation order of a view as sort expressions."""
     metric, keys = VIEW_ORDER[name]
     types = dict(df.dtypes)
     by = [tags_order_key(k) if types[k].startswith("map") else F.col(k) for k in keys]
-    return df.orderBy(F.col(metric).desc_nulls_last(), *[c.asc_nulls_first() for c in by])
+    return [F.col(metric).desc_nulls_last(), *[c.asc_nulls_first() for c in by]]
+
+
+def sorted_view(name: str, df: DataFrame) -> DataFrame:
+    """G1: a view in its presentation order."""
+    return df.orderBy(*view_order(name, df))
+
+
+def ranked_view(name: str, df: DataFrame) -> DataFrame:
+    """G1: a view with the ``position`` of each row in its presentation order."""
+    return positions(df, view_order(name, df))
 
 
 JOB_NAME_VIEWS = ["most_expensive_jobs", "most_expensive_job_runs", "job_spend_trend", "failed_jobs_analysis",
                   "job_retry_patterns"]
 
 
-def materialize(df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> str:
-    """B1: ``CREATE OR REPLACE`` as a catalog view over a versioned table.
+class RefreshConflict(RuntimeError):
+    """Another refresh committed a version of the view while this one was writing."""
+
+
+class Version(NamedTuple):
+    """A version of a view that is being written: its number, its table and the commit folder."""
+
+    view: str
+    number: int
+    table: str
+    commits: str
+
+
+def _split(name: str) -> tuple[str, str]:
+    database, _, view = name.rpartition(".")
+    return database, view
+
+
+def _folder(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def _last_commit(spark: SparkSession, commits: str) -> int:
+    """Number of the last committed version, 0 without any."""
+    fs, where = _folder(spark, commits)
+    return max((int(f.getPath().getName()) for f in fs.listStatus(where)), default=0) if fs.exists(where) else 0
+
+
+def _committed_table(spark: SparkSession, commits: str, number: int) -> str:
+    return spark.read.text(f"{commits}/{number}").first()[0]
+
+
+def begin_version(spark: SparkSession, name: str) -> Version:
+    """The version after the last committed one, to be written and then committed."""
+    database, view = _split(name)
+    location = spark.catalog.getDatabase(database or spark.catalog.currentDatabase()).locationUri
+    commits = f"{location.rstrip('/')}/_commits/{view}"
+    number = _last_commit(spark, commits) + 1
+    table = f"{view}__v{number:09d}_{uuid.uuid4().hex}"
+    return Version(name, number, f"{database}.{table}" if database else table, commits)
+
+
+def commit_version(spark: SparkSession, version: Version) -> None:
+    """Make a written version the view's: claim its number, switch the view, drop what is older than the version before.
+
+    The claim is a file that only one writer can create, so of two refreshes that
+    began from the same version the second is refused, whatever their order of
+    writing; its table is dropped and :class:`RefreshConflict` raised.  After switching the view the
+    writer looks whether a later version was committed meanwhile and switches
+    to that, so the view ends on the last committed version.
+    """
+    fs, where = _folder(spark, f"{version.commits}/{version.number}")
+    try:
+        out = fs.create(where, False)
+    except Py4JJavaError as error:
+        if not fs.exists(where):
+            raise
+        spark.sql(f"DROP TABLE IF EXISTS {version.table}")
+        raise RefreshConflict(f"{version.view}: version {version.number} was committed by another refresh") from error
+    out.write(bytearray(version.table.encode()))
+    out.close()
+    number, table = version.number, version.table
+    while True:
+        spark.sql(f"CREATE OR REPLACE VIEW {version.view} AS SELECT * FROM {table}")
+        last = _last_commit(spark, version.commits)
+        if last == number:
+            break
+        number, table = last, _committed_table(spark, version.commits, last)
+    database, view = _split(version.view)
+    prefix = f"{database}." if database else ""
+    listed = spark.sql(f"SHOW TABLES {'IN ' + database if database else ''} LIKE '{view}__v*'").collect()
+    for old in sorted(r["tableName"] for r in listed):
+        if int(old.rpartition("__v")[2].partition("_")[0]) < version.number - 1:
+            spark.sql(f"DROP TABLE IF EXISTS {prefix}{old}")
+
+
+def materialize(df: DataFrame, name: str, partition_by: Sequence[str] = (), order: Sequence[Column] = ()) -> str:
+    """B1: ``CREATE OR REPLACE`` as a catalog view over a versioned table, in files ranged by ``order``.
 
     The result is written to a table of its own, and the view ``name`` is switched
     to it in one catalog change after the write succeeded.  Until then, and if
     the write fails, readers see the previous version; that version's table is
     only dropped by the refresh after the next, so a reader that began before the
-    switch can finish.
+    switch can finish.  A version that another refresh is writing is never dropped:
+    its number is not below the last committed one (:func:`commit_version`).
     """
     spark = df.sparkSession
-    database, _, view = name.rpartition(".")
-    version = f"{view}__v{uuid.uuid4().hex}"
-    prefix = f"{database}." if database else ""
-    writer = df.write.mode("overwrite")
+    version = begin_version(spark, name)
+    writer = (ranged(df, order) if order else df).write.mode("overwrite")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    writer.saveAsTable(f"{prefix}{version}")
-    current = None
-    if spark.catalog.tableExists(name):
-        current = spark.sql(f"SHOW TBLPROPERTIES {name}").where("key = 'costlens.version'").collect()
-        current = current[0]["value"] if current else None
-    spark.sql(f"CREATE OR REPLACE VIEW {name} TBLPROPERTIES ('costlens.version' = '{version}') "
-              f"AS SELECT * FROM {prefix}{version}")
-    pattern = f"{view}__v*"
-    listed = spark.sql(f"SHOW TABLES {'IN ' + database if database else ''} LIKE '{pattern}'").collect()
-    for table in sorted(r["tableName"] for r in listed):
-        if table not in (version, current):
-            spark.sql(f"DROP TABLE IF EXISTS {prefix}{table}")
+    writer.saveAsTable(version.table)
+    commit_version(spark, version)
     return name
 
 
@@ -138,7 +217,8 @@ def refresh_all(spark: SparkSession, tables: dict[str, DataFrame], as_of=None, d
         t["_status_costs"] = J.status_costs(t["usage"], t["list_prices"], t["job_run_timeline"], as_of).checkpoint()
 
     def build(name: str) -> str:
-        return materialize(VIEWS[name](t, as_of), f"{database}.{name}" if database else name)
+        df = VIEWS[name](t, as_of)
+        return materialize(df, f"{database}.{name}" if database else name, order=view_order(name, df))
 
     if concurrent_views > 1:
         # independent views are submitted as concurrent Spark jobs; the scheduler interleaves their stages

@@ -92,18 +92,36 @@ def bulk_update_tags(resources: DataFrame, requests: DataFrame, tags: Mapping[st
 
     ``previous_tags`` / ``new_tags`` per resource; an unknown type or id, a job
     without settings or a pipeline without a spec gives ``success = false`` with an
-    error message and does not stop the others.
+    error message and does not stop the others.  Requests act in turn: a resource requested
+    again finds the tags that its first request left (the same change again alters nothing more).
+    Repeated requests are counted before the join, so a resource requested very often is one row of it.
     """
-    j = _requests_with_resources(resources, requests)
+    counted = requests.groupBy("resource_type", "resource_id").agg(F.count("*").alias("_times"))
+    r = resources.select("resource_type", "resource_id", "tags", "taggable")
+    j = (counted.join(r, ["resource_type", "resource_id"], "left")
+         .withColumn("_turn", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int")))))
     ok = _known(F.col("taggable"))
     new = merge_tags("tags", tags_literal(tags), operation)
+    previous = F.when(F.col("_turn") == 1, F.col("tags")).otherwise(new)
     return j.select("resource_type", "resource_id", ok.alias("success"),
-                    F.when(ok, F.col("tags")).alias("previous_tags"),
+                    F.when(ok, previous).alias("previous_tags"),
                     F.when(ok, new).alias("new_tags"),
                     F.when(ok, F.lit(operation)).alias("operation"),
                     _error(ok, NOT_TAGGABLE).alias("error"))
 
 
+def updates_in_turn(resources: DataFrame, requests: DataFrame,
+                    changes: Sequence[tuple[Mapping[str, str], str]]) -> DataFrame:
+    """L4 several times over the same requests: the results of every change (``turn`` from 1), each on
+    the tags that the ones before left."""
+    state, out = resources, None
+    for turn, (tags, operation) in enumerate(changes, 1):
+        result = bulk_update_tags(state, requests, tags, operation).withColumn("turn", F.lit(turn))
+        out = result if out is None else out.unionByName(result)
+        state = apply_tag_updates(state, requests, tags, operation)
+    return out
+
+
 def update_tags(resources: DataFrame, resource_type: str, resource_id: str, tags: Mapping[str, str],
                 operation: str = MERGE) -> DataFrame:
     """L3: tag change of one resource (a one-request bulk update)."""
