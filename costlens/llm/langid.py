@@ -33,7 +33,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,7 +45,7 @@ UNDETERMINED = "und"
 WORDS = re.compile(r"[^\W\d_]+").findall
 
 #: Words of each of the two generations of a task's memory.
-CACHE_WORDS = 150_000
+CACHE_WORDS = 60_000
 
 #: Words that count towards the confidence at most: a long text is not surer than this many words make it.
 SURE_WORDS = 20
@@ -200,14 +200,16 @@ def train(docs: DataFrame, docs_per_lang: int = 1500, max_words: int = 20_000, m
 def predict(text: Column, shared_model) -> Column:
     """Struct ``lang_pred``, ``score`` of a text column; ``shared_model`` is a broadcast :class:`LanguageModel`."""
 
-    @F.pandas_udf("lang_pred string, score double")
-    def language(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("lang_pred string, score double")
+    def language(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         predictor = Predictor(shared_model.value)
         for texts in batches:
-            found = [predictor.predict(t if isinstance(t, str) else None) for t in texts]
-            yield pd.DataFrame({"lang_pred": [x[0] for x in found], "score": [x[1] for x in found]})
+            found = [predictor.predict(t.as_py()) for t in texts]
+            yield pa.StructArray.from_arrays([pa.array([x[0] for x in found], pa.string()),
+                                              pa.array([x[1] for x in found], pa.float64())], ["lang_pred", "score"])
 
-    return language(text)
+    # marked so that a filter on the result does not evaluate it a second time
+    return language.asNondeterministic()(text)
 
 
 def identify(docs: DataFrame, model: LanguageModel, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
