@@ -38,7 +38,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces personal data in the texts by its kind."""
-    clean = pii.personal_data(docs).withColumn("text", pii.redact(F.col("text"), F.col("pii_spans")))
+    clean = pii.redact(docs)
     return clean.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), "n_chars")).select(*DOCUMENT_COLUMNS)
 
 
