@@ -168,21 +168,20 @@ def _views(_dbl, raw: bool) -> dict[str, str]:
           FROM priced_c WHERE billing_origin_product = 'JOBS' AND usage_date >= {D} - INTERVAL 14 DAY
           GROUP BY workspace_id, job_id, run_as, sku_name, tags_txt) s
     LEFT JOIN latest_jobs lj USING (workspace_id, job_id)""",
+        # runs and failures are filtered counts of the job's terminal slices in the window
         "failed_jobs_analysis": f"""
-    SELECT first(lj.name) AS name, rs.workspace_id, rs.job_id, COUNT(*) AS runs, fc.run_as, fc.custom_tags,
-      CAST(SUM(rs.is_failure) AS BIGINT) AS failures,
-      (1 - COALESCE(CASE WHEN COUNT(*) = 0 THEN NULL ELSE CAST(SUM(rs.is_failure) AS DOUBLE) / CAST(COUNT(*) AS DOUBLE) END, 0.0)) * 100 AS success_ratio,
-      {_dbl('first(fc.failure_list_cost)')} AS failure_list_cost, {_dbl('first(fc.failure_effective_cost)')} AS failure_effective_cost,
-      MAX(rs.last_seen_date) AS last_seen_date
-    FROM (SELECT workspace_id, job_id, CASE WHEN result_state IN ('ERROR','FAILED','TIMED_OUT') THEN 1 ELSE 0 END AS is_failure,
-            period_end_time AS last_seen_date
-          FROM job_run_timeline WHERE result_state IS NOT NULL AND period_end_time >= {D} - INTERVAL 30 DAY) rs
+    SELECT lj.name, t.workspace_id, t.job_id, t.runs, f.run_as, f.custom_tags, t.failures,
+      (1 - CAST(t.failures AS DOUBLE) / t.runs) * 100 AS success_ratio, {_dbl('f.list_cost')} AS failure_list_cost,
+      {_dbl('f.effective_cost')} AS failure_effective_cost, t.last_seen_date
+    FROM (SELECT workspace_id, job_id, count(*) AS runs, count(*) FILTER (result_state IN ('ERROR', 'FAILED', 'TIMED_OUT')) AS failures,
+            max(period_end_time) AS last_seen_date
+          FROM job_run_timeline WHERE result_state IS NOT NULL AND period_end_time >= {D} - INTERVAL 30 DAY
+          GROUP BY workspace_id, job_id) t
     LEFT JOIN latest_jobs lj USING (workspace_id, job_id)
-    LEFT JOIN (SELECT workspace_id, job_id, MIN(run_as) AS run_as, arg_min(tags_txt, tags_key) AS custom_tags,
-                 SUM(status_list_cost) AS failure_list_cost, SUM(status_effective_cost) AS failure_effective_cost
-               FROM status_cost WHERE result_state IN ('ERROR','FAILED','TIMED_OUT') GROUP BY workspace_id, job_id) fc
-      USING (workspace_id, job_id)
-    GROUP BY rs.workspace_id, rs.job_id, fc.run_as, fc.custom_tags""",
+    LEFT JOIN (SELECT workspace_id, job_id, min(run_as) AS run_as, arg_min(tags_txt, tags_key) AS custom_tags,
+                 sum(status_list_cost) AS list_cost, sum(status_effective_cost) AS effective_cost
+               FROM status_cost WHERE result_state IN ('ERROR', 'FAILED', 'TIMED_OUT') GROUP BY workspace_id, job_id) f
+      USING (workspace_id, job_id)""",
         "job_retry_patterns": f"""
     SELECT lj.name, r.workspace_id, r.job_id, r.run_id, fc.run_as, fc.custom_tags, r.cnt - 1 AS repairs,
       {_dbl('fc.list_cost')} AS repair_list_cost, {_dbl('fc.effective_cost')} AS repair_effective_cost,
