@@ -2,8 +2,8 @@
 
 Equal texts are a group and go to one shard, unless the group is more than
 1/``PARTS`` of a shard in bytes, tokens or rows, so that no balance would be
-possible; such a group is dealt into pieces by a hash of the ids first.  A group is
-a vector of bytes, tokens and rows; packing takes vectors by falling size and puts
+possible; such a group is dealt into pieces by serial numbers of the rows first, so rows
+of one id and text are dealt as well.  A group is a vector of bytes, tokens and rows; packing takes vectors by falling size and puts
 each where its dot product with the residual capacity is highest.
 
 It runs on two levels, so no task sees all groups.  Hash blocks of small groups are
@@ -12,10 +12,11 @@ above 1/``FINE`` of a shard, a table bounded by ``MAX_BINS`` and by ``FINE`` tim
 the shards, are then packed into the shards by the same rule.
 
 The law that holds is ``bytes``: shard sizes are near equal.  Slots number the
-rows of a shard without gaps, in hash order of blocks of rows.
+rows of a shard without gaps, block by block; rows come to blocks by serial number.
+Serial numbers follow the written table of rows, so a task that runs again finds the same.
 
 Edge cases: a null text counts as empty, of size 1; rows with the same id and
-text are numbered in any order; an empty table gives no rows; very long texts are
+text are numbered in any order; any number of rows may share an id, a null id or a text; an empty table gives no rows; very long texts are
 one group like any other; other columns are ignored.
 """
 
@@ -78,6 +79,7 @@ def shard(docs: DataFrame, shards: int = 16) -> DataFrame:
     words = F.when(trimmed == "", 0).otherwise(F.size(F.split(trimmed, WORD_GAP))).cast("long")
     rows = shared(docs.select("doc_id", (F.octet_length(text).cast("long") + 1).alias("size"),
                               F.crc32(text).alias("text_crc32"), words.alias("tokens"), F.xxhash64(text).alias("hash")))
+    rows = rows.withColumn("serial", F.monotonically_increasing_id())  # stable: the rows are written
     own = ["hash", "text_crc32", "size"]  # equal texts agree in these, different ones do not
     sums = [F.sum("size").alias("bytes"), F.sum("tokens").alias("tokens"), F.count("*").alias("rows")]
     groups = rows.groupBy(*own).agg(*sums)
@@ -90,7 +92,7 @@ def shard(docs: DataFrame, shards: int = 16) -> DataFrame:
     # at most shards * PARTS groups for each dimension
     large = [r["hash"] for r in groups.where(above(PARTS)).select("hash").collect()]
     is_large = F.col("hash").isin(large) if large else F.lit(False)
-    rows = rows.withColumn("piece", F.when(is_large, F.pmod(F.xxhash64("doc_id"), F.lit(PIECES))).otherwise(F.lit(-1)).cast("int"))
+    rows = rows.withColumn("piece", F.when(is_large, F.pmod(F.xxhash64("serial"), F.lit(PIECES))).otherwise(F.lit(-1)).cast("int"))
     key = [*own, "piece"]
     blocks = min(MAX_BLOCKS, (total["groups"] or 0) // BLOCK_GROUPS + 1)
     bins = max(16, MIN_BINS // blocks)
@@ -114,11 +116,11 @@ def shard(docs: DataFrame, shards: int = 16) -> DataFrame:
                   "hash long, text_crc32 long, size long, piece int, shard int")
     placed = table(spark, totals[["block", "bin"]].assign(shard=place[len(big) :]), "block int, bin int, shard int")
     where = packed.join(F.broadcast(placed), ["block", "bin"]).select(*key, "shard").unionByName(alone)
-    sharded = rows.join(where, key).withColumn("part", F.pmod(F.xxhash64("doc_id", "hash"), F.lit(SLOT_BLOCKS)).cast("int"))
+    sharded = rows.join(where, key).withColumn("part", F.pmod(F.xxhash64("serial", "hash"), F.lit(SLOT_BLOCKS)).cast("int"))
     sizes = sharded.groupBy("shard", "part").agg(F.count("*").alias("n"))
     earlier = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     first = sizes.select("shard", "part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("first"))
-    place = F.row_number().over(Window.partitionBy("shard", "part").orderBy("doc_id", "hash"))
+    place = F.row_number().over(Window.partitionBy("shard", "part").orderBy("serial"))
     numbered = sharded.withColumn("place", place).join(F.broadcast(first), ["shard", "part"])  # shards * SLOT_BLOCKS rows
     return numbered.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard",
                            (F.col("first") + F.col("place") - 1).cast("long").alias("slot"),

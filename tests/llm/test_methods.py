@@ -336,6 +336,20 @@ def test_a_hot_group_is_dealt_into_pieces(spark):
     assert size.max() - size.min() < 0.1 * size.mean()
 
 
+@pytest.mark.parametrize("ids", ["one", "null", "third null"])
+def test_rows_of_one_id_and_text_are_dealt(spark, ids):
+    n = 8000
+    doc_id = {"one": "CAST(7 AS long)", "null": "CAST(NULL AS long)", "third null": "IF(id % 3 = 0, NULL, id)"}[ids]
+    text = "IF(id % 3 = 0, 'the same text again', concat('text number ', id))" if ids == "third null" else "'the same text again'"
+    docs = spark.range(0, n, 1, 6).selectExpr(f"{doc_id} AS doc_id", f"{text} AS text")
+    out = sharding.shard(docs, 4).toPandas()
+    assert len(out) == n
+    size = out.groupby("shard")["size"].sum()
+    assert len(size) == 4 and size.max() - size.min() <= 0.05 * size.mean()
+    for _, of in out.groupby("shard"):
+        assert sorted(of.slot) == list(range(len(of)))
+
+
 def test_packing_follows_the_dot_product():
     vectors = np.array([[0.5, 0.1], [0.1, 0.5], [0.4, 0.4]])
     assert sharding.pack(vectors, 2).tolist() == [0, 1, 0]
