@@ -108,14 +108,15 @@ def _split(name: str) -> tuple[str, str]:
     return database, view
 
 
-def _folder(spark: SparkSession, path: str):
+def folder(spark: SparkSession, path: str):
+    """File system and path object of a path."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
 
 
 def _last_commit(spark: SparkSession, commits: str) -> int:
     """Number of the last committed version, 0 without any."""
-    fs, where = _folder(spark, commits)
+    fs, where = folder(spark, commits)
     return max((int(f.getPath().getName()) for f in fs.listStatus(where)), default=0) if fs.exists(where) else 0
 
 
@@ -123,11 +124,15 @@ def _committed_table(spark: SparkSession, commits: str, number: int) -> str:
     return spark.read.text(f"{commits}/{number}").first()[0]
 
 
+def database_location(spark: SparkSession, database: str | None) -> str:
+    """Folder of a database (none named: the current one)."""
+    return spark.catalog.getDatabase(database or spark.catalog.currentDatabase()).locationUri.rstrip("/")
+
+
 def begin_version(spark: SparkSession, name: str) -> Version:
     """The version after the last committed one, to be written and then committed."""
     database, view = _split(name)
-    location = spark.catalog.getDatabase(database or spark.catalog.currentDatabase()).locationUri
-    commits = f"{location.rstrip('/')}/_commits/{view}"
+    commits = f"{database_location(spark, database)}/_commits/{view}"
     number = _last_commit(spark, commits) + 1
     table = f"{view}__v{number:09d}_{uuid.uuid4().hex}"
     return Version(name, number, f"{database}.{table}" if database else table, commits)
@@ -142,7 +147,7 @@ def commit_version(spark: SparkSession, version: Version) -> None:
     writer looks whether a later version was committed meanwhile and switches
     to that, so the view ends on the last committed version.
     """
-    fs, where = _folder(spark, f"{version.commits}/{version.number}")
+    fs, where = folder(spark, f"{version.commits}/{version.number}")
     try:
         out = fs.create(where, False)
     except Py4JJavaError as error:

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..fixed import LOOKBACK_DAYS, OFFERING_BATCH_INFERENCE, PRODUCT_MODEL_SERVING, SKU_SERVERLESS_REAL_TIME_INFERENCE
 from ..functions.dates import as_date, days_before
 from ..operators.picks import pick_tags, sum_then_pick, with_tags_key
 from ..operators.pricing import POINT, priced_usage
+from .serverless import COSTS, SpendView, spend_view
 
 ENTITY_COLS = ["endpoint_name", "endpoint_id", "created_by", "served_entity_name", "entity_type",
                "custom_model_config", "external_model_config"]
@@ -62,13 +63,23 @@ def model_serving_costs(usage: DataFrame, prices: DataFrame, served_entities: Da
         *[F.sum(k).alias(k) for k in sums])
 
 
+def _batch_inference() -> Column:
+    return ((F.col("billing_origin_product") == PRODUCT_MODEL_SERVING)
+            & (F.col("product_features.model_serving.offering_type") == OFFERING_BATCH_INFERENCE))
+
+
+def _batch_keys() -> dict[str, Column]:
+    return {"workspace_id": F.col("workspace_id"), "usage_date": F.col("usage_date"), "run_as": F.col("identity_metadata.run_as"),
+            "custom_tags": F.col("custom_tags"), "endpoint_name": F.col("usage_metadata.endpoint_name")}
+
+
+def _batch_totals(as_of) -> list[Column]:
+    return [F.sum(c).alias(f"total_{c}") for c in COSTS]
+
+
+BATCH_INFERENCE = SpendView(_batch_inference, _batch_keys, COSTS, _batch_totals, POINT)
+
+
 def batch_inference_costs(usage: DataFrame, prices: DataFrame, as_of=None, lookback_days: int = LOOKBACK_DAYS) -> DataFrame:
     """Batch-inference cost per workspace, day, user, tag set and endpoint."""
-    u = usage.where((F.col("billing_origin_product") == PRODUCT_MODEL_SERVING)
-                    & (F.col("product_features.model_serving.offering_type") == OFFERING_BATCH_INFERENCE)
-                    & (F.col("usage_date") >= days_before(as_of, lookback_days)))
-    priced = priced_usage(u, prices, POINT)
-    return priced.groupBy(
-        "workspace_id", "usage_date", F.col("identity_metadata.run_as").alias("run_as"), "custom_tags",
-        F.col("usage_metadata.endpoint_name").alias("endpoint_name"),
-    ).agg(F.sum("list_cost").alias("total_list_cost"), F.sum("effective_cost").alias("total_effective_cost"))
+    return spend_view(BATCH_INFERENCE, usage, prices, as_of, lookback_days)

@@ -1,4 +1,4 @@
-"""Registered queries that write given tables and read them back (A1-A5, A7-A9, B1, B2, G1, L4 in turn), with their SQL.
+"""Registered queries that write given tables and read them back (A1-A5, A7-A9, B1, B2 also by day, G1, L4 in turn), with their SQL.
 
 Tables are written once per application and data folder, under the shared
 checkpoint folder; the database of the refreshed views lies there as well.
@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..fixed import MERGE, REMOVE, REPLACE
-from ..plans import refresh
+from ..plans import daily, refresh
 from ..plans import tagging as L
 from ..session import ensure_checkpoint_dir, use_utc
 from ..sources import catalog, fixtures, tables
@@ -154,11 +154,32 @@ def l4_updates_in_turn(spark, sf_dir):
     return portable(L.updates_in_turn(resources, requests.unionByName(requests), CHANGES))
 
 
+#: Days that reach the stored sums late, and the report date of the first step.
+LATE_DAYS = (dt.date(2024, 1, 9), dt.date(2024, 1, 17))
+FIRST_STEP = dt.date(2024, 1, 22)
+
+
+def _b2_daily(name: str):
+    def run(spark, sf_dir):
+        use_utc(spark)
+        where, key = database(spark, sf_dir), (_key(spark, sf_dir), f"daily {name}")
+        usage = tables.usage(spark, given(spark, sf_dir, "usage"))
+        prices = tables.list_prices(spark, given(spark, sf_dir, "list_prices"))
+        if key not in _WRITTEN:
+            daily.advance_days(spark, name, usage.where(~F.col("usage_date").isin(*LATE_DAYS)), prices, FIRST_STEP, where)
+            daily.advance_days(spark, name, usage, prices, AS_OF, where, LATE_DAYS)
+            _WRITTEN[key] = where
+        return portable(daily.from_days(spark, name, usage, prices, AS_OF, where))
+    run.__doc__ = f"B2: the view {name} assembled from stored days, after a second step with two late days."
+    return run
+
+
 STORED_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "a1_usage": a1_usage, "a2_list_prices": a2_list_prices, "a3_jobs": a3_jobs, "a4_job_run_timeline": a4_job_run_timeline,
     "a5_served_entities": a5_served_entities, "a7_describe_view": a7_describe_view, "a8_list_views": a8_list_views,
     "a9_resource_listings": a9_resource_listings, "b1_materialize": b1_materialize, "b2_refresh_all": b2_refresh_all,
     **{f"g1_{name}": _g1(name) for name in refresh.VIEW_ORDER}, "l4_updates_in_turn": l4_updates_in_turn,
+    **{f"b2_daily_{name}": _b2_daily(name) for name in daily.DAILY_VIEWS},
 }
 
 
@@ -212,5 +233,6 @@ FROM job_run_timeline""",
             for v, (m, _) in refresh.VIEW_ORDER.items()),
         **{f"g1_{name}": _ranked_sql(name) for name in refresh.VIEW_ORDER},
         "l4_updates_in_turn": _in_turn_sql(),
+        **{f"b2_daily_{name}": VIEWS[name] for name in daily.DAILY_VIEWS},
     }
     return {name: with_fixtures(body) for name, body in bodies.items()}
