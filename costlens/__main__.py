@@ -16,6 +16,7 @@ import argparse
 import datetime as dt
 import json
 
+from .plans.daily import refresh_by_day
 from .plans.refresh import VIEWS, refresh_all
 from .sources import tables
 
@@ -28,6 +29,8 @@ def main(argv=None) -> int:
     r.add_argument("--as-of", default=None, help="report date YYYY-MM-DD (default: today)")
     r.add_argument("--views", nargs="*", default=None, choices=sorted(VIEWS))
     r.add_argument("--concurrent-views", type=int, default=4)
+    r.add_argument("--by-day", action="store_true", help="assemble J6-J12 and J14 from stored sums of days")
+    r.add_argument("--changed", nargs="*", default=[], type=dt.date.fromisoformat, help="with --by-day: days to sum again")
     for name in ("usage", "list-prices", "jobs", "job-run-timeline", "served-entities"):
         r.add_argument(f"--{name}", required=True)
     r.add_argument("--master", default=None)
@@ -52,8 +55,11 @@ def main(argv=None) -> int:
         "served_entities": tables.served_entities(spark, a.served_entities),
     }
     as_of = dt.date.fromisoformat(a.as_of) if a.as_of else None
-    written = refresh_all(spark, inputs, as_of, database=a.database, views=a.views,
-                          concurrent_views=a.concurrent_views)
+    if a.by_day:
+        written = refresh_by_day(spark, inputs, as_of, database=a.database, changed=a.changed, views=a.views)
+    else:
+        written = refresh_all(spark, inputs, as_of, database=a.database, views=a.views,
+                              concurrent_views=a.concurrent_views)
     print(json.dumps({"written": written}))
     return 0
 

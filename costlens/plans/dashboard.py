@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..fixed import CAPTION, DETAIL_ROWS, LOOKBACK_DAYS, TOP_ENDPOINTS, TOP_K
@@ -259,6 +259,29 @@ def tag_values(df: DataFrame, key: str, tags_col: str = "custom_tags") -> DataFr
     return df.where(v.isNotNull()).select(v.alias("tag_value")).distinct().orderBy("tag_value")
 
 
+def page_options(df: DataFrame, cols: Sequence[str], tags_col: str | None = "custom_tags") -> DataFrame:
+    """All option lists of a page in one evaluation of the view.
+
+    Every row gives its (list, tag key, value) triples: one per non-NULL column of
+    ``cols``, under ``tag_key`` one per tag key and under ``tag_value`` one per tag.
+    Equal triples are merged in the tasks that read the view before they are shuffled.
+    Values are text; a tag without a value is in the list of keys only.
+    """
+    kind = "array<struct<list_name: string, tag_key: string, value: string>>"
+
+    def triple(name: str, key: Column, value: Column) -> Column:
+        return F.struct(F.lit(name).alias("list_name"), key.alias("tag_key"), value.alias("value"))
+
+    none = F.lit(None).cast("string")
+    lists = [F.array(*(triple(c, none, F.col(c).cast("string")) for c in cols)).cast(kind)]
+    if tags_col:
+        tags = F.coalesce(F.map_entries(tags_col), F.array().cast("array<struct<key: string, value: string>>"))
+        lists += [F.transform(tags, lambda t: triple("tag_key", none, t["key"])).cast(kind),
+                  F.transform(tags, lambda t: triple("tag_value", t["key"], t["value"])).cast(kind)]
+    found = df.select(F.inline(F.concat(*lists))).where(F.col("value").isNotNull())
+    return found.distinct().orderBy("list_name", "tag_key", "value")
+
+
 def coerce_numeric(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Text columns to DOUBLE (unparsable -> NULL); listed columns only."""
     return df.withColumns({c: F.col(c).try_cast("double") for c in cols if c in df.columns})

@@ -539,6 +539,15 @@ FROM v_most_expensive_job_runs WHERE workspace_id IN ('1', '2') AND list_contain
     "k23_workspace_options": "SELECT DISTINCT workspace_id FROM v_most_expensive_jobs WHERE workspace_id IS NOT NULL",
     "k23_endpoint_options": "SELECT DISTINCT endpoint_name FROM v_model_serving_costs WHERE endpoint_name IS NOT NULL",
     "k23_created_by_options": "SELECT DISTINCT created_by FROM v_model_serving_costs WHERE created_by IS NOT NULL",
+    "k23_jobs_page_options": " UNION ".join(
+        [f"SELECT '{c}' AS list_name, CAST(NULL AS VARCHAR) AS tag_key, CAST({c} AS VARCHAR) AS value FROM v_most_expensive_jobs "
+         f"WHERE {c} IS NOT NULL" for c in ("run_as", "name", "job_id", "workspace_id")]
+        + ["SELECT 'tag_key', NULL, unnest(map_keys(tags_map)) FROM v_most_expensive_jobs",
+           "SELECT 'tag_value', e.key, e.value FROM (SELECT unnest(map_entries(tags_map)) AS e FROM v_most_expensive_jobs) t "
+           "WHERE e.value IS NOT NULL"]),
+    "k23_serving_page_options": " UNION ".join(
+        f"SELECT '{c}' AS list_name, CAST(NULL AS VARCHAR) AS tag_key, CAST({c} AS VARCHAR) AS value FROM v_model_serving_costs "
+        f"WHERE {c} IS NOT NULL" for c in ("endpoint_name", "created_by", "served_entity_name", "workspace_id")),
     # ---- resource tagging
     "l1_resource_inventory": """
 SELECT resource_type, resource_id, resource_name, state, tags_txt AS tags, cluster_size, creator_user_name, taggable, tag_count

@@ -344,6 +344,9 @@ REPORT_QUERIES: dict[str, QueryFn] = {
     "k23_workspace_options": _on("most_expensive_jobs", K.filter_options, col="workspace_id"),
     "k23_endpoint_options": _on("model_serving_costs", K.filter_options, col="endpoint_name"),
     "k23_created_by_options": _on("model_serving_costs", K.filter_options, col="created_by"),
+    "k23_jobs_page_options": _on("most_expensive_jobs", K.page_options, cols=["run_as", "name", "job_id", "workspace_id"]),
+    "k23_serving_page_options": _on("model_serving_costs", K.page_options,
+                                    cols=["endpoint_name", "created_by", "served_entity_name", "workspace_id"], tags_col=None),
     "k24_detail_table": _on("most_expensive_jobs", K.detail_table, sort_col="effective_cost",
                             keys=["workspace_id", "job_id"]),
 }

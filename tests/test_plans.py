@@ -146,3 +146,36 @@ def test_command_line_refresh(spark, tmp_path, capsys):
                  "--served-entities", paths["served_entities"]]) == 0
     assert "costlens_cli.most_expensive_jobs" in capsys.readouterr().out
     assert spark.table("costlens_cli.job_retry_patterns").count() > 0
+
+
+def test_all_option_lists_of_a_page_read_usage_once(stored):
+    """The lists of a page come from one evaluation of the view, equal triples merged before the shuffle."""
+    view = J.most_expensive_jobs(stored["usage"], stored["list_prices"], stored["jobs"], AS_OF)
+    cols = ["run_as", "name", "job_id"]
+    options = K.page_options(view, cols)
+    text = plan(options)
+    assert len(re.findall(r"PartitionFilters: \[[^\]]*usage_date", text)) == 1
+    assert re.search(r"HashAggregate\(keys=\[list_name[^\n]*\n[^\n]*Exchange hashpartitioning\(list_name", text)
+    got = {}
+    for r in options.collect():
+        got.setdefault((r.list_name, r.tag_key), []).append(r.value)
+    for c in cols:
+        assert got.pop((c, None)) == [str(r[0]) for r in K.filter_options(view, c).collect()]
+    keys = [r[0] for r in K.tag_keys(view).collect()]
+    assert got.pop(("tag_key", None)) == keys
+    assert got == {("tag_value", k): [r[0] for r in K.tag_values(view, k).collect()] for k in keys}
+
+
+def test_command_line_refresh_by_day(spark, stored, tmp_path, capsys):
+    from costlens.__main__ import main
+    paths = {}
+    for name in ("usage", "list_prices", "jobs", "job_run_timeline", "served_entities"):
+        paths[name] = str(tmp_path / name)
+        stored[name].write.mode("overwrite").parquet(paths[name])
+    args = [f"--{n.replace('_', '-')}={p}" for n, p in paths.items()]
+    for changed in ([], ["--changed", "2024-01-30", "2024-01-29"]):
+        assert main(["refresh", "--database", "costlens_days", "--as-of", "2024-01-31", "--views", "user_spend_alerts",
+                     "most_expensive_jobs", "--by-day", *changed, *args]) == 0
+        assert "costlens_days.user_spend_alerts" in capsys.readouterr().out
+    assert spark.table("costlens_days.user_spend_alerts").count() > 0
+    assert spark.table("costlens_days.most_expensive_jobs").count() > 0
