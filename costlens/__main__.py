@@ -31,6 +31,7 @@ def main(argv=None) -> int:
     r.add_argument("--concurrent-views", type=int, default=4)
     r.add_argument("--by-day", action="store_true", help="assemble J6-J12 and J14 from stored sums of days")
     r.add_argument("--changed", nargs="*", default=[], type=dt.date.fromisoformat, help="with --by-day: days to sum again")
+    r.add_argument("--new-slices", default=None, help="with --by-day: timeline slices since the last refresh, for J5's stored totals")
     for name in ("usage", "list-prices", "jobs", "job-run-timeline", "served-entities"):
         r.add_argument(f"--{name}", required=True)
     r.add_argument("--master", default=None)
@@ -56,7 +57,9 @@ def main(argv=None) -> int:
     }
     as_of = dt.date.fromisoformat(a.as_of) if a.as_of else None
     if a.by_day:
-        written = refresh_by_day(spark, inputs, as_of, database=a.database, changed=a.changed, views=a.views)
+        new_slices = tables.job_run_timeline(spark, a.new_slices) if a.new_slices else None
+        written = refresh_by_day(spark, inputs, as_of, database=a.database, changed=a.changed, views=a.views,
+                                 new_slices=new_slices)
     else:
         written = refresh_all(spark, inputs, as_of, database=a.database, views=a.views,
                               concurrent_views=a.concurrent_views)

@@ -33,6 +33,7 @@ from ..fixed import LOOKBACK_DAYS
 from ..operators.pricing import priced_usage
 from .refresh import (VIEWS, RefreshConflict, begin_version, commit_version, database_location, folder, materialize,
                       refresh_all, view_order)
+from .run_state import advance_runs, stored_run_totals
 from .serverless import SPEND_VIEWS, SpendView, spend_view
 from .serving import BATCH_INFERENCE
 
@@ -149,9 +150,17 @@ def from_days(spark: SparkSession, name: str, usage: DataFrame, prices: DataFram
 
 
 def refresh_by_day(spark: SparkSession, tables: dict[str, DataFrame], as_of=None, database: str | None = None,
-                   changed: Iterable[dt.date] = (), views: Sequence[str] | None = None) -> list[str]:
-    """B2 with stored days: as :func:`refresh_all`, but J6-J12 and J14 read usage only of new and ``changed`` days."""
+                   changed: Iterable[dt.date] = (), views: Sequence[str] | None = None,
+                   new_slices: DataFrame | None = None) -> list[str]:
+    """B2 with stored days: as :func:`refresh_all`, but J6-J12 and J14 read usage only of new and ``changed`` days.
+
+    With ``new_slices``, the timeline slices delivered since the last refresh, J5 takes its run totals
+    from the stored state, to which they are added first.
+    """
     names, changed = list(views or VIEWS), list(changed)
+    if new_slices is not None:
+        advance_runs(spark, new_slices, database)
+        tables = {**tables, "_run_totals": stored_run_totals(spark, new_slices, database)}
     usage, prices = tables["usage"], tables["list_prices"]
     others = [n for n in names if n not in DAILY_VIEWS]
     written = refresh_all(spark, tables, as_of, database, others) if others else []

@@ -163,13 +163,35 @@ def failed_jobs_analysis(usage: DataFrame, prices: DataFrame, timeline: DataFram
                     ratio.alias("success_ratio"), "failure_list_cost", "failure_effective_cost", "last_seen_date"))
 
 
+def terminal_slices(timeline: DataFrame) -> DataFrame:
+    """Terminal slices of runs; a run without one of its keys cannot be matched to its repairs."""
+    return timeline.where(F.col("result_state").isNotNull() & F.col("workspace_id").isNotNull() & F.col("job_id").isNotNull()
+                          & F.col("run_id").isNotNull())
+
+
+def run_totals(slices: DataFrame) -> DataFrame:
+    """Per run the count of terminal slices, their first end and the last successful end."""
+    end = F.col("period_end_time")
+    return slices.groupBy(*RUN_KEYS).agg(
+        F.count(F.lit(1)).alias("_cnt"),
+        F.min(end).alias("_first_end"),
+        F.max(F.when(F.col("result_state") == SUCCEEDED, end)).alias("_success_end"))
+
+
+def merge_run_totals(totals: DataFrame) -> DataFrame:
+    """Totals of disjoint sets of slices merged per run."""
+    return totals.groupBy(*RUN_KEYS).agg(
+        F.sum("_cnt").alias("_cnt"), F.min("_first_end").alias("_first_end"), F.max("_success_end").alias("_success_end"))
+
+
 def job_retry_patterns(usage: DataFrame, prices: DataFrame, timeline: DataFrame, jobs: DataFrame,
                        as_of=None, lookback_days: int = LOOKBACK_DAYS, num_slices: int | None = None,
-                       attributed: DataFrame | None = None) -> DataFrame:
+                       attributed: DataFrame | None = None, totals: DataFrame | None = None) -> DataFrame:
     """Runs with more than one terminal slice (whole history), their repair count,
     unsuccessful cost (window) and time from first terminal slice to last success.
 
-    The unsuccessful cost is summed over all non-SUCCEEDED states of the run.
+    The unsuccessful cost is summed over all non-SUCCEEDED states of the run.  ``totals`` may
+    pass the stored totals of all runs (:mod:`costlens.plans.run_state`).
     """
     if attributed is None:
         attributed = status_costs(usage, prices, timeline, as_of, lookback_days, num_slices)
@@ -177,15 +199,9 @@ def job_retry_patterns(usage: DataFrame, prices: DataFrame, timeline: DataFrame,
                                  RUN_KEYS, STATUS_COSTS).select(
         *RUN_KEYS, "run_as", "custom_tags", F.col("status_list_cost").alias("repair_list_cost"),
         F.col("status_effective_cost").alias("repair_effective_cost"))
-    state, end = F.col("result_state"), F.col("period_end_time")
-    # a run without one of its keys cannot be matched to its repairs
-    keyed = timeline.where(state.isNotNull() & F.col("workspace_id").isNotNull() & F.col("job_id").isNotNull()
-                           & F.col("run_id").isNotNull())
-    repaired = keyed.groupBy(*RUN_KEYS).agg(
-        F.count(F.lit(1)).alias("_cnt"),
-        F.min(end).alias("_first_end"),
-        F.max(F.when(state == SUCCEEDED, end)).alias("_success_end"),
-    ).where(F.col("_cnt") > 1)
+    if totals is None:
+        totals = run_totals(terminal_slices(timeline))
+    repaired = totals.where(F.col("_cnt") > 1)
     repair_time = F.when(F.col("_success_end").isNotNull(),
                          seconds_between(F.col("_first_end"), F.col("_success_end")))
     return (repaired.join(_job_names(jobs), JOB_KEYS, "left")

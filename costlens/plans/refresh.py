@@ -33,7 +33,8 @@ VIEWS: dict[str, ViewFn] = {
     "failed_jobs_analysis": lambda t, d: J.failed_jobs_analysis(t["usage"], t["list_prices"], t["job_run_timeline"],
                                                                 t["jobs"], d, attributed=t.get("_status_costs")),
     "job_retry_patterns": lambda t, d: J.job_retry_patterns(t["usage"], t["list_prices"], t["job_run_timeline"],
-                                                            t["jobs"], d, attributed=t.get("_status_costs")),
+                                                            t["jobs"], d, attributed=t.get("_status_costs"),
+                                                            totals=t.get("_run_totals")),
     "workspace_spend_alerts": lambda t, d: S.workspace_spend_alerts(t["usage"], t["list_prices"], d),
     "user_spend_alerts": lambda t, d: S.user_spend_alerts(t["usage"], t["list_prices"], d),
     "job_spend_alerts": lambda t, d: S.job_spend_alerts(t["usage"], t["list_prices"], d),

@@ -14,8 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..fixed import MERGE, REMOVE, REPLACE
-from ..plans import daily, refresh
+from ..plans import daily, refresh, run_state
 from ..plans import tagging as L
+from ..plans.jobs import job_retry_patterns
 from ..session import ensure_checkpoint_dir, use_utc
 from ..sources import catalog, fixtures, tables
 from .oracle import VIEWS, tags_txt, with_fixtures
@@ -174,11 +175,27 @@ def _b2_daily(name: str):
     return run
 
 
+def b2_retries_from_state(spark, sf_dir):
+    """B2: J5 from stored run totals after three deliveries, with a late day and slices delivered again."""
+    use_utc(spark)
+    where, key = database(spark, sf_dir), (_key(spark, sf_dir), "run totals")
+    t = fixtures.Tables(spark, sf_dir)
+    slices = tables.job_run_timeline(spark, given(spark, sf_dir, "job_run_timeline"))
+    if key not in _WRITTEN:
+        end = F.to_date("period_end_time")
+        run_state.advance_runs(spark, slices.where((end < "2024-01-12") & (end != "2024-01-08")), where)
+        run_state.advance_runs(spark, slices.where((end >= "2024-01-05") & (end < "2024-01-22")), where)
+        run_state.advance_runs(spark, slices.where((end >= "2024-01-20") | end.isNull() | (end < "2024-01-03")), where)
+        _WRITTEN[key] = where
+    totals = run_state.stored_run_totals(spark, slices, where)
+    return portable(job_retry_patterns(t["usage"], t["list_prices"], slices, t["jobs"], AS_OF, totals=totals))
+
+
 STORED_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "a1_usage": a1_usage, "a2_list_prices": a2_list_prices, "a3_jobs": a3_jobs, "a4_job_run_timeline": a4_job_run_timeline,
     "a5_served_entities": a5_served_entities, "a7_describe_view": a7_describe_view, "a8_list_views": a8_list_views,
     "a9_resource_listings": a9_resource_listings, "b1_materialize": b1_materialize, "b2_refresh_all": b2_refresh_all,
-    **{f"g1_{name}": _g1(name) for name in refresh.VIEW_ORDER}, "l4_updates_in_turn": l4_updates_in_turn,
+    **{f"g1_{name}": _g1(name) for name in refresh.VIEW_ORDER}, "l4_updates_in_turn": l4_updates_in_turn, "b2_retries_from_state": b2_retries_from_state,
     **{f"b2_daily_{name}": _b2_daily(name) for name in daily.DAILY_VIEWS},
 }
 
@@ -233,6 +250,7 @@ FROM job_run_timeline""",
             for v, (m, _) in refresh.VIEW_ORDER.items()),
         **{f"g1_{name}": _ranked_sql(name) for name in refresh.VIEW_ORDER},
         "l4_updates_in_turn": _in_turn_sql(),
+        "b2_retries_from_state": VIEWS["job_retry_patterns"],
         **{f"b2_daily_{name}": VIEWS[name] for name in daily.DAILY_VIEWS},
     }
     return {name: with_fixtures(body) for name, body in bodies.items()}

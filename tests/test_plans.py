@@ -173,9 +173,11 @@ def test_command_line_refresh_by_day(spark, stored, tmp_path, capsys):
         paths[name] = str(tmp_path / name)
         stored[name].write.mode("overwrite").parquet(paths[name])
     args = [f"--{n.replace('_', '-')}={p}" for n, p in paths.items()]
-    for changed in ([], ["--changed", "2024-01-30", "2024-01-29"]):
+    for changed in ([], ["--changed", "2024-01-30", "2024-01-29", "--new-slices", paths["job_run_timeline"]]):
         assert main(["refresh", "--database", "costlens_days", "--as-of", "2024-01-31", "--views", "user_spend_alerts",
-                     "most_expensive_jobs", "--by-day", *changed, *args]) == 0
+                     "most_expensive_jobs", "job_retry_patterns", "--by-day", *changed, *args]) == 0
         assert "costlens_days.user_spend_alerts" in capsys.readouterr().out
     assert spark.table("costlens_days.user_spend_alerts").count() > 0
     assert spark.table("costlens_days.most_expensive_jobs").count() > 0
+    retries = J.job_retry_patterns(stored["usage"], stored["list_prices"], stored["job_run_timeline"], stored["jobs"], AS_OF)
+    assert spark.table("costlens_days.job_retry_patterns").count() == retries.count() > 0
