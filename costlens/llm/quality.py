@@ -38,7 +38,7 @@ RULES = (
     ("symbols_per_word", None, 0.3),
     ("stop_word_ratio", 0.01, None),
     ("dup_line_ratio", None, 0.5),
-    ("mean_line_words", 1.0, None),
+    ("mean_line_words", 2.0, None),  # lists of single words
 )
 
 #: Words from which on the share of stop words is looked at.

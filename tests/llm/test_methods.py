@@ -422,6 +422,22 @@ def test_quality_counts_equal_brute_force(spark, docs, texts):
         assert not (r["kept"] and r["base_failed"])
 
 
+@pytest.mark.parametrize("rule,text", [
+    ("mean_word_chars", " ".join(f"{'x' * 30}{i}" for i in range(20))),
+    ("symbols_per_word", " ".join(f"word{i}#$" for i in range(20))),
+    ("stop_word_ratio", " ".join(f"noun{i}" for i in range(40))),
+    ("dup_line_ratio", "\n".join(["a b"] * 12 + [f"row {i} of twelve other lines here" for i in range(8)])),
+    ("mean_line_words", "\n".join(f"entry{i}" for i in range(20))),
+])
+def test_every_rule_rejects_some_text(spark, rule, text):
+    good = "the cat and the dog went to the park in the morning and it was a good day for all of them"
+    rows = spark.createDataFrame([(1, text), (2, good)], "doc_id long, text string")
+    broken = {r["doc_id"]: (r["broken"].split(","), r["kept"]) for r in quality.judge(rows).collect()}
+    assert rule in broken[1][0] and not broken[1][1]
+    assert broken[2] == ([""], True)
+    assert rule in [name for name, _, _ in quality.RULES]
+
+
 def test_rules_run_without_user_functions(docs):
     plan = quality.judge(docs)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow|Exchange", plan)
