@@ -220,7 +220,7 @@ def refresh_all(spark: SparkSession, tables: dict[str, DataFrame], as_of=None, d
     if {"most_expensive_jobs", "most_expensive_job_runs"} <= set(names):
         t["_run_costs"] = J.run_costs(t["usage"], t["list_prices"], as_of).checkpoint()
     if {"failed_jobs_analysis", "job_retry_patterns"} <= set(names):
-        t["_status_costs"] = J.status_costs(t["usage"], t["list_prices"], t["job_run_timeline"], as_of).checkpoint()
+        t["_status_costs"] = J.summed_status_costs(t["usage"], t["list_prices"], t["job_run_timeline"], as_of).checkpoint()
 
     def build(name: str) -> str:
         df = VIEWS[name](t, as_of)
