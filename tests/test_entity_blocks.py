@@ -22,3 +22,24 @@ def test_entities_in_blocks_are_the_whole_join(spark):
     at = [(r["p"], r["record_id"]) for r in placed]
     turns = sum(a != b for a, b in zip(at, at[1:])) + 1
     assert turns > 2 * len({r["record_id"] for r in placed})
+
+
+def test_rows_of_an_endpoint_are_dealt_evenly_to_the_tasks(spark):
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    row = usage_df(spark, [usage_row(0, "2024-01-10 10:00:00", endpoint="e")])
+
+    def per_task(records, entities, block, repeat):
+        """``repeat``: the records are copies of one record, without an id."""
+        usage = row.crossJoin(spark.range(records)).withColumn("record_id", F.lit(None).cast("long") if repeat else F.col("id")).drop("id")
+        ents = spark.range(entities).select(F.lit("a1").alias("account_id"), F.lit("e").alias("endpoint_name"), F.lit("id").alias("endpoint_id"),
+                                            F.lit("o").alias("created_by"), F.concat(F.lit("n"), "id").alias("served_entity_name"),
+                                            *[F.lit(None).cast("string").alias(c) for c in V.ENTITY_COLS[4:]])
+        got = V.join_served_entities(usage, ents, block)
+        names = got.agg(F.countDistinct("served_entity_name"), F.countDistinct("record_id")).first()
+        assert tuple(names) == (entities, 0 if repeat else records)
+        return [r["count"] for r in got.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+
+    for records, entities, block, repeat in ((4000, 100, 512, False), (4000, 100, 512, True), (3, 4000, 100, False)):
+        rows = per_task(records, entities, block, repeat)
+        assert sum(rows) == records * entities and len(rows) == tasks
+        assert max(rows) < 1.2 * sum(rows) / tasks
